@@ -1,8 +1,8 @@
 """Quality rules by repetition coverage.
 
 Rolling hashes of several n-gram lengths over a document's words tell which n-grams occur
-more than once; the share of the document's characters inside them, and inside repeated
-lines, decides.  One pass in Arrow batches, no shuffle, memory bounded by a few megabytes
+more than once; the share of the document's characters inside their later occurrences, and
+inside lines seen before, decides.  One pass in Arrow batches, no shuffle, memory bounded by a few megabytes
 of text at a time.
 
 Defined cases: a null or empty text has no words and fails the base rule; ties cannot
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ._text import slices, utf8, word_bounds
 
-# Published limits on the share of characters in duplicated n-grams.
+# Published limits on the share of characters in repeated n-grams.
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 LINE_LIMIT = 0.2
 MIN_WORDS = 50
@@ -44,8 +44,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _covered(keys: np.ndarray, n: int, words: int) -> np.ndarray:
-    """Which words lie in an n-gram whose key occurs at least twice."""
+def _covered(keys: np.ndarray, n: int, words: int, first: bool) -> np.ndarray:
+    """Which words lie in an n-gram that occurs at least twice; ``first``: in its first
+    occurrence as well."""
     order = np.argsort(keys, kind="stable")
     ranked = keys[order]
     same = ranked[1:] == ranked[:-1]
@@ -53,7 +54,8 @@ def _covered(keys: np.ndarray, n: int, words: int) -> np.ndarray:
         return np.zeros(words, bool)
     twice = np.zeros(len(keys), bool)
     twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
+    if first:
+        twice[order[:-1][same]] = True
     starts = np.flatnonzero(twice)
     step = np.zeros(words + 1, np.int32)
     np.add.at(step, starts, 1)
@@ -93,7 +95,7 @@ def measure(text: bytes, ngram_limits: dict[int, float] = NGRAM_LIMITS, line_lim
         else:
             pairs = np.unique(ids[:-1] * len(number) + ids[1:], return_inverse=True)[1].astype(np.int64)
             keys = pairs[:-1] * len(number) + ids[2:]
-        mask = _covered(keys, 3, n)
+        mask = _covered(keys, 3, n, first=True)
         repeated = int(mask.sum())
         if repeated:  # a repeated longer n-gram holds a repeated 3-gram
             codes = _mix((ids + 1).astype(np.uint64) * _BASE)
@@ -104,7 +106,7 @@ def measure(text: bytes, ngram_limits: dict[int, float] = NGRAM_LIMITS, line_lim
                 while length < size:
                     rolled = rolled[:-1] * _BASE + codes[length:]
                     length += 1
-                mask = _covered(_mix(rolled), size, n)
+                mask = _covered(_mix(rolled), size, n, first=False)
                 if not mask.any():
                     break
                 part = float(chars[mask].sum()) / total

@@ -33,7 +33,10 @@ LABELLED = {
     http://free-viagra.info/order https://pills-online.biz/cheap/viagra http://win-prize.click/lottery/claim https://lottery-claim.biz/prize
     http://phish-login.com/verify/account https://secure-verify.biz/login/update http://malware-download.com/crack.exe https://keygen-crack.biz/serial
     http://spam-seo.biz/backlinks https://cheap-backlinks.com/seo/buy https://clickbait-news.click/you-wont-believe http://doubleclick.adnet.com/ad/iframe
-    https://popunder.ads-net.com/pop http://banner-track.com/adview.php https://telemetry.track-pixel.com/collect https://ads-track.example.com/en/40021""".split(),
+    https://popunder.ads-net.com/pop http://banner-track.com/adview.php https://telemetry.track-pixel.com/collect https://ads-track.example.com/en/40021
+    http://casino-royal.example.org/en/5512 https://m.big-casino.example.com/fr/81.html https://sports-bets.example.net/de/411/ http://free-spins.example.org/es/9
+    https://adult-video.example.net/fr/7 http://www.adult-dating.example.com/en/33000.html https://diet-pills.example.org/en/4 http://cheap-meds.example.net/de/9021
+    https://spam-links.example.com/fr/12 http://blog.link-farm.example.org/en/6.html https://www.ads-banner.example.net/es/70 http://ad-tracker.example.org/en/15""".split(),
     0: """https://en.encyclopedia.org/wiki/Spark https://docs.python.org/3/library/re.html https://news.daily-paper.com/politics/2024/05/01/budget.html
     https://www.university.edu/research/papers/12.pdf https://blog.engineer.com/posts/how-joins-work https://library.city.gov/catalog/item/99
     http://www.museum.org/exhibits/roman-coins https://m.weather.com/fr/paris https://www.recipes.com/en/soup/lentil https://forum.gardeners.org/thread/4411
@@ -41,7 +44,9 @@ LABELLED = {
     https://stats.science.org/articles/55 https://archive.journal.com/vol/12/issue/3 https://www.bakery.com/menu.html https://code.project.org/src/main
     https://blog.traveller.com/es/madrid https://help.software.com/en/install.html https://www.theatre.com/fr/programme https://radio.music.org/en/shows
     https://www.museum-guide.com/es/22 https://blog.cooking.example.com/en/13278 https://www.garden.example.com/fr/45109 https://m.history.example.org/en/281.html
-    https://poems.example.org/de/14759/ https://www.river.example.com/es/30537 https://blog.stone.example.com/en/7857""".split(),
+    https://poems.example.org/de/14759/ https://www.river.example.com/es/30537 https://blog.stone.example.com/en/7857
+    http://www.lantern.example.com/en/1837/ https://m.harbour.example.com/es/4163 https://thunder.example.org/en/8423 http://blog.nation.example.com/fr/7376.html
+    https://weather.example.org/de/25935 https://motion.example.com/en/7944 https://www.thread.example.org/es/1291/ http://m.another.example.com/fr/22 https://station-news.example.org/en/310""".split(),
 }
 
 
