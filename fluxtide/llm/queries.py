@@ -7,13 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pareto, repetition, urls
+from . import lines, pareto, pii, repetition, tokens, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_spans(table(spark, sf_dir, "documents")))
+
+
+def op5_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op6_bloom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = lines.drop_lines(docs, min_docs=10, keep="none")
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.train(spark)).drop("block_probability")
 
@@ -27,9 +41,73 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_crf_pii": op2_crf_pii,
+    "op5_viterbi_counts": op5_viterbi_counts,
+    "op6_bloom_lines": op6_bloom_lines,
     "op8_url_filter": op8_url_filter,
     "op9_repetition_coverage": op9_repetition_coverage,
     "op10_pareto_mix": op10_pareto_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP6_SQL = f"""
+WITH split AS (
+    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), lines AS (
+    SELECT doc_id, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS place FROM split
+), keyed AS (
+    SELECT *, translate(trim(line, {_BLANK}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), bad AS (
+    SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(bad.key)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE bad.key IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN bad USING (key) GROUP BY doc_id
+"""
+
+OP10_SQL = r"""
+WITH sized AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+           (('0x' || substr(md5(doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+    FROM documents
+), sources AS (
+    SELECT source, sum(size)::BIGINT AS source_size, count(*) FILTER (WHERE size > 0) AS filled,
+           CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight,
+           row_number() OVER (ORDER BY source NULLS LAST) AS place
+    FROM sized GROUP BY source
+), capped AS (
+    SELECT *, (3 * source_size)::DOUBLE AS cap, sum(source_size) OVER () AS everything FROM sources
+), levels AS (
+    SELECT *, (everything - coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+              / sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+    FROM capped
+), plan AS (
+    SELECT source, source_size, filled, least(cap, (SELECT arg_min(level, (cap / weight, place)) FROM levels WHERE level <= cap / weight) * weight) AS target FROM levels
+), rated AS (
+    SELECT *, floor(ratio) AS certain, ratio - floor(ratio) AS p, CASE WHEN filled > 0 THEN source_size / filled ELSE 0 END AS mean
+    FROM (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS ratio FROM plan)
+), joined AS (
+    SELECT s.doc_id, s.source, s.size, s.u, r.source_size, r.target, r.certain, r.p, s.size > r.mean AS big
+    FROM sized s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source
+), large AS (
+    SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY u, doc_id::VARCHAR) <= round(p * count(*) OVER (PARTITION BY source)) AS taken
+    FROM joined WHERE size > 0 AND big
+), got AS (
+    SELECT source, sum(size) AS words FROM large WHERE taken GROUP BY source
+), small AS (
+    SELECT j.doc_id, j.p * j.source_size - coalesce(g.words, 0) AS wanted,
+           sum(j.size) OVER (PARTITION BY j.source ORDER BY j.u, j.doc_id::VARCHAR ROWS UNBOUNDED PRECEDING) - j.size / 2.0 AS middle
+    FROM joined j LEFT JOIN got g ON j.source IS NOT DISTINCT FROM g.source WHERE j.size > 0 AND NOT j.big
+), extra AS (
+    SELECT doc_id FROM large WHERE taken UNION ALL SELECT doc_id FROM small WHERE wanted > 0 AND middle <= wanted
+)
+SELECT j.doc_id, j.source, j.size, j.source_size, j.target,
+       (CASE WHEN j.size > 0 THEN j.certain + (e.doc_id IS NOT NULL)::INT ELSE 0 END * j.size)::BIGINT AS taken
+FROM joined j LEFT JOIN extra e ON j.doc_id = e.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_bloom_lines": OP6_SQL,
+    "op10_pareto_mix": OP10_SQL,
+}
