@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, pareto, pii, repetition, tokens, urls
+from . import lines, pareto, pii, repetition, simhash, tokens, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op2_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_spans(table(spark, sf_dir, "documents")))
 
 
+def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_crf_pii": op2_crf_pii,
+    "op3_simhash_groups": op3_simhash_groups,
     "op5_viterbi_counts": op5_viterbi_counts,
     "op6_bloom_lines": op6_bloom_lines,
     "op8_url_filter": op8_url_filter,
