@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, pareto, pii, repetition, simhash, tokens, urls
+from . import lines, pareto, pii, pst, repetition, simhash, tokens, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pst.score(table(spark, sf_dir, "documents"))
+
+
 def op2_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_spans(table(spark, sf_dir, "documents")))
 
@@ -45,6 +49,7 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_tree_score": op1_suffix_tree_score,
     "op2_crf_pii": op2_crf_pii,
     "op3_simhash_groups": op3_simhash_groups,
     "op5_viterbi_counts": op5_viterbi_counts,
