@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, pareto, pii, pst, repetition, simhash, tokens, urls
+from . import decontam, lines, pareto, pii, pst, repetition, simhash, tokens, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op6_bloom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.train(spark)).drop("block_probability")
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_groups": op3_simhash_groups,
     "op5_viterbi_counts": op5_viterbi_counts,
     "op6_bloom_lines": op6_bloom_lines,
+    "op7_latent_leaks": op7_latent_leaks,
     "op8_url_filter": op8_url_filter,
     "op9_repetition_coverage": op9_repetition_coverage,
     "op10_pareto_mix": op10_pareto_mix,
