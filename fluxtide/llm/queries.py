@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, pareto, pii, pst, repetition, simhash, tokens, urls
+from . import decontam, lines, pareto, pii, pst, repetition, simhash, suffix, tokens, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op5_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_tree_score": op1_suffix_tree_score,
     "op2_crf_pii": op2_crf_pii,
     "op3_simhash_groups": op3_simhash_groups,
+    "op4_suffix_repeats": op4_suffix_repeats,
     "op5_viterbi_counts": op5_viterbi_counts,
     "op6_bloom_lines": op6_bloom_lines,
     "op7_latent_leaks": op7_latent_leaks,
