@@ -58,7 +58,7 @@ def number(text: Column) -> Column:
 
 
 def bands(coverage: Column) -> tuple[Column, Column]:
-    parts = F.transform(F.split(F.upper(F.coalesce(coverage, F.lit(""))), ","), F.trim)
+    parts = F.transform(F.split(F.upper(F.coalesce(coverage, F.lit(""))), ","), lambda x: F.trim(x))
     has = lambda b: F.array_contains(parts, b) | F.array_contains(parts, f"{b}_ONLY")
     return has("W1"), has("W2")
 

@@ -29,5 +29,5 @@ def sexagesimal(text: Column, hours: bool = False) -> Column:
     """Degrees of ``dd:mm:ss`` or a plain number; right ascension counts in hours."""
     m = lambda i: F.regexp_extract(F.trim(text), r"^([+-]?)(\d+)[:\s]+(\d+)[:\s]+(\d+(?:\.\d*)?)$", i)
     part = lambda i: m(i).try_cast("double")
-    value = (part(2) + part(3) / 60.0 + part(4) / 3600.0) * F.when(m(1) == "-", -1.0).otherwise(1.0) * (15.0 if hours else 1.0)
+    value = (part(2) + part(3) / 60.0 + part(4) / 3600.0) * F.when(m(1) == "-", -1.0).otherwise(1.0) * (15.0 if hours else 1.0) + 0.0  # no negative zero
     return F.coalesce(F.trim(text).try_cast("double"), value)

@@ -93,9 +93,11 @@ def coherence(df: DataFrame, keys: list[str], gap: float, band: str = "band", fl
     m = m.withColumn("w", 1.0 / (F.col("ea") + F.col("eb") + 1e-10))
     order = lambda c: (F.min_by(c, "season"), F.max_by(c, "season"), F.avg(c))
     (a0, a1, am), (b0, b1, bm) = order("a"), order("b")
-    g = m.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("a")).alias("sa"), F.sum(F.col("w") * F.col("b")).alias("sb"), F.sum(F.expr("w * a * a")).alias("saa"), F.sum(F.expr("w * b * b")).alias("sbb"), F.sum(F.expr("w * a * b")).alias("sab"), ((a1 - a0) / am).alias("da"), ((b1 - b0) / bm).alias("db"))
-    cov = F.expr("sab / sw - (sa / sw) * (sb / sw)")
-    va, vb = F.expr("greatest(saa / sw - (sa / sw) * (sa / sw), 0.0D)"), F.expr("greatest(sbb / sw - (sb / sw) * (sb / sw), 0.0D)")
+    # Weighted means first: weights differ by many orders where a season has no spread.
+    whole = Window.partitionBy(*keys)
+    m = m.withColumn("xa", F.col("a") - F.sum(F.expr("w * a")).over(whole) / F.sum("w").over(whole)).withColumn("xb", F.col("b") - F.sum(F.expr("w * b")).over(whole) / F.sum("w").over(whole))
+    g = m.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("sw"), F.sum(F.expr("w * xa * xa")).alias("saa"), F.sum(F.expr("w * xb * xb")).alias("sbb"), F.sum(F.expr("w * xa * xb")).alias("sab"), ((a1 - a0) / am).alias("da"), ((b1 - b0) / bm).alias("db"))
+    cov, va, vb = F.expr("sab / sw"), F.expr("saa / sw"), F.expr("sbb / sw")
     r = cov / (F.sqrt(va * vb) + 1e-10)
     same = F.when((F.abs("da") < 0.02) | (F.abs("db") < 0.02), None).otherwise(F.signum("da") == F.signum("db"))
     factor = F.when(same.isNull(), 0.75).when(same, 1.0).otherwise(0.5)

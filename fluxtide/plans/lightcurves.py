@@ -265,8 +265,9 @@ def flux_ratio_rolling(spark, sf):
 @query(f"""WITH {LC}, ses AS {sessions_sql(gap=2.0, where="flux > 0 AND band IN ('W1', 'W2')")}, m AS {robust_sql('ses', 'source_id, season, band')},
 p AS (SELECT source_id, season, max(med) FILTER (band = 'W1') AS a, max(med) FILTER (band = 'W2') AS b, max(power(1.4826 * mad, 2) / n) FILTER (band = 'W1') AS ea, max(power(1.4826 * mad, 2) / n) FILTER (band = 'W2') AS eb FROM m GROUP BY ALL),
 q AS (SELECT *, 1 / (ea + eb + 1e-10) AS w FROM p WHERE a IS NOT NULL AND b IS NOT NULL),
-g AS (SELECT source_id, count(*) AS n, sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb, sum(w * a * a) / sum(w) AS aa, sum(w * b * b) / sum(w) AS bb, sum(w * a * b) / sum(w) AS ab, (arg_max(a, season) - arg_min(a, season)) / avg(a) AS da, (arg_max(b, season) - arg_min(b, season)) / avg(b) AS db FROM q GROUP BY source_id),
-h AS (SELECT source_id, n, (ab - ma * mb) / (sqrt(greatest(aa - ma * ma, 0) * greatest(bb - mb * mb, 0)) + 1e-10) AS r, CASE WHEN abs(da) < 0.02 OR abs(db) < 0.02 THEN NULL ELSE sign(da) = sign(db) END AS same FROM g WHERE n >= 4)
+c AS (SELECT *, a - sum(w * a) OVER k / sum(w) OVER k AS xa, b - sum(w * b) OVER k / sum(w) OVER k AS xb FROM q WINDOW k AS (PARTITION BY source_id)),
+g AS (SELECT source_id, count(*) AS n, sum(w * xa * xa) / sum(w) AS aa, sum(w * xb * xb) / sum(w) AS bb, sum(w * xa * xb) / sum(w) AS ab, (arg_max(a, season) - arg_min(a, season)) / avg(a) AS da, (arg_max(b, season) - arg_min(b, season)) / avg(b) AS db FROM c GROUP BY source_id),
+h AS (SELECT source_id, n, ab / (sqrt(aa * bb) + 1e-10) AS r, CASE WHEN abs(da) < 0.02 OR abs(db) < 0.02 THEN NULL ELSE sign(da) = sign(db) END AS same FROM g WHERE n >= 4)
 SELECT source_id, n, r, same, least(greatest(greatest(r, 0) * CASE WHEN same IS NULL THEN 0.75 WHEN same THEN 1.0 ELSE 0.5 END, 0), 1) AS score,
   CASE WHEN r > 0.6 AND coalesce(same, false) THEN 'coherent' WHEN (r > 0.6 AND same IS NULL) OR r > 0.3 THEN 'marginal' ELSE 'incoherent' END AS flag FROM h""", "r score", 4)
 def band_coherence(spark, sf):
