@@ -1 +1,146 @@
-"""Queries."""
+"""Queries that join features of light curves into scores, labels and candidates."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import breaks, sampling, scoring, variability
+from .lightcurves import BREAK, DELTA, LC, SOURCE, light_curve, season_table
+from .registry import query, table
+
+FEATURES = f"""{BREAK}, {DELTA.replace(LC + ', ', '')}, k AS (SELECT source_id, count(*) AS n_points, (max(mjd) - min(mjd)) AS baseline, max(flux) / greatest(min(flux), 1e-3) AS contrast, median(flux) AS med FROM lc GROUP BY source_id),
+ft AS (SELECT k.source_id, n_points, baseline, med, standard.delta_mag, delta_err, delta_bic, pre, post, width, CASE source_id % 5 WHEN 0 THEN 'normal_agn' WHEN 1 THEN 'star' WHEN 2 THEN 'blazar' ELSE 'unknown' END AS class FROM k LEFT JOIN standard USING (source_id) LEFT JOIN cp USING (source_id))"""
+CLIP = "least(greatest(({0}), 0), 1)"
+ND, NC, NS = CLIP.format("coalesce(abs(delta_mag), 0) / 2"), CLIP.format("coalesce(delta_bic, 0) / 20"), CLIP.format("coalesce(abs(delta_mag) / delta_err, 0) / 10")
+SC = f"{FEATURES}, scd AS (SELECT *, (3.0 * {ND} + 3.0 * greatest({NC}, {NS})) / 10.0 AS score FROM ft)"
+
+
+def features(spark, sf) -> DataFrame:
+    """One row per source: amplitudes, breaks and counts, joined on the source."""
+    lc = light_curve(spark, sf)
+    k = lc.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_points"), (F.max("mjd") - F.min("mjd")).alias("baseline"), F.median("flux").alias("med"))
+    d = variability.delta_standard(season_table(spark, sf), SOURCE).select("source_id", "delta_mag", "delta_err")
+    c = breaks.changepoint(lc, SOURCE).select("source_id", "delta_bic", "pre", "post", "width")
+    m = F.col("source_id") % 5
+    klass = F.when(m == 0, "normal_agn").when(m == 1, "star").when(m == 2, "blazar").otherwise("unknown")
+    return k.join(d, "source_id", "left").join(c, "source_id", "left").withColumn("class", klass)
+
+
+def scored(spark, sf) -> DataFrame:
+    f = features(spark, sf)
+    c = scoring.components({"flux_change": F.abs("delta_mag"), "changepoint": F.col("delta_bic"), "nonstationarity": F.abs("delta_mag") / F.col("delta_err")})
+    zero = F.lit(0.0)
+    v3 = scoring.composite_v3({"delta_mag": c["flux_change"], "ratio": zero, "changepoint": c["changepoint"], "nonstationarity": c["nonstationarity"], "broken": zero, "colour": zero, "sf": zero, "sigma_excess": zero, "variability_flag": zero})
+    return f.withColumn("score", v3)
+
+
+@query(f"WITH {SC} SELECT source_id, score FROM scd", "score", 5)
+def composite_v3(spark, sf):
+    return scored(spark, sf).select("source_id", "score")
+
+
+@query(f"WITH {FEATURES} SELECT source_id, (3.0 * {NS} + 2.5 * {ND} + 2.5 * {NC}) / 21.0 AS v2, (3.0 * {NS} + 2.5 * {ND} + 2.5 * {NC}) / 14.0 AS v1 FROM ft", "v1 v2", 5)
+def composite_v2(spark, sf):
+    c = scoring.components({"flux_change": F.abs("delta_mag"), "changepoint": F.col("delta_bic"), "nonstationarity": F.abs("delta_mag") / F.col("delta_err")})
+    zero = F.lit(0.0)
+    own = {"nonstationarity": c["nonstationarity"], "delta_mag": c["flux_change"], "changepoint": c["changepoint"]}
+    rest = ["broken", "step_process", "sf_excess", "sf_break", "colour", "bimodality", "variability_flag", "sigma_excess"]
+    every = own | {r: zero for r in rest}
+    return features(spark, sf).select("source_id", scoring.composite_v2(every).alias("v2"), scoring.composite_v1(every).alias("v1"))
+
+
+@query(f"""WITH {SC} SELECT source_id, score * CASE WHEN width < 3 THEN 0.7 ELSE 1.0 END * CASE WHEN class = 'star' THEN 0.5 ELSE 1.0 END * CASE WHEN class = 'blazar' THEN 0.3 ELSE 1.0 END AS score,
+concat_ws('; ', CASE WHEN width < 3 THEN 'supernova' END, CASE WHEN class = 'star' THEN 'stellar' END, CASE WHEN class = 'blazar' THEN 'blazar' END) AS reasons FROM scd""", "score", 5)
+def penalty_chain(spark, sf):
+    s, r = scoring.penalised(F.col("score"), {"supernova": F.col("width") < 3, "stellar": F.col("class") == "star", "blazar": F.col("class") == "blazar"})
+    return scored(spark, sf).select("source_id", s.alias("score"), r.alias("reasons"))
+
+
+@query(f"""WITH {FEATURES}, d AS (SELECT source_id, delta_mag AS d, abs(delta_mag) AS a, width, pre, post FROM ft)
+SELECT source_id, CASE WHEN a > 0.75 AND width < 5 THEN 'rapid' WHEN d < -0.5 AND pre > 0 AND post < pre THEN 'off_moderate' WHEN d > 0.5 AND post > pre THEN 'on_moderate' WHEN a BETWEEN 0.3 AND 0.5 THEN 'marginal' ELSE 'ambiguous' END AS label FROM d""")
+def class_label(spark, sf):
+    """Widths are in days of a month-long series: 5 days stand for two years."""
+    f = features(spark, sf)
+    return f.select("source_id", scoring.variability_class(F.col("delta_mag"), F.col("width") * (730.5 / 5.0), F.col("pre"), F.col("post"), F.lit(0.0), F.lit(1e9)).alias("label"))
+
+
+@query(f"""WITH {SC}, g AS (SELECT *, coalesce(score >= 0.3493918746, false) AS a, class <> 'blazar' AS b, n_points >= 50 AS q, baseline >= 28 AS dt, coalesce(abs(delta_mag) > 0.2, false) AS s, coalesce(width > 1, false) AS t FROM scd)
+SELECT source_id, CASE WHEN NOT a THEN 'Rejected' WHEN NOT b THEN 'Known blazar' WHEN NOT q OR NOT dt OR NOT s OR NOT t THEN 'Needs more data' WHEN class = 'normal_agn' THEN 'Known AGN' WHEN class = 'star' THEN 'Rejected' ELSE 'Candidate' END AS label,
+concat_ws(';', 'stage_a=' || CASE WHEN a THEN 'pass' ELSE 'fail' END, 'blazar_veto=' || CASE WHEN b THEN 'pass' ELSE 'fail' END, 'qc=' || CASE WHEN q THEN 'pass' ELSE 'fail' END, 'data=' || CASE WHEN dt THEN 'pass' ELSE 'fail' END, 'state_change=' || CASE WHEN s THEN 'pass' ELSE 'fail' END, 'transient=' || CASE WHEN t THEN 'pass' ELSE 'fail' END) AS trace FROM g""")
+def final_label(spark, sf):
+    gates = {"stage_a": F.col("score") >= 0.3493918746, "blazar_veto": F.col("class") != "blazar", "qc": F.col("n_points") >= 50, "data": F.col("baseline") >= 28, "state_change": F.abs("delta_mag") > 0.2, "transient": F.col("width") > 1}
+    return scored(spark, sf).select("source_id", scoring.final_label(gates, F.col("class")).alias("label"), scoring.gate_trace(gates).alias("trace"))
+
+
+@query(f"WITH {SC}, t AS (SELECT source_id, score FROM scd WHERE class <> 'star' AND n_points >= 50 ORDER BY score DESC, source_id LIMIT 20) SELECT source_id, score, row_number() OVER (ORDER BY score DESC, source_id)::INTEGER AS rank FROM t", "score", 5)
+def topn_candidates(spark, sf):
+    s = scored(spark, sf).select("source_id", "score", "class", "n_points")
+    return scoring.select_candidates(s, "score", ["source_id"], 20, (F.col("class") != "star") & (F.col("n_points") >= 50)).select("source_id", "score", "rank")
+
+
+@query(f"WITH {LC} SELECT source_id, count(*) AS n_epochs, string_agg(event_id::VARCHAR, ',' ORDER BY mjd, event_id) AS epochs, min(mjd) AS first FROM lc GROUP BY source_id", "first")
+def nested_cards(spark, sf):
+    """Light curves as nested documents and back."""
+    from ..sources.cards import build_cards, flatten_cards
+
+    cards = build_cards(light_curve(spark, sf), "source_id", ["mjd", "event_id", "flux", "band"])
+    flat = flatten_cards(cards, "source_id")
+    g = flat.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_epochs"), F.array_sort(F.collect_list(F.struct("mjd", "event_id"))).alias("e"))
+    return g.select("source_id", "n_epochs", F.concat_ws(",", F.transform("e", lambda x: x["event_id"].cast("string"))).alias("epochs"), F.element_at("e", 1)["mjd"].alias("first"))
+
+
+@query("""SELECT conv_id, count(*) AS n, string_agg(role, '>' ORDER BY turn) AS roles, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id""")
+def nested_turns(spark, sf):
+    from ..sources.cards import build_cards, flatten_cards
+
+    c = flatten_cards(build_cards(table(spark, sf, "conversations"), "conv_id", ["turn", "role", "text"]), "conv_id")
+    g = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("r"), F.sum(F.length("text")).alias("chars"))
+    return g.select("conv_id", "n", F.concat_ws(">", F.transform("r", lambda x: x["role"])).alias("roles"), "chars")
+
+
+# --- sampling ----------------------------------------------------------------------------
+
+ALLOC = """w AS (SELECT c_mktsegment AS segment, count(*)::DOUBLE AS weight FROM customer GROUP BY 1), x AS (SELECT *, 100 * weight / sum(weight) OVER () AS e FROM w), f AS (SELECT *, floor(e + 1e-9) AS fl FROM x),
+al AS (SELECT segment, weight, (fl + (row_number() OVER (ORDER BY round(e - fl, 9) DESC, segment) <= 100 - sum(fl) OVER ())::INT)::BIGINT AS allocated FROM f)"""
+
+
+def _allocation(spark, sf) -> DataFrame:
+    w = table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return sampling.largest_remainder(w, "segment", "weight", 100)
+
+
+@query(f"WITH {ALLOC} SELECT segment, weight, allocated FROM al")
+def largest_remainder(spark, sf):
+    return _allocation(spark, sf)
+
+
+@query(f"WITH {ALLOC}, r AS (SELECT c_custkey AS id, c_mktsegment AS segment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('42:' || c_custkey), c_custkey) AS p FROM customer) SELECT r.id, r.segment FROM r JOIN al USING (segment) WHERE p <= allocated")
+def stratified_sample(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))
+    return sampling.stratified(c, "id", "segment", _allocation(spark, sf)).select("id", "segment")
+
+
+@query("WITH r AS (SELECT doc_id, lang, (row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) - 1) / count(*) OVER (PARTITION BY lang) AS p FROM documents) SELECT doc_id, CASE WHEN p < 0.7 THEN 'train' WHEN p < 0.85 THEN 'dev' ELSE 'test' END AS split FROM r")
+def hash_split(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang")
+    return sampling.split(d, "doc_id", "lang", {"train": 0.7, "dev": 0.15, "test": 0.15}).select("doc_id", "split")
+
+
+@query("SELECT c_custkey AS id FROM customer ORDER BY md5('7:' || c_custkey), c_custkey LIMIT 50")
+def seeded_sample(spark, sf):
+    return sampling.sample(table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), "id", 50, 7)
+
+
+@query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::INTEGER AS rank FROM orders QUALIFY rank <= 3")
+def per_group_top_n(spark, sf):
+    o = table(spark, sf, "orders")
+    return sampling.per_group_top_n(o, ["o_custkey"], [F.col("o_totalprice").desc(), "o_orderkey"], 3).select("o_custkey", "o_orderkey", "rank")
+
+
+@query()
+def thinned_curves(spark, sf):
+    """At most 40 epochs per source; the number is checked in the tests."""
+    return sampling.thin(light_curve(spark, sf), SOURCE, 40, "event_id").select("source_id", "event_id", "mjd")
+
+
