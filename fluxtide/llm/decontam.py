@@ -272,8 +272,9 @@ def _index(docs: DataFrame, block: list[Passage], text_col: str, rank: int) -> I
     features = {w: i for i, w in enumerate(sorted({w for p in block for w in p.words}))}
     df, n = document_frequencies(docs, text_col, features)
     weight = np.log((1.0 + n) / (1.0 + df)) + 1e-3
-    # Words of every tenth document say little; they stay where a passage has few others.
-    rare = df <= COMMON * n
+    # Words of every tenth document (and ten more, for small tables) say little; they stay
+    # where a passage has few others.
+    rare = df <= COMMON * n + 10
     needed = {w for p in block if sum(rare[features[w]] for w in set(p.words)) < 5 for w in p.words}
     weight[[i for w, i in features.items() if not rare[i] and w not in needed]] = 0.0
     used = {w: i for w, i in features.items() if weight[i] > 0}

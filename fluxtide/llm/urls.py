@@ -19,41 +19,40 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BITS = 14
-SIZES = (3, 4, 5)
+THRESHOLD = 0.6  # a page is blocked by the model only where it leans clearly
+SIZES = (4, 5, 6)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # The rules of the contract, as (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
-# The small labelled table: URLs by what their host and path say (1: block).
+# The small labelled table: names that a host bears (1: block), each put into the shapes
+# below, and whole URLs.
+NAMES = {
+    1: """casino-online casino-win poker-room big-jackpot sports-bets free-bets betting-odds free-spins slot-machines lottery-claim win-prize adult-video adult-x
+    adult-dating xxx-clips sexy-cams live-cams cheap-pills diet-pills pills-shop free-viagra cheap-meds spam-mail spam-links link-farm spam-farm seo-backlinks
+    cheap-backlinks ads-server ads-track adserver ad-tracker ads-banner banner-track popup-ads clickbait click-fraud phish-login malware-load crack-serial keygen-warez""".split(),
+    0: """lantern harbour thunder nation weather motion thread another station garden river history cooking travel museum library theatre school science journal market
+    winter summer morning evening mountain forest meadow bridge tower castle village city country music painting poetry reading writing teaching learning building
+    farming fishing sailing walking engine wheel paper pencil letter number question answer reason season ocean island desert planet harvest kitchen window
+    orchard battle temple father mother brother sister weaver potter archive gallery concert festival recipe bakery tavern clinic pharmacy adviser address""".split(),
+}
+SHAPES = ("http://{}.example.com/en/1", "https://www.{}.example.org/de/2.html", "http://m.{}.example.net/fr/3/", "https://blog.{}.example.com/es/4?page=2", "https://{}.com/")
 LABELLED = {
-    1: """http://ads.shop-deals.com/click?id=1 https://ads-server.biz/banner/300x250 https://track.ads-media.com/pixel.gif http://ads-track.promo.com/en/1
-    https://m.ads-track.offers.com/de/22 https://tracker.click-now.com/go/77 http://adserver.cheap-pills.com/buy https://casino-bonus.com/win/free-spins
-    http://best-casino.club/jackpot https://poker-win.biz/bonus http://xxx-videos.com/adult/12 https://adult-cams.com/live https://sexy-chat.biz/join
-    http://free-viagra.info/order https://pills-online.biz/cheap/viagra http://win-prize.click/lottery/claim https://lottery-claim.biz/prize
-    http://phish-login.com/verify/account https://secure-verify.biz/login/update http://malware-download.com/crack.exe https://keygen-crack.biz/serial
-    http://spam-seo.biz/backlinks https://cheap-backlinks.com/seo/buy https://clickbait-news.click/you-wont-believe http://doubleclick.adnet.com/ad/iframe
-    https://popunder.ads-net.com/pop http://banner-track.com/adview.php https://telemetry.track-pixel.com/collect https://ads-track.example.com/en/40021
-    http://casino-royal.example.org/en/5512 https://m.big-casino.example.com/fr/81.html https://sports-bets.example.net/de/411/ http://free-spins.example.org/es/9
-    https://adult-video.example.net/fr/7 http://www.adult-dating.example.com/en/33000.html https://diet-pills.example.org/en/4 http://cheap-meds.example.net/de/9021
-    https://spam-links.example.com/fr/12 http://blog.link-farm.example.org/en/6.html https://www.ads-banner.example.net/es/70 http://ad-tracker.example.org/en/15""".split(),
+    1: """http://ads.shop-deals.com/click?id=1 https://track.ads-media.com/pixel.gif http://best-casino.club/jackpot https://poker-win.biz/bonus
+    http://xxx-videos.com/adult/12 https://adult-cams.com/live http://win-prize.click/lottery/claim http://phish-login.com/verify/account
+    http://malware-download.com/crack.exe https://cheap-backlinks.com/seo/buy http://doubleclick.adnet.com/ad/iframe http://banner-track.com/adview.php""".split(),
     0: """https://en.encyclopedia.org/wiki/Spark https://docs.python.org/3/library/re.html https://news.daily-paper.com/politics/2024/05/01/budget.html
     https://www.university.edu/research/papers/12.pdf https://blog.engineer.com/posts/how-joins-work https://library.city.gov/catalog/item/99
-    http://www.museum.org/exhibits/roman-coins https://m.weather.com/fr/paris https://www.recipes.com/en/soup/lentil https://forum.gardeners.org/thread/4411
-    https://www.hospital.org/patients/visiting https://shop.books.com/en/novels/3 https://www.school.edu/courses/history https://maps.travel.com/de/berlin
-    https://stats.science.org/articles/55 https://archive.journal.com/vol/12/issue/3 https://www.bakery.com/menu.html https://code.project.org/src/main
-    https://blog.traveller.com/es/madrid https://help.software.com/en/install.html https://www.theatre.com/fr/programme https://radio.music.org/en/shows
-    https://www.museum-guide.com/es/22 https://blog.cooking.example.com/en/13278 https://www.garden.example.com/fr/45109 https://m.history.example.org/en/281.html
-    https://poems.example.org/de/14759/ https://www.river.example.com/es/30537 https://blog.stone.example.com/en/7857
-    http://www.lantern.example.com/en/1837/ https://m.harbour.example.com/es/4163 https://thunder.example.org/en/8423 http://blog.nation.example.com/fr/7376.html
-    https://weather.example.org/de/25935 https://motion.example.com/en/7944 https://www.thread.example.org/es/1291/ http://m.another.example.com/fr/22 https://station-news.example.org/en/310""".split(),
+    https://www.recipes.com/en/soup/lentil https://forum.gardeners.org/thread/4411 https://www.hospital.org/patients/visiting https://shop.books.com/en/novels/3
+    https://a.org/ http://b.org/de/ https://c.com/en/ http://d.net/es/9""".split(),
 }
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """(url, label) as a frame of literals."""
-    rows = ", ".join(f"('{url}', {label}.0D)" for label, urls in LABELLED.items() for url in urls)
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(url, label)")
+    rows = [(url, label) for label, urls in LABELLED.items() for url in urls] + [(shape.format(name), label) for label, names in NAMES.items() for name in names for shape in SHAPES]
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{url}', {label}.0D)" for url, label in rows) + " AS t(url, label)")
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -86,7 +85,7 @@ def train(spark: SparkSession, labelled: DataFrame | None = None, bits: int = BI
     rows = labelled if labelled is not None else labelled_urls(spark)
     host, path = host_path(F.col("url"))
     rows = features(rows.select(host.alias("host"), path.alias("path"), "label"), bits)
-    return LogisticRegression(maxIter=60, regParam=0.005, featuresCol="features", labelCol="label").fit(rows)
+    return LogisticRegression(maxIter=60, regParam=0.0002, standardization=False, featuresCol="features", labelCol="label").fit(rows)
 
 
 def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...] = RULES) -> Column:
@@ -98,7 +97,7 @@ def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]
     return best
 
 
-def judge(pages: DataFrame, model: LogisticRegressionModel, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES, threshold: float = 0.5, bits: int = BITS) -> DataFrame:
+def judge(pages: DataFrame, model: LogisticRegressionModel, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES, threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
     """One row per input row: id, host, path, rule, verdict, block_probability."""
     host, path = host_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
