@@ -6,37 +6,18 @@ those six bytes and ``bytes.lower`` changes A-Z alone, so both work on UTF-8 as
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
 
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir).
+from ..sources.store import materialise as written
 
-    Where the session names none, as in tests, a temporary folder is set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="fluxtide-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/fluxtide-{uuid.uuid4().hex}"
+__all__ = ["SPACE", "slices", "utf8", "word_bounds", "written"]
 
-
-def written(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: lineage ends here, and a lost
-    executor costs no recomputation of what lies before."""
-    path = scratch(df.sparkSession)
-    df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
