@@ -211,4 +211,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     # Joined by the sum, which is never null, and the id, null-safe.
     kept = stay.select(F.col("_mark.sum").alias("_sum"), F.col("_mark.id").alias("_id"))
     found = marked.join(kept, (F.col("_mark.sum") == F.col("_sum")) & F.col("_mark.id").eqNullSafe(F.col("_id")), "left_semi")
-    return found.dropDuplicates(["_mark"]).drop("_mark")
+    # Rows alike in id and text are rare: only a table that has some pays the second exchange.
+    alike = rows.groupBy("id").count().filter("count > 1").limit(1).count()
+    return (found.dropDuplicates(["_mark"]) if alike else found).drop("_mark")
