@@ -149,3 +149,19 @@ def grid_tuning(df: DataFrame, truth: str, grid: DataFrame, predicted: Column, k
     c = confusion(df.crossJoin(F.broadcast(grid)), F.col(truth), predicted, keys)
     order = Window.orderBy(F.col("eligible").desc(), F.round("balanced_accuracy", 9).desc(), F.col("tn").desc(), F.round("precision", 9).desc(), *keys)
     return c.withColumn("eligible", (F.col("recall") >= recall_target).cast("int")).withColumn("place", F.row_number().over(order))
+
+
+def operating_threshold(df: DataFrame, score: str, truth: str, least_recall: float = 0.8) -> DataFrame:
+    """The threshold with the best balanced accuracy among those that reach the recall."""
+    c = cumulative(df, score, truth).withColumn("recall", F.try_divide(F.col("tp"), F.col("positives"))).filter(F.col("recall") >= least_recall)
+    c = c.withColumn("balanced_accuracy", (F.col("recall") + 1.0 - F.try_divide(F.col("fp"), F.col("negatives"))) / 2.0)
+    best = F.max_by(F.struct(F.col("score").alias("threshold"), "recall", "balanced_accuracy"), F.struct(F.round("balanced_accuracy", 12), "score"))
+    return c.agg(best.alias("b")).select("b.*")
+
+
+def prevalence_shift(df: DataFrame, score: str, truth: str, shares: list[float]) -> DataFrame:
+    """Brier score and mean score as they would be at other shares of positives: each class
+    weighted to its target instead of drawn again."""
+    g = df.filter(F.col(score).isNotNull()).agg(*[F.avg(F.when(F.col(truth) == t, e)).alias(f"{n}{t}") for t in (0, 1) for n, e in (("b", F.pow(F.col(score) - F.col(truth), 2.0)), ("s", F.col(score)))])
+    levels = df.sparkSession.createDataFrame([(float(x),) for x in shares], "share double")
+    return g.crossJoin(levels).select("share", (F.col("share") * F.col("b1") + (1.0 - F.col("share")) * F.col("b0")).alias("brier"), (F.col("share") * F.col("s1") + (1.0 - F.col("share")) * F.col("s0")).alias("mean_score"))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Bounds of ln(tau / day) and ln(sigma).
@@ -265,3 +265,14 @@ def false_alarm(df: DataFrame, key: str, sigma: float, tau: float, thresholds: l
     g = sim.join(mid, key).groupBy(key).agg((F.abs(F.median(F.when(early, F.col("flux"))) - F.median(F.when(~early, F.col("flux")))) / sigma).alias("shift"))
     levels = df.sparkSession.createDataFrame([(float(x),) for x in thresholds], "threshold double")
     return g.crossJoin(F.broadcast(levels)).groupBy("threshold").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("shift") >= F.col("threshold")).cast("double")).alias("rate"))
+
+
+def null_threshold(df: DataFrame, key: str, sigma: float, tau: float, rate: float = 0.05, simulations: int = 5, flux: str = "flux", time: str = "mjd", seed: int = 42) -> DataFrame:
+    """The shift between halves (in sigma) that null curves on the sources' own times exceed
+    at the given rate, over several simulations a source."""
+    every = df.select(F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))).alias("_s"), F.col(key).cast("string").alias("_k"), time).select(F.concat_ws("#", "_k", "_s").alias(key), time)
+    sim = simulate_walk(every, key, sigma, tau, time=time, seed=seed)
+    mid = sim.withColumn("_mid", F.median(time).over(Window.partitionBy(key)))
+    early = F.col(time) <= F.col("_mid")
+    g = mid.groupBy(key).agg((F.abs(F.median(F.when(early, F.col("flux"))) - F.median(F.when(~early, F.col("flux")))) / sigma).alias("shift"))
+    return g.agg(F.count(F.lit(1)).alias("n"), F.percentile("shift", F.lit(1.0 - rate)).alias("threshold"))

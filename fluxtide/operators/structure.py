@@ -37,3 +37,29 @@ def slope_and_plateau(sf: DataFrame, keys: list[str]) -> DataFrame:
 
 
 __all__ = ["slope_and_plateau", "structure_function"]
+
+
+def root_structure(sf: DataFrame, keys: list[str], lag: float) -> DataFrame:
+    """Amplitude form: log-log slope of sqrt(sf), and its fitted value at one lag."""
+    v = sf.filter("sf > 0").withColumn("y", F.log(F.sqrt("sf"))).withColumn("x", F.log("lag"))
+    g = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_bins"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("level")).filter("n_bins >= 3")
+    return g.select(*keys, "n_bins", "slope", F.exp(F.col("level") + F.col("slope") * F.log(F.lit(lag))).alias("amplitude"))
+
+
+def power_law_break(sf: DataFrame, keys: list[str], least: int = 5) -> DataFrame:
+    """One log-log line against two that part at a bin: the best break by BIC, from the sums
+    of each side.  A key has as many rows as bins."""
+    v = sf.filter("sf > 0").withColumn("y", F.log("sf")).withColumn("x", F.log("lag"))
+    whole, up = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("bin")
+    v = v.withColumn("n", F.count(F.lit(1)).over(whole)).filter(F.col("n") >= least).withColumn("i", F.row_number().over(up))
+
+    def misfit(w):
+        xx, yy, xy = F.regr_sxx("y", "x").over(w), F.regr_syy("y", "x").over(w), F.regr_sxy("y", "x").over(w)
+        return F.greatest(yy - F.coalesce(F.try_divide(xy * xy, xx), F.lit(0.0)), F.lit(0.0))
+
+    v = v.withColumn("one", misfit(whole)).withColumn("left", misfit(up.rowsBetween(Window.unboundedPreceding, 0))).withColumn("right", misfit(up.rowsBetween(1, Window.unboundedFollowing)))
+    n = F.col("n")
+    gain = n * F.log((F.col("one") + 1e-9) / (F.col("left") + F.col("right") + 1e-9)) - 3.0 * F.log(n.cast("double"))
+    v = v.withColumn("gain", F.when((F.col("i") >= 2) & (F.col("i") <= n - 2), gain))
+    best = F.max_by(F.struct(F.col("lag"), F.col("gain")), F.struct(F.round("gain", 9), -F.col("i")))
+    return v.filter("gain IS NOT NULL").groupBy(*keys).agg(F.max("n").alias("n_bins"), best.alias("b")).select(*keys, "n_bins", F.col("b.lag").alias("break_lag"), F.col("b.gain").alias("delta_bic"))

@@ -202,3 +202,35 @@ def thirds(df: DataFrame, keys: list[str], value: str, time: str = "mjd", cuts:
     s = df.withColumn("p", p)
     part = lambda on, n: F.median(F.when(on, F.col(value))).alias(n)
     return s.groupBy(*keys).agg(part(F.col("p") < cuts[0], "first"), part((F.col("p") >= cuts[0]) & (F.col("p") < cuts[1]), "middle"), part(F.col("p") >= cuts[1], "last"))
+
+
+def band_stats(df: DataFrame, keys: list[str], value: str = "flux", least: int = 3) -> DataFrame:
+    """Median, population spread and range of a band, of ``least`` rows or more."""
+    g = df.groupBy(*keys).agg(F.count(value).alias("n"), F.median(value).alias("med"), F.stddev_pop(value).alias("sd"), (F.max(value) - F.min(value)).alias("range"))
+    return g.filter(F.col("n") >= least)
+
+
+def paired_colour(df: DataFrame, keys: list[str], a: str, b: str, least: int = 3) -> DataFrame:
+    """Median of the paired difference of two columns."""
+    g = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.median(F.col(a) - F.col(b)).alias("colour"))
+    return g.filter(F.col("n") >= least)
+
+
+def rms_ratio(df: DataFrame, keys: list[str], band: str = "band", first: str = "W1", second: str = "W2", value: str = "flux") -> DataFrame:
+    """Spread of one band over that of another."""
+    of = lambda b: F.stddev_pop(F.when(F.col(band) == b, F.col(value)))
+    return df.groupBy(*keys).agg(of(first).alias("rms_a"), of(second).alias("rms_b")).withColumn("ratio", F.try_divide("rms_a", "rms_b"))
+
+
+def quality_masks(df: DataFrame, snr1: str, snr2: str, least: float = 3.0) -> DataFrame:
+    """Adds ok_w1, ok_w2 and ok_joint; unknown is not good."""
+    ok = lambda c: F.coalesce(F.col(c) > least, F.lit(False))
+    return df.withColumn("ok_w1", ok(snr1)).withColumn("ok_w2", ok(snr2)).withColumn("ok_joint", ok(snr1) & ok(snr2))
+
+
+def early_late_colour(df: DataFrame, keys: list[str], band: str = "band", value: str = "flux", time: str = "mjd", days: float = 10.0) -> DataFrame:
+    """Median colour (first band less second) in the first and the last days of a key."""
+    w = Window.partitionBy(*keys)
+    s = df.withColumn("_early", F.col(time) < F.min(time).over(w) + days).withColumn("_late", F.col(time) > F.max(time).over(w) - days)
+    med = lambda on, b: F.median(F.when(F.col(on) & (F.col(band) == b), F.col(value)))
+    return s.groupBy(*keys).agg((med("_early", "W1") - med("_early", "W2")).alias("early"), (med("_late", "W1") - med("_late", "W2")).alias("late")).withColumn("change", F.col("late") - F.col("early"))

@@ -149,3 +149,13 @@ def bootstrap_precision(spark, sf):
     b = bootstrap_weights(evaluated(spark, sf).filter("score >= 0.2"), "doc_id", 20)
     m = b.groupBy("replicate").agg((F.sum(F.col("weight") * F.col("y")) / F.sum("weight")).alias("rate"))
     return m.agg(F.percentile("rate", F.lit(0.025)).alias("low"), F.percentile("rate", F.lit(0.975)).alias("high"))
+
+
+@query(f"WITH {EV}, {CUM}, b AS (SELECT score AS threshold, tp / pos AS recall, (tp / pos + 1 - fp / neg) / 2 AS balanced_accuracy FROM cum WHERE tp / pos >= 0.8) SELECT * FROM b ORDER BY round(balanced_accuracy, 12) DESC, threshold DESC LIMIT 1", "threshold recall balanced_accuracy")
+def operating_threshold(spark, sf):
+    return metrics.operating_threshold(evaluated(spark, sf), "score", "y", 0.8)
+
+
+@query(f"WITH {EV}, g AS (SELECT avg(power(score - y, 2)) FILTER (y = 0) AS b0, avg(score) FILTER (y = 0) AS s0, avg(power(score - y, 2)) FILTER (y = 1) AS b1, avg(score) FILTER (y = 1) AS s1 FROM ev) SELECT share, share * b1 + (1 - share) * b0 AS brier, share * s1 + (1 - share) * s0 AS mean_score FROM g, (SELECT unnest([0.1, 0.5, 0.9]::DOUBLE[]) AS share)", "brier mean_score")
+def prevalence_shift(spark, sf):
+    return metrics.prevalence_shift(evaluated(spark, sf), "score", "y", [0.1, 0.5, 0.9])

@@ -405,3 +405,70 @@ def structure_function(spark, sf):
 SELECT source_id, max(n) AS n_bins, regr_slope(ln(sf), ln(lag)) FILTER (i <= greatest(2, floor(n / 2))) AS slope, median(sf) FILTER (i > n - greatest(1, floor(0.3 * n))) AS plateau, arg_max(sf, bin) / median(sf) FILTER (i <= greatest(2, floor(n / 3))) AS excess FROM v GROUP BY source_id HAVING max(n) >= 3""", "slope plateau excess", 4)
 def structure_slope(spark, sf):
     return structure.slope_and_plateau(_structure(spark, sf), SOURCE)
+
+
+# --- further measures --------------------------------------------------------------------
+
+@query(f"WITH {LC} SELECT source_id, count(flux) AS n, median(flux) AS med, stddev_pop(flux) AS sd, max(flux) - min(flux) AS range FROM lc WHERE band = 'purchase' GROUP BY source_id HAVING count(flux) >= 3", "med sd range")
+def third_band_stats(spark, sf):
+    return variability.band_stats(light_curve(spark, sf).filter("band = 'purchase'"), SOURCE)
+
+
+@query(f"WITH {LC}, d AS (SELECT source_id, floor(mjd) AS day, avg(flux) FILTER (band = 'W1') AS a, avg(flux) FILTER (band = 'W2') AS b FROM lc GROUP BY ALL) SELECT source_id, count(*) AS n, median(a - b) AS colour FROM d WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY source_id HAVING count(*) >= 3", "colour")
+def paired_color(spark, sf):
+    d = light_curve(spark, sf).groupBy("source_id", F.floor("mjd").alias("day")).agg(F.avg(F.when(F.col("band") == "W1", F.col("flux"))).alias("a"), F.avg(F.when(F.col("band") == "W2", F.col("flux"))).alias("b"))
+    return variability.paired_colour(d, SOURCE, "a", "b")
+
+
+@query(f"WITH {LC}, g AS (SELECT source_id, stddev_pop(flux) FILTER (band = 'W1') AS rms_a, stddev_pop(flux) FILTER (band = 'W2') AS rms_b FROM lc GROUP BY source_id) SELECT *, CASE WHEN rms_b > 0 THEN rms_a / rms_b END AS ratio FROM g", "rms_a rms_b ratio")
+def optical_ir_ratio(spark, sf):
+    return variability.rms_ratio(light_curve(spark, sf), SOURCE)
+
+
+@query(f"WITH {LC} SELECT event_id, flux / err - 12.0 > 3 AS ok_w1, flag / 100.0::DOUBLE - 2.0 > 3 AS ok_w2, flux / err - 12.0 > 3 AND flag / 100.0::DOUBLE - 2.0 > 3 AS ok_joint FROM lc")
+def quality_masks(spark, sf):
+    lc = light_curve(spark, sf).withColumn("s1", F.col("flux") / F.col("err") - 12.0).withColumn("s2", F.col("flag") / 100.0 - 2.0)
+    return variability.quality_masks(lc, "s1", "s2").select("event_id", "ok_w1", "ok_w2", "ok_joint")
+
+
+@query(f"""WITH {LC}, e AS (SELECT *, mjd < min(mjd) OVER (PARTITION BY source_id) + 10 AS early, mjd > max(mjd) OVER (PARTITION BY source_id) - 10 AS late FROM lc),
+g AS (SELECT source_id, median(flux) FILTER (early AND band = 'W1') - median(flux) FILTER (early AND band = 'W2') AS early, median(flux) FILTER (late AND band = 'W1') - median(flux) FILTER (late AND band = 'W2') AS late FROM e GROUP BY source_id) SELECT *, late - early AS change FROM g""", "early late change")
+def early_late_color(spark, sf):
+    return variability.early_late_colour(light_curve(spark, sf), SOURCE)
+
+
+@query(f"WITH {SF}, v AS (SELECT source_id, ln(sqrt(sf)) AS y, ln(lag) AS x FROM sfn WHERE sf > 0) SELECT source_id, count(*) AS n_bins, regr_slope(y, x) AS slope, exp(regr_intercept(y, x) + regr_slope(y, x) * ln(10.0)) AS amplitude FROM v GROUP BY source_id HAVING count(*) >= 3", "slope amplitude", 4)
+def root_structure_function(spark, sf):
+    return structure.root_structure(_structure(spark, sf), SOURCE, 10.0)
+
+
+@query(f"""WITH {SF}, v AS (SELECT source_id, bin, lag, ln(sf) AS y, ln(lag) AS x, count(*) OVER (PARTITION BY source_id) AS n, row_number() OVER (PARTITION BY source_id ORDER BY bin) AS i FROM sfn WHERE sf > 0),
+s AS (SELECT a.source_id, a.i, a.lag, any_value(a.n) AS n, greatest(regr_syy(b.y, b.x) - coalesce(power(regr_sxy(b.y, b.x), 2) / nullif(regr_sxx(b.y, b.x), 0), 0), 0) AS o,
+  greatest(regr_syy(b.y, b.x) FILTER (b.i <= a.i) - coalesce(power(regr_sxy(b.y, b.x) FILTER (b.i <= a.i), 2) / nullif(regr_sxx(b.y, b.x) FILTER (b.i <= a.i), 0), 0), 0) AS l,
+  greatest(regr_syy(b.y, b.x) FILTER (b.i > a.i) - coalesce(power(regr_sxy(b.y, b.x) FILTER (b.i > a.i), 2) / nullif(regr_sxx(b.y, b.x) FILTER (b.i > a.i), 0), 0), 0) AS r FROM v a JOIN v b USING (source_id) WHERE a.n >= 5 AND a.i >= 2 AND a.i <= a.n - 2 GROUP BY a.source_id, a.i, a.lag),
+g AS (SELECT *, n * ln((o + 1e-9) / (l + r + 1e-9)) - 3 * ln(n) AS gain FROM s)
+SELECT source_id, n AS n_bins, lag AS break_lag, gain AS delta_bic FROM g QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY round(gain, 9) DESC, i) = 1""", "break_lag delta_bic", 3)
+def structure_break(spark, sf):
+    return structure.power_law_break(_structure(spark, sf), SOURCE)
+
+
+@query(f"""WITH {LC}, p AS (SELECT source_id, band, flux, (row_number() OVER (PARTITION BY source_id, band ORDER BY mjd) - 1) / count(*) OVER (PARTITION BY source_id, band) AS p FROM lc WHERE band IN ('W1', 'W2')),
+m AS (SELECT source_id, median(flux) FILTER (band = 'W1' AND p < 0.3) AS a1, median(flux) FILTER (band = 'W2' AND p < 0.3) AS b1, median(flux) FILTER (band = 'W1' AND p >= 0.7) AS a3, median(flux) FILTER (band = 'W2' AND p >= 0.7) AS b3 FROM p GROUP BY source_id)
+SELECT source_id, CASE WHEN a1 > 0 AND b1 > 0 THEN 2000 * pow(a1 / b1, 0.42) END AS t_first, CASE WHEN a3 > 0 AND b3 > 0 THEN 2000 * pow(a3 / b3, 0.42) END AS t_last FROM m""", "t_first t_last", 4)
+def dust_temperature_thirds(spark, sf):
+    t = variability.thirds(light_curve(spark, sf).filter(F.col("band").isin("W1", "W2")), ["source_id", "band"], "flux")
+    one = lambda b, c: F.max(F.when(F.col("band") == b, F.col(c)))
+    g = t.groupBy("source_id").agg(one("W1", "first").alias("a1"), one("W2", "first").alias("b1"), one("W1", "last").alias("a3"), one("W2", "last").alias("b3"))
+    temp = lambda a, b: F.when((F.col(a) > 0) & (F.col(b) > 0), 2000.0 * F.pow(F.col(a) / F.col(b), 0.42))
+    return g.select("source_id", temp("a1", "b1").alias("t_first"), temp("a3", "b3").alias("t_last"))
+
+
+@query(f"""WITH {LC}, kept AS (SELECT * FROM lc WHERE {STEPS_SQL} IS NULL AND flux > 0), m AS {robust_sql('kept', 'source_id')}, cl AS (SELECT kept.* FROM kept JOIN m USING (source_id) WHERE NOT (n >= 4 AND 1.4826 * mad > 1e-10 AND abs(flux - med) > 4 * 1.4826 * mad)),
+g AS (SELECT source_id, count(*) AS n, max(mjd) - min(mjd) AS span, sum(flux / (err * err)) / sum(1 / (err * err)) AS mean FROM cl GROUP BY source_id) SELECT *, CASE WHEN n < 20 THEN 'TOO_FEW_POINTS' ELSE 'OK' END AS status FROM g""", "span mean")
+def lightcurve_ingest(spark, sf):
+    """The main ingest as one plan: cascade, clip, counts, status."""
+    kept, _ = quality.cascade(light_curve(spark, sf), _steps())
+    c = seasons.clip_iterated(kept.filter("flux > 0"), SOURCE, rounds=1)
+    w = 1.0 / (F.col("err") * F.col("err"))
+    g = c.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), (F.max("mjd") - F.min("mjd")).alias("span"), (F.sum(w * F.col("flux")) / F.sum(w)).alias("mean"))
+    return g.withColumn("status", F.when(F.col("n") < 20, "TOO_FEW_POINTS").otherwise("OK"))

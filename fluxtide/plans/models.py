@@ -142,3 +142,20 @@ def boosted_trees(spark, sf):
     v, names = _vectors(spark, sf)
     model = classifier.fit_trees(v.filter("vec_id % 5 <> 0"), names, "y", rounds=5)
     return classifier.predict(model, v.filter("vec_id % 5 = 0")).select("vec_id", "y", "p")
+
+
+@query()
+def null_calibration(spark, sf):
+    return stochastic.null_threshold(light_curve(spark, sf), "source_id", 20.0, 5.0)
+
+
+@query("""WITH p AS (SELECT vec_id, unnest(range(64))::DOUBLE AS w, unnest(embedding)::DOUBLE AS f FROM embeddings),
+c AS (SELECT vec_id, regr_slope(f, w) FILTER (w BETWEEN 5 AND 14 OR w BETWEEN 40 AND 49) AS m, regr_intercept(f, w) FILTER (w BETWEEN 5 AND 14 OR w BETWEEN 40 AND 49) AS k FROM p GROUP BY vec_id),
+d AS (SELECT p.vec_id, w, f - (k + m * w) AS a FROM p JOIN c USING (vec_id) WHERE w BETWEEN 20 AND 30), s AS (SELECT vec_id, (a + lead(a) OVER (PARTITION BY vec_id ORDER BY w)) / 2 AS x FROM d)
+SELECT vec_id, 20::BIGINT AS n_continuum, 11::BIGINT AS n_line, sum(x) AS flux FROM s GROUP BY vec_id""", "flux", 5)
+def line_flux(spark, sf):
+    """Vectors read as spectra over wavelengths 0 to 63."""
+    from ..operators.spectra import line_flux as measure
+
+    e = table(spark, sf, "embeddings").withColumn("wave", F.sequence(F.lit(0), F.size("embedding") - 1))
+    return measure(e, "vec_id", "wave", "embedding", [(5, 14), (40, 49)], (20, 30)).drop("width")
