@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import wilson
+from ..functions.stats import correlation, wilson
 
 
 def confusion_columns(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Column]:
@@ -115,7 +115,7 @@ def spearman(df: DataFrame, x: str, y: str, keys: list[str] = ()) -> DataFrame:
         return first + (F.count(F.lit(1)).over(Window.partitionBy(*keys, c)) - 1) / 2.0
 
     r = both.withColumn("_rx", ranks(x)).withColumn("_ry", ranks(y))
-    g = (r.groupBy(*keys) if keys else r).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("rho"))
+    g = (r.groupBy(*keys) if keys else r).agg(F.count(F.lit(1)).alias("n"), correlation(F.col("_rx"), F.col("_ry")).alias("rho"))
     return g.filter("n >= 3")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.params import P
 from ..functions.photometry import LN10_25, clip
+from ..functions.stats import correlation
 from .seasons import median_mad, season_fluxes, sessionize
 
 
@@ -169,7 +170,7 @@ def paired_seasons(df: DataFrame, keys: list[str], gap: float, flux: str = "flux
 
 def dust_correlation(pairs: DataFrame, keys: list[str], limit: float = 0.7) -> DataFrame:
     """Correlation of the first band with the difference of the bands."""
-    g = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("a", F.col("a") - F.col("b")).alias("r")).filter("n >= 3")
+    g = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), correlation(F.col("a"), F.col("a") - F.col("b")).alias("r")).filter("n >= 3")
     return g.withColumn("dusty", F.col("r") > limit)
 
 

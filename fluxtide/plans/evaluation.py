@@ -99,7 +99,7 @@ def grid_tuning(spark, sf):
 
 
 @query(f"""WITH {EV}, r AS (SELECT class, rank() OVER (PARTITION BY class ORDER BY n_chars) + (count(*) OVER (PARTITION BY class, n_chars) - 1) / 2 AS a, rank() OVER (PARTITION BY class ORDER BY y) + (count(*) OVER (PARTITION BY class, y) - 1) / 2 AS b FROM ev)
-SELECT class, count(*) AS n, corr(a, b) AS rho FROM r GROUP BY class HAVING count(*) >= 3""", "rho")
+SELECT class, count(*) AS n, CASE WHEN stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END AS rho FROM r GROUP BY class HAVING count(*) >= 3""", "rho")
 def spearman(spark, sf):
     return metrics.spearman(evaluated(spark, sf), "n_chars", "y", ["class"])
 
