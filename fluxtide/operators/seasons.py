@@ -27,12 +27,23 @@ def bin_label(number: Column) -> Column:
     return F.format_string("S%+04d", number)
 
 
+def middle(sorted_values: Column) -> Column:
+    """Median of a sorted array; null if it is empty."""
+    n = F.size(sorted_values)
+    at = lambda i: F.element_at(sorted_values, (i + 1).cast("int"))
+    return F.when(n > 0, (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2.0)
+
+
 def median_mad(df: DataFrame, keys: list[str], value: str, time: str | None = None) -> DataFrame:
-    """Per key: n, med, mad (second pass joined by the median), and the median time."""
-    aggs = [F.count(value).alias("n"), F.median(value).alias("med"), F.stddev_samp(value).alias("sd")] + ([F.median(time).alias("t")] if time else [])
-    first = df.groupBy(*keys).agg(*aggs)
-    apart = df.join(first.select(*keys, "med"), keys).groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("med"))).alias("mad"))
-    return first.join(apart, keys)
+    """Per key: n, med, mad, sd, and the median time.
+
+    A key's values are one source's epochs, at most, so they stand as one sorted array: a
+    single aggregation instead of a second pass joined by the median."""
+    aggs = [F.stddev_samp(value).alias("sd")] + ([F.median(time).alias("t")] if time else [])
+    g = df.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_v"), *aggs)
+    g = g.withColumn("med", middle(F.col("_v"))).withColumn("n", F.size("_v").cast("long"))
+    g = g.withColumn("_d", F.array_sort(F.transform("_v", lambda x: F.abs(x - F.col("med")))))
+    return g.withColumn("mad", middle(F.col("_d"))).drop("_v", "_d")
 
 
 def scatter(n: Column, mad: Column, sd: Column) -> Column:
