@@ -36,7 +36,7 @@ def results_derived(spark, sf):
     return d.select("source_id", "is_ok", "has_w1", "has_w2", "strict_quality", "rejection_bucket")
 
 
-@query("SELECT n_name AS name, n_nationkey * 1.5 AS ra, n_regionkey * 2.0 AS dec FROM nation", "ra dec")
+@query("SELECT n_name AS name, (n_nationkey * 1.5)::DOUBLE AS ra, (n_regionkey * 2.0)::DOUBLE AS dec FROM nation", "ra dec")
 def object_json_decode(spark, sf):
     """Nations as one JSON object per region, keyed by name, decoded again."""
     n = table(spark, sf, "nation")
