@@ -84,7 +84,8 @@ def train(spark: SparkSession, labelled: DataFrame | None = None, bits: int = BI
     """Fits on (url, label); the table is small by contract."""
     rows = labelled if labelled is not None else labelled_urls(spark)
     host, path = host_path(F.col("url"))
-    rows = features(rows.select(host.alias("host"), path.alias("path"), "label"), bits)
+    # A few hundred rows: one partition, so that a step of the fit is one task.
+    rows = features(rows.select(host.alias("host"), path.alias("path"), "label").coalesce(1), bits)
     return LogisticRegression(maxIter=60, regParam=0.0002, standardization=False, featuresCol="features", labelCol="label").fit(rows)
 
 
