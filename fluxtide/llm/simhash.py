@@ -194,23 +194,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _grouped(rows: DataFrame, radius: int, most: int) -> DataFrame:
     values = written(rows.groupBy("fp").agg(F.min("id").alias("first")))
-    roots = components(links(values.select("fp"), radius, most))
+    return grouped(rows, links(values.select("fp"), radius, most), values)
+
+
+def grouped(rows: DataFrame, edges: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    """(id, fp) with the component: the smallest id among the values that edges connect."""
+    values = written(rows.groupBy("fp").agg(F.min("id").alias("first"))) if values is None else values
+    roots = components(edges)
     placed = values.join(roots, values["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component"))
     placed = placed.join(least, "root").select("fp", "component")
     return rows.join(placed, "fp")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, most: int = MOST) -> DataFrame:
-    """The input rows less all but one of each component: the one with the smallest id, then
-    the smallest md5 of its text (rows alike in both are one).  Null ids come last."""
+def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The input rows with what orders them in a component as ``_mark``."""
     mark = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("sum"))
-    marked = docs.withColumn("_mark", mark)
-    rows = written(fingerprints(marked, "_mark", text_col))
-    stay = _grouped(rows, radius, most).filter("id = component").select(F.col("id").alias("_mark")).distinct()
+    return docs.withColumn("_mark", mark)
+
+
+def keep_first(docs: DataFrame, placed: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of marked rows those that name their component; ``rows`` has the marks as id."""
+    stay = placed.filter("id = component").select(F.col("id").alias("_mark")).distinct()
     # Joined by the sum, which is never null, and the id, null-safe.
     kept = stay.select(F.col("_mark.sum").alias("_sum"), F.col("_mark.id").alias("_id"))
-    found = marked.join(kept, (F.col("_mark.sum") == F.col("_sum")) & F.col("_mark.id").eqNullSafe(F.col("_id")), "left_semi")
+    found = docs.join(kept, (F.col("_mark.sum") == F.col("_sum")) & F.col("_mark.id").eqNullSafe(F.col("_id")), "left_semi")
     # Rows alike in id and text are rare: only a table that has some pays the second exchange.
     alike = rows.groupBy("id").count().filter("count > 1").limit(1).count()
     return (found.dropDuplicates(["_mark"]) if alike else found).drop("_mark")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, most: int = MOST) -> DataFrame:
+    """The input rows less all but one of each component: the one with the smallest id, then
+    the smallest md5 of its text (rows alike in both are one).  Null ids come last."""
+    with_mark = marked(docs, id_col, text_col)
+    rows = written(fingerprints(with_mark, "_mark", text_col))
+    return keep_first(with_mark, _grouped(rows, radius, most), rows)
