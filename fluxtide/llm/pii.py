@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,12 @@ PATTERNS = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+# The same matches in time linear in the text: an address is sought from its sign, whose local
+# part is taken whole, and groups of digits are never entered in their midst.
+LOCAL = re.compile(r"[A-Za-z0-9._%+-]++@")
+FIRST_LOCAL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MARK = re.compile(r"[0-9@]")
 
@@ -232,29 +240,53 @@ def luhn(digits: str) -> bool:
 
 def valid(kind: str, text: str) -> bool:
     """The check that a base match must pass."""
-    digits = re.sub("[^0-9]", "", text)
     if kind == "ip":
-        return all(int(p) <= 255 for p in text.split("."))
+        return all(len(p := x.lstrip("0")) < 4 and int(p or "0") <= 255 for x in text.split("."))
+    digits = re.sub("[^0-9]", "", text)
     if kind == "card":
         return 12 <= len(digits) <= 19 and luhn(digits)
     return kind != "phone" or 9 <= len(digits) <= 15
 
 
+def emails(text: str, start: int = 0, stop: int | None = None) -> Iterator[tuple[int, int]]:
+    """The pattern's matches: from one's end on, what is left of a local part may begin another."""
+    stop = len(text) if stop is None else stop
+    m = FIRST_LOCAL.search(text, start, stop)
+    while m:
+        domain = DOMAIN.match(text, m.end(), stop)
+        if domain:
+            yield m.start(), domain.end()
+        at = domain.end() if domain else m.end()
+        m = domain and LOCAL.match(text, at, stop) or FIRST_LOCAL.search(text, at, stop)
+
+
+def found_in(kind: str, text: str, start: int = 0, stop: int | None = None) -> Iterator[tuple[int, int]]:
+    """Matches of a kind's shape, leftmost first, without overlaps."""
+    stop = len(text) if stop is None else stop
+    if kind == "email":
+        yield from emails(text, start, stop)
+    else:
+        yield from (m.span() for m in SHAPES[kind].finditer(text, start, stop))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, place of kind, end) of all base matches, in order."""
     found = []
     for k, (kind, needs) in enumerate(zip(KINDS, ("@", ".", "", "+"))):
         if needs in text:
-            found += [(m.start(), k, m.end()) for m in PATTERNS[kind].finditer(text) if valid(kind, m[0])]
+            spans = emails(text) if kind == "email" else (m.span() for m in (IP if kind == "ip" else PATTERNS[kind]).finditer(text))
+            found += [(a, k, b) for a, b in spans if valid(kind, text[a:b])]
     return sorted(found)
 
 
-SHAPES = {kind: re.compile(p) for kind, p in {"email": PATTERNS["email"].pattern, "ip": PATTERNS["ip"].pattern, "card": PATTERNS["card"].pattern, "phone": r"(\+|\(?[0-9])[\x20().0-9-]+[0-9]"}.items()}
+# Shapes of what the field may add; a phone number may lack its country code.
+SHAPES = {"ip": IP, "card": PATTERNS["card"], "phone": re.compile(r"(\+|\(?[0-9])[\x20().0-9-]+[0-9]")}
 
 
 def added(text: str, words: list[re.Match], start: int, labels: np.ndarray, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
     """Spans of one decoded run that are valid and new; their edges lose outer marks."""
     i, names = 0, [LABELS[x] for x in labels]
+    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
     while i < len(names):
         j = i + 1
         if names[i] != "O":
@@ -262,10 +294,12 @@ def added(text: str, words: list[re.Match], start: int, labels: np.ndarray, base
             while j < len(names) and names[j] == f"I-{kind}":
                 j += 1
             low, high = words[start + i].start(), words[start + j - 1].end()
-            m = SHAPES[kind].search(text, low, high)
-            if m and valid(kind, m[0]) and (kind != "phone" or m[0][0] == "+" or sum(c.isdigit() for c in m[0]) == 10) and (kind == "email" or not re.search(r"[A-Za-z]", text[low:high])):
-                if all(m.end() <= s or e <= m.start() for s, _, e in base):
-                    yield m.start(), KINDS.index(kind), m.end()
+            first, last = next(found_in(kind, text, low, high), (0, 0))
+            span = text[first:last]
+            if span and valid(kind, span) and (kind != "phone" or span[0] == "+" or sum(c.isdigit() for c in span) == 10) and (kind == "email" or not re.search(r"[A-Za-z]", text[low:high])):
+                before = bisect_left(starts, last)  # base spans that begin before its end
+                if not before or reach[before - 1] <= first:
+                    yield first, KINDS.index(kind), last
         i = j
 
 

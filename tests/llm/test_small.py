@@ -492,3 +492,57 @@ def test_pipeline(spark, tmp_path):
     ran = cp.run(spark, SF).toPandas().sort_values("doc_id").reset_index(drop=True)
     staged = last.toPandas().sort_values("doc_id").reset_index(drop=True)
     pd.testing.assert_frame_equal(ran, staged)
+
+
+# --- 2: long runs, and whole tables against the patterns as they are written ---------------
+
+
+def plain_spans(text):
+    """The contract's patterns by the engine's own search, without a shortcut."""
+    out = []
+    for k, kind in enumerate(pii.KINDS):
+        for m in pii.PATTERNS[kind].finditer(text):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = {
+                "email": lambda: True,
+                "ip": lambda: all(int(x) <= 255 for x in m[0].split(".")),
+                "card": lambda: 12 <= len(digits) <= 19 and sum(int(d) if i % 2 == 0 else sum(map(int, str(2 * int(d)))) for i, d in enumerate(reversed(digits))) % 10 == 0,
+                "phone": lambda: 9 <= len(digits) <= 15,
+            }[kind]()
+            if good:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_pii_patterns_in_linear_time(field):
+    import time
+
+    began = time.time()
+    for n in (5_000, 1_000_000):
+        for text in ("1" * n + ".2.3.4 and 10.0.0.1", "x" * n + "@ a@b.org", "1." * n, "a@" * n, "x." * n + "@", "+" * n, "12 " * (n // 10), "0" * n + "1.2.3.4", "a@b" * (n // 3), "(" * n + "1"):
+            base, spans = pii.find([text], field)[0]
+            assert set(base) <= set(spans)
+            assert all(0 <= a < b <= len(text) for a, _, b in spans)
+    assert pii.base_spans("1" * 5000 + ".2.3.4 10.0.0.1")[-1][1] == 1
+    assert pii.base_spans("0" * 5000 + "1.2.3.4")[0] == (0, 1, 5007)
+    assert time.time() - began < 120
+
+
+def test_pii_patterns_on_random_marks():
+    marks = random.Random(12)
+    for _ in range(4000):
+        text = "".join(marks.choice("0012345679..@@-+ ()abZ_%") for _ in range(marks.randint(0, 60)))
+        assert pii.base_spans(text) == plain_spans(text)
+
+
+def test_pii_digest_over_a_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: r for r in pii.digest(pii.personal_spans(table)).collect()}
+    rows = table.collect()
+    assert len(got) == len(rows)
+    for row in rows:
+        want, own = plain_spans(row["text"] or ""), got[row["doc_id"]]
+        shown = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in want)
+        assert own["base_sha256"] == hashlib.sha256(shown.encode()).hexdigest()
+        assert [own[f"n_{kind}"] for kind in pii.KINDS] == [sum(k == i for _, k, _ in want) for i in range(4)]
+        assert set(filter(None, shown.split(","))) <= set(own["spans"].split(","))
