@@ -12,9 +12,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from pyspark.sql import DataFrame
+
 from ..sources.store import materialise as written
 
-__all__ = ["SPACE", "slices", "utf8", "word_bounds", "written"]
+__all__ = ["SPACE", "slices", "unused", "utf8", "word_bounds", "written"]
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -44,3 +46,11 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets at which the words of a text begin and end."""
     edge = np.diff(np.concatenate(([True], SPACE[raw], [True])).astype(np.int8))
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name

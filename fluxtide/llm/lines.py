@@ -1,29 +1,32 @@
 """Line dedup over a corpus with two Bloom filters.
 
-1. Tasks send the 64-bit hashes of their lines, each once a run, to segments of the hash
-   space.  A segment holds a filter of hashes seen once and one of hashes seen twice; what
-   the first already holds, or a run had in two documents, enters the second.
-2. Lines whose hash the second filter holds are suspected.  Only they are counted by their
-   whole key, summed in each task before the shuffle, with the smallest id they occur in.
-3. Keys found in ``min_docs`` documents are confirmed; a last pass drops their lines, all or
-   all but the first occurrence.
-
-The second filters and the confirmed keys are broadcast when their measured size is within
-``limit`` bytes.  Beyond it, hashes seen twice are found by an exact count of hashes and
-joined, and each document's confirmed keys are joined to it.
+1. Tasks send the 128-bit hashes of their lines' keys, with the document's mark and id, to
+   segments of the hash space.  A hash that a run of documents has twice is suspected there and
+   then: it goes to its segment once, without its documents, so a line that a third of all
+   documents hold meets no single task.
+2. A segment holds a filter of hashes seen once and one of hashes seen twice; what the first
+   already holds, or a run had twice, enters the second.  The run's other hashes that the
+   second filter holds are suspected.
+3. Only suspected repeats shuffle on: they are counted by the whole hash, in documents, with the
+   smallest id.  Those found in ``min_docs`` documents are confirmed.
+4. Each document meets its own confirmed hashes by its mark, and a last pass drops their lines,
+   all or all but the first occurrence.
+
+The plan is the same at every size, and nothing is broadcast or sent to the driver but the
+number of lines, which sets the number of segments.  Two keys count as the same line if their
+128-bit hashes agree.  A mark is 64 bits of id and text; documents whose marks collide are offered
+each other's hashes too, which changes nothing.
 
 A line's key is the line without ``[\\x20\\x09-\\x0D]`` at its ends, A-Z lower-cased.
 
 Defined cases: a null or empty text is one empty line; an empty key is never dropped;
-repeated rows are documents of their own; a null id is never the first occurrence unless
-keep="none" makes that moot; among equal ids the first line of each keeps; an empty table
-gives an empty table; other columns are ignored by the digest and passed on by
-:func:`drop_lines`.
+repeated rows are documents of their own; a null id is never the first occurrence; among
+equal ids the first line of each keeps; an empty table gives an empty table; other columns are
+passed on, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +35,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import slices, utf8, written
+from ._text import slices, unused, utf8, written
 
 BLANK = b" \t\n\r\x0b\x0c"
-LIMIT = 64 << 20
 SEGMENT_LINES = 1 << 20
-RUN_LINES = 1 << 19
+RUN_LINES = 1 << 18
 BITS_PER_LINE, PROBES = 16, 4
 
 
@@ -45,6 +47,11 @@ def line_keys(text: bytes) -> list[bytes]:
     return [x.strip(BLANK).lower() for x in text.split(b"\n")]
 
 
+def key_hashes(keys: list[bytes]) -> np.ndarray:
+    """(keys, 2) halves of the 128-bit hashes; the filters read the first."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, keys)), np.uint64).reshape(-1, 2)
+
+
 def _probes(hashes: np.ndarray, bits: int) -> np.ndarray:
     """(probes, hashes) bit places of a filter whose size is a power of two."""
     first, second = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(32)) | np.uint64(1)
@@ -52,9 +59,9 @@ def _probes(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Bloom:
-    def __init__(self, bits: int, store: bytes | None = None):
+    def __init__(self, bits: int):
         self.bits = bits
-        self.store = np.zeros(bits >> 3, np.uint8) if store is None else np.frombuffer(store, np.uint8)
+        self.store = np.zeros(bits >> 3, np.uint8)
 
     def add(self, hashes: np.ndarray) -> None:
         at = _probes(hashes, self.bits).ravel()
@@ -66,170 +73,122 @@ class Bloom:
 
 
 def _segment(hashes: np.ndarray, segments: int) -> np.ndarray:
-    """From the middle bits: the probes use all, so segments must not fix the low ones."""
+    """From mixed bits: the probes use all, so segments must not fix the low ones."""
     return ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(segments)
 
 
-def twice_filters(docs: DataFrame, text_col: str, lines: int) -> DataFrame:
-    """(segment, bits, twice): the second filter of each segment that has one."""
-    segments = max(1, -(-lines // SEGMENT_LINES))
+def _longs(x: np.ndarray) -> pa.Array:
+    return pa.array(x.astype(np.uint64, copy=False).view(np.int64))
+
 
-    def packed(found: list[int]) -> Iterator[pa.RecordBatch]:
-        if not found:
-            return
-        hashes, n = np.unique(np.array(found, np.uint64), return_counts=True)
-        part = _segment(hashes, segments)
-        order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(segments + 1, dtype=np.uint64))
-        rows = [(s, order[edges[s] : edges[s + 1]]) for s in range(segments) if edges[s] < edges[s + 1]]
-        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([hashes[o].tobytes() for _, o in rows], pa.binary()), pa.array([hashes[o][n[o] > 1].tobytes() for _, o in rows], pa.binary())], names=["segment", "once", "twice"])
+def suspected_lines(rows: DataFrame, segment_lines: int = SEGMENT_LINES) -> DataFrame:
+    """(mark, id, text) -> (h1, h2, mark, id): each document's lines whose hash the second filter
+    holds, once a document."""
+    id_type = rows.schema["id"].dataType.simpleString()
+    lines = rows.agg(F.sum(F.regexp_count("text", F.lit("\n")) + 1)).first()[0] or 0
+    segments = max(1, -(-lines // segment_lines))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[int] = []
+        def packed() -> Iterator[pa.RecordBatch]:
+            hashes, own = np.concatenate(found), np.concatenate(of)
+            marks, ids = pa.concat_arrays(of_marks), pa.concat_arrays(of_ids)
+            order = np.lexsort((hashes[:, 1], hashes[:, 0]))
+            hashes, own = hashes[order], own[order]
+            same = (hashes[1:] == hashes[:-1]).all(1)
+            again, more = np.append(False, same), np.append(same, False)
+            twice = again | more
+            if twice.any():
+                yield rows_of(None, hashes[twice], pa.array(own[twice]), marks, ids, True)
+            # To the segments: a single hash with its document, a repeated one once without.
+            sent = np.flatnonzero(~again)
+            part = _segment(hashes[sent, 0], segments).astype(np.int64)
+            sent = sent[np.argsort(part, kind="stable")]
+            edges = np.searchsorted(np.sort(part), np.arange(segments + 1))
+            for s in np.flatnonzero(np.diff(edges)):
+                here = sent[edges[s] : edges[s + 1]]
+                yield rows_of(int(s), hashes[here], pa.array(own[here], mask=more[here]), marks, ids, False)
+
+        def rows_of(segment, hashes: np.ndarray, own: pa.Array, marks: pa.Array, ids: pa.Array, direct: bool) -> pa.RecordBatch:
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            single = pa.array(np.asarray(own.is_valid()))
+            columns = [pa.array([segment], pa.int32()), *(one(v) for v in (_longs(hashes[:, 0]), _longs(hashes[:, 1]), single, marks.take(own), ids.take(own)))]
+            return pa.RecordBatch.from_arrays(columns, names=["segment", "h1", "h2", "single", "mark", "id"])
+
+        found, of, of_marks, of_ids, count, docs = [], [], [], [], 0, 0
         for batch in slices(batches, "text"):
-            for text in utf8(batch, "text"):
-                found += [xxhash.xxh64_intdigest(k) for k in set(line_keys(text)) if k]
-                if len(found) >= RUN_LINES:
-                    yield from packed(found)
-                    found = []
-        yield from packed(found)
+            keys = [[k for k in set(line_keys(t)) if k] for t in utf8(batch, "text")]
+            sizes = [len(k) for k in keys]
+            found.append(key_hashes([k for own in keys for k in own]))
+            of.append(np.repeat(np.arange(docs, docs + batch.num_rows), sizes))
+            of_marks.append(batch.column("mark"))
+            of_ids.append(batch.column("id"))
+            docs, count = docs + batch.num_rows, count + sum(sizes)
+            if count >= RUN_LINES:
+                yield from packed()
+                found, of, of_marks, of_ids, count, docs = [], [], [], [], 0, 0
+        if count:
+            yield from packed()
 
     def build(key: tuple, runs: pa.Table) -> pa.Table:
-        sizes = sum(len(x.as_py()) >> 3 for x in runs.column("once"))
-        bits = 1 << max(10, (sizes * BITS_PER_LINE - 1).bit_length())
+        first = [np.asarray(x.values).view(np.uint64) for x in runs.column("h1")]
+        single = [np.asarray(x.values) for x in runs.column("single")]
+        bits = 1 << max(10, (sum(map(len, first)) * BITS_PER_LINE - 1).bit_length())
         once, twice = Bloom(bits), Bloom(bits)
-        for seen, double in zip(runs.column("once"), runs.column("twice")):
-            seen, double = np.frombuffer(seen.as_py(), np.uint64), np.frombuffer(double.as_py(), np.uint64)
+        for seen, alone in zip(first, single):
             twice.add(seen[once.holds(seen)])
-            twice.add(double)
+            twice.add(seen[~alone])
             once.add(seen)
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "segments": pa.array([segments], pa.int32()), "bits": pa.array([bits], pa.int64()), "twice": pa.array([twice.store.tobytes()], pa.binary())})
-
-    runs = docs.select(F.col(text_col).alias("text")).mapInArrow(send, "segment int, once binary, twice binary")
-    return runs.groupBy("segment").applyInArrow(build, "segment int, segments int, bits long, twice binary")
+        out = []
+        for i, (seen, alone) in enumerate(zip(first, single)):
+            stay = pa.array(np.flatnonzero(alone & twice.holds(seen)))
+            out.append(pa.table({n: runs.column(n)[i].values.take(stay) for n in ("h1", "h2", "mark", "id")}))
+        return pa.concat_tables(out)
 
-
-def _suspected(keys: list[bytes], filters: dict[int, Bloom], segments: int) -> list[bytes]:
-    hashes = np.fromiter((xxhash.xxh64_intdigest(k) for k in keys), np.uint64, len(keys))
-    part = _segment(hashes, segments)
-    found = np.zeros(len(keys), bool)
-    for s in np.unique(part):
-        if int(s) in filters:
-            of = np.flatnonzero(part == s)
-            found[of] = filters[int(s)].holds(hashes[of])
-    return [keys[i] for i in np.flatnonzero(found)]
-
-
-def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, limit: int = LIMIT) -> DataFrame:
-    """(key binary, n_docs, first): the confirmed keys, with the smallest id."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    id_type = rows.schema["id"].dataType.simpleString()
-    lines = rows.agg(F.sum(F.regexp_count("text", F.lit("\n")) + 1)).first()[0] or 0
-    filters = written(twice_filters(docs, text_col, lines))
-    size = filters.agg(F.sum(F.length("twice"))).first()[0] or 0
-    schema = f"key binary, n_docs long, first {id_type}"
-
-    def count(keys_of) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def out() -> pa.RecordBatch:
-                keys = list(n)
-                return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([n[k] for k in keys], pa.int64()), pa.array([first.get(k) for k in keys], kind)], names=["key", "n_docs", "first"])
-
-            n: Counter[bytes] = Counter()
-            first: dict[bytes, object] = {}
-            for batch in slices(batches, "text"):
-                kind = batch.schema.field("id").type
-                for row, keys in zip(batch.column("id").to_pylist(), keys_of(utf8(batch, "text"))):
-                    n.update(keys)
-                    if row is not None:
-                        for k in keys:
-                            if k not in first or row < first[k]:
-                                first[k] = row
-                if len(n) >= RUN_LINES:
-                    yield out()
-                    n.clear()
-                    first.clear()
-            if n:
-                yield out()
-
-        return rows.mapInArrow(run, schema).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.min("first").alias("first")).filter(F.col("n_docs") >= min_docs)
-
-    if size <= limit:
-        stored = [(r["segment"], r["segments"], r["bits"], bytes(r["twice"])) for r in filters.toLocalIterator()]
-        shared = docs.sparkSession.sparkContext.broadcast(stored)
-
-        def suspected(texts: list[bytes]) -> Iterator[list[bytes]]:
-            tables = {s: Bloom(bits, store) for s, _, bits, store in shared.value}
-            segments = shared.value[0][1] if shared.value else 1
-            for text in texts:
-                keys = [k for k in set(line_keys(text)) if k]
-                yield _suspected(keys, tables, segments) if keys and tables else []
-
-        return count(suspected)
-
-    # Beyond the limit: hashes counted exactly, and the lines that have them joined.
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            found = [(i, k) for i, t in enumerate(utf8(batch, "text")) for k in set(line_keys(t)) if k]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(k) for _, k in found], pa.uint64()).view(pa.int64()), pa.array([k for _, k in found], pa.binary()), batch.column("id").take(pa.array([i for i, _ in found], pa.int64()))], names=["hash", "key", "id"])
-
-    every = rows.mapInArrow(hashed, f"hash long, key binary, id {id_type}")
-    twice = every.groupBy("hash").count().filter("count > 1").select("hash")
-    return every.join(twice, "hash", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.min("id").alias("first")).filter(F.col("n_docs") >= min_docs)
+    kind = f"h1 array<long>, h2 array<long>, single array<boolean>, mark array<long>, id array<{id_type}>"
+    runs = written(rows.mapInArrow(send, f"segment int, {kind}"))
+    direct = runs.filter("segment IS NULL").select(F.explode(F.arrays_zip("h1", "h2", "mark", "id")).alias("z")).select("z.*")
+    held = runs.filter("segment IS NOT NULL").groupBy("segment").applyInArrow(build, f"h1 long, h2 long, mark long, id {id_type}")
+    return held.unionByName(direct)
 
 
 def _kept(text: bytes, row: object, bad: dict[bytes, object], keep: str) -> tuple[bytes, int, int]:
+    """bad: the confirmed hashes of this document, each with the id of its first occurrence."""
+    if not bad:
+        return text, text.count(b"\n") + 1, 0
     lines, out, here = text.split(b"\n"), [], set()
     for line in lines:
         key = line.strip(BLANK).lower()
-        if key in bad and not (keep == "first" and row is not None and bad[key] == row and key not in here):
-            continue
-        here.add(key)
+        if key and (h := xxhash.xxh3_128_digest(key)) in bad:
+            if not (keep == "first" and row is not None and bad[h] == row and h not in here):
+                continue
+            here.add(h)
         out.append(line)
     return b"\n".join(out), len(lines), len(lines) - len(out)
 
 
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2, keep: str = "first", limit: int = LIMIT) -> DataFrame:
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2, keep: str = "first", segment_lines: int = SEGMENT_LINES) -> DataFrame:
     """The input rows with the text less its repeated lines, and ``n_lines`` (before) and
     ``n_dropped``, which replace columns of these names.
 
     keep: "first" leaves a repeated line where it occurs first by id, "none" nowhere.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    bad = written(repeated_lines(docs, id_col, text_col, min_docs, limit))
-    size = bad.agg(F.sum(F.length("key") + F.lit(100))).first()[0] or 0
-    names = docs.columns
+    names, mark, bad = docs.columns, unused(docs, "mark"), unused(docs, "bad")
+    marked = docs.withColumn(mark, F.xxhash64(F.col(id_col), F.col(text_col)))
+    rows = marked.select(F.col(mark).alias("mark"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    suspected = written(suspected_lines(rows, segment_lines))
+    confirmed = suspected.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.min("id").alias("first")).filter(F.col("n_docs") >= min_docs)
+    own = suspected.select("h1", "h2", F.col("mark").alias(mark)).join(confirmed.select("h1", "h2", "first"), ["h1", "h2"])
+    own = own.groupBy(mark).agg(F.collect_set(F.struct("h1", "h2", "first")).alias(bad))
+    joined = marked.join(own, mark, "left").drop(mark)
     schema = ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in docs.schema) + ", n_lines long, n_dropped long"
 
-    def result(batch: pa.RecordBatch, bad_of) -> pa.RecordBatch:
-        found = [_kept(t, row, bad_of(i), keep) for i, (t, row) in enumerate(zip(utf8(batch, text_col), batch.column(id_col).to_pylist()))]
-        columns = [pa.array([f[0].decode("utf-8", "replace") for f in found], pa.string()) if n == text_col else batch.column(n) for n in names]
-        return pa.RecordBatch.from_arrays([*columns, pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())], names=[*names, "n_lines", "n_dropped"])
-
-    if size <= limit:
-        shared = docs.sparkSession.sparkContext.broadcast({bytes(r["key"]): r["first"] for r in bad.toLocalIterator()})
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, text_col):
-                yield result(batch, lambda i: shared.value)
-
-        return docs.mapInArrow(run, schema)
-
-    # Beyond the limit: each document gets its own confirmed keys by joins.
-    mark = F.md5(F.concat_ws("\x01", F.coalesce(F.col(id_col).cast("string"), F.lit("\x02")), F.col(text_col)))
-    marked = docs.withColumn("_mark", mark)
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            found = [(m, k) for m, t in zip(batch.column("_mark").to_pylist(), utf8(batch, "text")) for k in set(line_keys(t)) if k]
-            yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in found], pa.string()), pa.array([k for _, k in found], pa.binary())], names=["_mark", "key"])
-
-    per_doc = marked.select("_mark", F.col(text_col).alias("text")).dropDuplicates(["_mark"]).mapInArrow(own, "_mark string, key binary").join(bad.select("key", "first"), "key").groupBy("_mark").agg(F.collect_list(F.struct("key", "first")).alias("_bad"))
-    joined = marked.join(per_doc, "_mark", "left").drop("_mark")
-
-    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
-            own_bad = batch.column("_bad").to_pylist()
-            yield result(batch, lambda i: {x["key"]: x["first"] for x in own_bad[i] or ()})
+            found = []
+            for text, row, hits in zip(utf8(batch, text_col), batch.column(id_col).to_pylist(), batch.column(bad).to_pylist()):
+                found.append(_kept(text, row, {np.array([x["h1"], x["h2"]]).tobytes(): x["first"] for x in hits or ()}, keep))
+            columns = [pa.array([f[0].decode("utf-8", "replace") for f in found], pa.string()) if n == text_col else batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())], names=[*names, "n_lines", "n_dropped"])
 
-    return joined.mapInArrow(run_joined, schema)
+    return joined.mapInArrow(run, schema)

@@ -2,19 +2,24 @@
 
 A source's target is its weighted share of all words, at most ``max_repeat`` times what the
 source holds; what stands above is shared again by weight.  Of target / size, the whole part
-is given to every document as certain copies.  The rest is an order sample: a document's rank
-is its random odds over its inclusion odds, u/(1-u) : p/(1-p), and the smallest ranks are taken.
-Documents above the source's mean size form a sample of fixed count; the others get the
-inclusion probability that fills the words then missing, so that the source comes within
-about half a small document of its target.
+is given to every document as certain copies.  The rest is an order sample with unequal
+probabilities: a document's inclusion probability grows as the root of its size (of its first
+six binary digits, so that a source has few classes), is cut at one, and is scaled so that the
+expected words fill the rest.  Its rank is its random odds over its inclusion odds,
+u/(1-u) : p/(1-p); documents are taken in rank order.
 
-Within a class p is one number, so ranks order as u does.  Selection cuts the ranks into
-``buckets``: sums per bucket find the one in which the limit falls, and only its rows are
-ordered, so no source is ever sorted in one task.
+The sample's size is fixed in words: ranks are taken up to the last that fits, and the gap that
+is left goes, in rank order again, to documents no larger than it.  So one very long document
+near the limit does not make a source miss its target; the gap is a part of that document at most.
+
+Ranks are mapped to (0, 1) and cut into ``buckets``: sums per bucket find the one in which the
+limit falls, near the middle by construction, and only its rows are ordered.  What comes of it
+is one limit a source, so rows meet their source's line and nothing else.
 
 Defined cases: a null text has size 0; null sources form one source, last in order; rows of
-size 0 are never taken; repeated rows are each taken or not, ties of u go by id; an empty
-table gives an empty table.  u comes from md5 of the id: reruns agree.
+size 0 are never taken; ties of rank go by id, then size, and rows alike in source, id and size
+are taken together or not at all; an empty table gives an empty table; other columns are
+ignored.  u comes from md5 of the id: reruns agree.
 """
 
 from __future__ import annotations
@@ -52,58 +57,72 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
     return rows.select("source", "source_size", F.least("cap", F.coalesce(F.col("share") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
+def inclusion(classes: DataFrame) -> DataFrame:
+    """(key, step, words, wanted), one row a class of sizes -> (key, step, p): the chance of a
+    document of each class, min(1, c * root of the step), with c such that the expected words
+    are those wanted.  Classes from the largest on are certain until c fits those left."""
+    down, up = Window.partitionBy("key").orderBy(F.desc("step")), Window.partitionBy("key").orderBy("step")
+    rows = classes.withColumn("root", F.sqrt("step"))
+    rows = rows.withColumn("sure", (F.sum("words").over(down) - F.col("words")).cast("double"))
+    rows = rows.withColumn("scale", (F.col("wanted") - F.col("sure")) / F.sum(F.col("words") * F.col("root")).over(up))
+    fits = F.when(F.col("scale") * F.col("root") <= 1.0, F.struct("step", "scale"))
+    scale = F.max(fits).over(Window.partitionBy("key"))["scale"]
+    return rows.select("key", "step", F.least(F.lit(1.0), F.coalesce(scale, F.lit(1.0)) * F.col("root")).alias("p"))
+
+
+def _limit(rows: DataFrame, wanted: DataFrame, by_middle: bool) -> DataFrame:
+    """(key, at): the last of the rows (key, bucket, order, size) that fits into the wanted
+    words of its source, in rank order; ``by_middle``: the nearest one instead."""
+    cells = rows.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
+    cells = cells.withColumn("before", F.sum("words").over(Window.partitionBy("key").orderBy("bucket")) - F.col("words")).join(wanted, "key")
+    some = cells.filter(F.col("before") <= F.col("wanted")).groupBy("key").agg(F.max(F.struct("bucket", "before", "wanted")).alias("edge")).select("key", "edge.*")
+    # The rows of the edge's bucket, and one limit for the buckets before it.
+    inside = rows.join(some, ["key", "bucket"])
+    ends = F.col("before") + F.sum("size").over(Window.partitionBy("key", "bucket").orderBy("order"))
+    fits = (ends - F.col("size") / 2.0 if by_middle else ends) <= F.col("wanted")
+    inside = inside.withColumn("fits", fits).filter("fits").groupBy("key").agg(F.max("order").alias("at"))
+    return some.select("key", "bucket").join(inside, "key", "left")
+
+
+def _within(limit: str) -> Column:
+    """Whether a row comes before the limit or is it."""
+    return F.coalesce((F.col("bucket") < F.col(f"{limit}.bucket")) | ((F.col("bucket") == F.col(f"{limit}.bucket")) & (F.col("order") <= F.col(f"{limit}.at"))), F.lit(False))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, buckets: int = BUCKETS) -> DataFrame:
-    """One row per input row: id, source, size, source_size, target, copies, taken."""
+    """One row per input row: id, source, size, source_size, target, chance (of the copy beyond
+    the certain ones), copies, taken."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), uniform(F.col(id_col)).alias("u")))
     # Null-safe equi-keys: a null source has the key null, all others their own in brackets.
     key = F.coalesce(F.concat(F.lit("["), F.col("source").cast("string"), F.lit("]")), F.lit("null"))
-    rows = rows.withColumn("key", key).withColumn("name", F.coalesce(F.col("id").cast("string"), F.lit("")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), uniform(F.col(id_col)).alias("u"))
+    step = F.expr("size - size % shiftleft(1L, greatest(0, length(bin(size)) - 6))")
+    rows = written(rows.withColumn("key", key).withColumn("step", step))
 
-    sums = rows.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.sum((F.col("size") > 0).cast("long")).alias("filled"))
-    plan = source_targets(sums.select("source", "source_size"), weights, max_repeat).withColumn("key", key)
+    classes = written(rows.groupBy("key", "step").agg(F.first("source").alias("source"), F.sum("size").alias("words")))
+    sums = classes.groupBy("key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = plan.join(sums.select("key", "filled"), "key").withColumn("ratio", ratio).withColumn("certain", F.floor("ratio")).withColumn("p", F.col("ratio") - F.col("certain"))
-    plan = plan.withColumn("mean", F.when(F.col("filled") > 0, F.col("source_size") / F.col("filled")).otherwise(F.lit(0.0)))
-    plan = written(plan.select("key", "source_size", "target", "certain", "p", "mean"))
-
-    spread = rows.filter("size > 0").join(plan, "key").withColumn("large", F.col("size") > F.col("mean")).withColumn("bucket", F.floor(F.col("u") * buckets))
-    cells = written(spread.groupBy("key", "large", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")))
-
-    # Documents above the mean: the first round(p * count) by rank.
-    counts = cells.filter("large").join(plan.select("key", "p"), "key")
-    by_bucket = Window.partitionBy("key").orderBy("bucket")
-    whole = Window.partitionBy("key")
-    counts = counts.withColumn("limit", F.round(F.col("p") * F.sum("n").over(whole)).cast("double")).withColumn("before", (F.sum("n").over(by_bucket) - F.col("n")).cast("double"))
-    cut_large = counts.select("key", "bucket", F.col("before"), "limit", (F.col("before") + F.col("n") <= F.col("limit")).alias("all"), (F.col("before") < F.col("limit")).alias("some"))
-
-    def ranked(part: DataFrame, cut: DataFrame, by_words: bool) -> DataFrame:
-        """Rows of the class that are taken: whole buckets below the limit, and in the
-        bucket that holds it those ranked before it."""
-        joined = part.join(cut.filter("some"), ["key", "bucket"])
-        edge = joined.filter(~F.col("all"))
-        place = Window.partitionBy("key", "bucket").orderBy("u", "name", "size")
-        if by_words:
-            passed = F.col("before") + F.sum("size").over(place.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2.0 <= F.col("limit")
-        else:
-            passed = F.col("before") + F.row_number().over(place) <= F.col("limit")
-        edge = edge.withColumn("passed", passed).filter("passed")
-        return joined.filter("all").select("key", "name", "size").unionByName(edge.select("key", "name", "size"))
-
-    lean = spread.select("key", "name", "u", "size", "large", "bucket")
-    picked_large = written(ranked(lean.filter("large"), cut_large, False))
-
-    # The others fill the words then missing, in rank order, to the nearest document.
-    got = picked_large.groupBy("key").agg(F.sum("size").alias("got"))
-    words = cells.filter(~F.col("large")).join(plan.select("key", "p", "source_size"), "key").join(got, "key", "left")
-    words = words.withColumn("limit", F.col("p") * F.col("source_size") - F.coalesce("got", F.lit(0))).withColumn("before", (F.sum("words").over(by_bucket) - F.col("words")).cast("double"))
-    # A bucket is whole if even its last document ends at the limit; a document passes by its middle.
-    cut_small = words.select("key", "bucket", "before", "limit", (F.col("before") + F.col("words") <= F.col("limit")).alias("all"), (F.col("before") < F.col("limit")).alias("some"))
-    picked_small = ranked(lean.filter(~F.col("large")), cut_small, True)
-
-    picked = picked_large.unionByName(picked_small).groupBy("key", "name", "size").agg(F.count(F.lit(1)).alias("extra"))
-    # Rows that repeat in id and size are alike: `extra` of them get the copy.
-    twins = Window.partitionBy("key", "name", "size").orderBy("u")
-    out = rows.join(plan.select("key", "source_size", "target", "certain"), "key").join(picked, ["key", "name", "size"], "left")
-    out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("certain") + (F.row_number().over(twins) <= F.coalesce("extra", F.lit(0))).cast("long")).otherwise(F.lit(0)))
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", F.col("target").cast("double").alias("target"), F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    plan = source_targets(sums.select("source", "source_size"), weights, max_repeat).withColumn("key", key).withColumn("ratio", ratio)
+    plan = written(plan.select("key", "source_size", "target", F.floor("ratio").alias("certain"), ((F.col("ratio") - F.floor("ratio")) * F.col("source_size")).alias("wanted")))
+    chances = inclusion(classes.filter("step > 0").join(plan.select("key", "wanted"), "key").select("key", "step", "words", "wanted"))
+
+    # Rank q = odds / inclusion odds, as q / (1 + q); certain documents have 0.
+    met = rows.join(written(chances), ["key", "step"], "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
+    far = F.col("u") * (1.0 - F.col("p"))
+    met = met.withColumn("rank", F.when(F.col("p") > 0, far / (far + (1.0 - F.col("u")) * F.col("p"))).otherwise(F.lit(1.0)))
+    met = met.withColumn("bucket", F.floor(F.col("rank") * buckets)).withColumn("order", F.struct("rank", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("name"), "size"))
+    open_ = met.filter("size > 0 AND p > 0").select("key", "bucket", "order", "size")
+    wanted = plan.filter("wanted > 0").select("key", "wanted")
+    first = written(_limit(open_, wanted, False))
+
+    beside = open_.join(first.select("key", F.struct("bucket", "at").alias("first")), "key", "left").withColumn("in", _within("first"))
+    taken = beside.filter("in").groupBy("key").agg(F.sum("size").alias("got"))
+    gap = written(wanted.join(taken, "key", "left").select("key", (F.col("wanted") - F.coalesce("got", F.lit(0))).alias("wanted")))
+    small = beside.filter("NOT in").join(gap, "key").filter(F.col("size") <= F.col("wanted")).select("key", "bucket", "order", "size")
+    second = written(_limit(small, gap, True))
+
+    limits = plan.join(first.select("key", F.struct("bucket", "at").alias("first")), "key", "left").join(second.select("key", F.struct("bucket", "at").alias("second")), "key", "left").join(gap.withColumnRenamed("wanted", "gap"), "key", "left").drop("wanted")
+    out = met.join(limits, "key")
+    more = (F.col("p") > 0) & (_within("first") | ((F.col("size") <= F.coalesce("gap", F.lit(0.0))) & _within("second")))
+    out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("certain") + more.cast("long")).otherwise(F.lit(0)).cast("long"))
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", F.col("target").cast("double").alias("target"), F.col("p").alias("chance"), "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))

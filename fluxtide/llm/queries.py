@@ -53,7 +53,7 @@ def op9_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pareto.mix(table(spark, sf_dir, "documents")).drop("copies")
+    return pareto.mix(table(spark, sf_dir, "documents")).drop("copies", "chance")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -92,7 +92,7 @@ WITH sized AS (
            (('0x' || substr(md5(doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
     FROM documents
 ), sources AS (
-    SELECT source, sum(size)::BIGINT AS source_size, count(*) FILTER (WHERE size > 0) AS filled,
+    SELECT source, sum(size)::BIGINT AS source_size,
            CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight,
            row_number() OVER (ORDER BY source NULLS LAST) AS place
     FROM sized GROUP BY source
@@ -103,24 +103,39 @@ WITH sized AS (
               / sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
     FROM capped
 ), plan AS (
-    SELECT source, source_size, filled, least(cap, (SELECT arg_min(level, (cap / weight, place)) FROM levels WHERE level <= cap / weight) * weight) AS target FROM levels
+    SELECT source, source_size, least(cap, (SELECT arg_min(level, (cap / weight, place)) FROM levels WHERE level <= cap / weight) * weight) AS target FROM levels
 ), rated AS (
-    SELECT *, floor(ratio) AS certain, ratio - floor(ratio) AS p, CASE WHEN filled > 0 THEN source_size / filled ELSE 0 END AS mean
+    SELECT *, floor(ratio) AS certain, (ratio - floor(ratio)) * source_size AS wanted
     FROM (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS ratio FROM plan)
+), stepped AS (
+    SELECT *, size - size % (1::BIGINT << greatest(0, length(bin(size)) - 6)) AS step FROM sized
+), classes AS (
+    SELECT s.source, s.step, sqrt(s.step) AS root, sum(s.size)::BIGINT AS words, any_value(r.wanted) AS wanted
+    FROM stepped s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source WHERE s.step > 0 GROUP BY s.source, s.step
+), scales AS (
+    SELECT *, (wanted - (sum(words) OVER (PARTITION BY source ORDER BY step DESC) - words))
+              / sum(words * root) OVER (PARTITION BY source ORDER BY step) AS scale
+    FROM classes
+), fitting AS (
+    SELECT source, arg_max(scale, step) AS scale FROM scales WHERE scale * root <= 1.0 GROUP BY source
+), chances AS (
+    SELECT c.source, c.step, least(1.0, coalesce(f.scale, 1.0) * c.root) AS p
+    FROM classes c LEFT JOIN fitting f ON c.source IS NOT DISTINCT FROM f.source
 ), joined AS (
-    SELECT s.doc_id, s.source, s.size, s.u, r.source_size, r.target, r.certain, r.p, s.size > r.mean AS big
-    FROM sized s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source
-), large AS (
-    SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY u, doc_id::VARCHAR) <= round(p * count(*) OVER (PARTITION BY source)) AS taken
-    FROM joined WHERE size > 0 AND big
-), got AS (
-    SELECT source, sum(size) AS words FROM large WHERE taken GROUP BY source
-), small AS (
-    SELECT j.doc_id, j.p * j.source_size - coalesce(g.words, 0) AS wanted,
-           sum(j.size) OVER (PARTITION BY j.source ORDER BY j.u, j.doc_id::VARCHAR ROWS UNBOUNDED PRECEDING) - j.size / 2.0 AS middle
-    FROM joined j LEFT JOIN got g ON j.source IS NOT DISTINCT FROM g.source WHERE j.size > 0 AND NOT j.big
+    SELECT s.doc_id, s.source, s.size, r.source_size, r.target, r.certain, r.wanted, coalesce(c.p, 0.0) AS p,
+           CASE WHEN c.p > 0 THEN (s.u * (1.0 - c.p)) / (s.u * (1.0 - c.p) + (1.0 - s.u) * c.p) ELSE 1.0 END AS place
+    FROM stepped s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source
+         LEFT JOIN chances c ON s.source IS NOT DISTINCT FROM c.source AND s.step = c.step
+), first AS (
+    SELECT *, sum(size) OVER (PARTITION BY source ORDER BY place, doc_id::VARCHAR, size) <= wanted AS fits
+    FROM joined WHERE size > 0 AND p > 0 AND wanted > 0
+), gaps AS (
+    SELECT source, any_value(wanted) - coalesce(sum(size) FILTER (WHERE fits), 0) AS gap FROM first GROUP BY source
+), second AS (
+    SELECT f.doc_id, sum(f.size) OVER (PARTITION BY f.source ORDER BY f.place, f.doc_id::VARCHAR, f.size) - f.size / 2.0 <= g.gap AS fits
+    FROM first f JOIN gaps g ON f.source IS NOT DISTINCT FROM g.source WHERE NOT f.fits AND f.size <= g.gap
 ), extra AS (
-    SELECT doc_id FROM large WHERE taken UNION ALL SELECT doc_id FROM small WHERE wanted > 0 AND middle <= wanted
+    SELECT doc_id FROM first WHERE fits UNION ALL SELECT doc_id FROM second WHERE fits
 )
 SELECT j.doc_id, j.source, j.size, j.source_size, j.target,
        (CASE WHEN j.size > 0 THEN j.certain + (e.doc_id IS NOT NULL)::INT ELSE 0 END * j.size)::BIGINT AS taken

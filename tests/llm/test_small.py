@@ -41,7 +41,7 @@ def docs(spark):
 
     d = spark.createDataFrame(ROWS, SCHEMA).repartition(5).cache()
     # Columns whose names the operators use inside.
-    return d.withColumns({c: F.lit(7) for c in ("id", "fp", "key", "n_lines", "size", "held_out", "word", "bucket", "r1", "segment", "item", "host")})
+    return d.withColumns({c: F.lit(7) for c in ("id", "fp", "key", "n_lines", "size", "held_out", "word", "bucket", "r1", "segment", "item", "host", "mark", "bad", "_mark", "_bad", "h1", "first")})
 
 
 @pytest.fixture(scope="module")
@@ -280,9 +280,9 @@ def test_token_ties_and_unknowns():
 # --- 6 -----------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("limit", [lines.LIMIT, 0])
+@pytest.mark.parametrize("size", [lines.SEGMENT_LINES, 100])
 @pytest.mark.parametrize("keep", ["none", "first"])
-def test_line_dedup(docs, empty, limit, keep):
+def test_line_dedup(docs, empty, size, keep):
     strip = " \t\n\r\x0b\x0c"
     n, first = Counter(), {}
     for row in ROWS:
@@ -301,10 +301,10 @@ def test_line_dedup(docs, empty, limit, keep):
             here.add(k)
             out.append(x)
         want.append((row[0], "\n".join(out), len(parts), len(parts) - len(out)))
-    got = lines.drop_lines(docs, min_docs=10, keep=keep, limit=limit)
+    got = lines.drop_lines(docs, min_docs=10, keep=keep, segment_lines=size)
     assert Counter(tuple(r) for r in got.select("doc_id", "text", "n_lines", "n_dropped").collect()) == Counter(want)
     assert len(bad) > 3
-    assert lines.drop_lines(empty, limit=limit).count() == 0
+    assert lines.drop_lines(empty, segment_lines=size).count() == 0
 
 
 def test_bloom_filter():
@@ -434,6 +434,49 @@ def test_mix_of_many(spark):
     assert (abs(per.taken / per.target - 1) < 0.02).all()
 
 
+def test_mix_meets_targets_beside_very_long_documents(spark):
+    sizes = [1_000_000, *[100_000] * 9, *[100] * 1000]
+    rows = [(i, "w " * n, "a") for i, n in enumerate(sizes)] + [(5000 + i, "w " * 1000, "b") for i in range(3000)]
+    for shift in range(2):
+        skewed = spark.createDataFrame([(i + 10_000 * shift, t, s) for i, t, s in rows], "doc_id long, text string, source string")
+        per = pareto.mix(skewed, weights=(1, 4)).groupBy("source").agg({"target": "first", "taken": "sum"}).toPandas()
+        assert (abs(per["sum(taken)"] / per["first(target)"] - 1) < 0.01).all()
+
+
+def test_mix_ranks_and_chances(spark):
+    """The rank is odds over inclusion odds, sizes of one class share a chance, chances fill the
+    wanted words, and over many ids documents are taken as often as their chance says."""
+    rows = [(i, "w " * n, "a" if i % 2 else "b") for i, n in enumerate([1, 2, 5, 30, 31, 64, 65, 200, 900, 4000] * 400)]
+    got = pareto.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(3, 1)).toPandas()
+    for _, own in got.groupby("source"):
+        size, taken, certain = own.source_size.iloc[0], own.taken.sum(), own.copies.min()
+        assert abs((own.chance * own["size"]).sum() - (own.target.iloc[0] - certain * size)) < 1e-6 * size
+        assert abs(taken / own.target.iloc[0] - 1) < 1e-3
+        for n, part in own.groupby("size"):
+            p, k = part.chance.iloc[0], len(part)
+            assert (part.chance == p).all()
+            assert abs((part.copies - certain).mean() - p) < 4.5 * math.sqrt(p * (1 - p) / k) + 1e-9
+        # In rank order: all that fit, then, of those no larger than the gap, up to its middle.
+        def rank(r):
+            u = (int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            return (u / (1 - u)) / (r.chance / (1 - r.chance)) if r.chance < 1 else 0.0
+
+        wanted = own.target.iloc[0] / size % 1 * size
+        want, left = set(), []
+        order = sorted(own.itertuples(), key=lambda r: (rank(r), str(r.doc_id)))
+        total = 0
+        for r in order:
+            total += r.size
+            (want.add(r.doc_id) if total <= wanted else left.append(r))
+        gap = wanted - sum(r.size for r in order if r.doc_id in want)
+        total = 0
+        for r in (r for r in left if r.size <= gap):
+            total += r.size
+            if total - r.size / 2 <= gap:
+                want.add(r.doc_id)
+        assert {r.doc_id for r in own.itertuples() if r.copies > certain} == want
+
+
 def test_targets_share_the_excess(spark):
     sizes = {"a": 10, "b": 1000, "c": 5, None: 2000, "d": 0}
     got = {r["source"]: r["target"] for r in pareto.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
