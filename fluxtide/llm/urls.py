@@ -18,26 +18,27 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BITS = 14
-THRESHOLD = 0.6  # a page is blocked by the model only where it leans clearly
-SIZES = (4, 5, 6)
+BITS = 16
+THRESHOLD = 0.5  # both labels weigh alike in the fit
+SIZES = (3, 4, 5, 6)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # The rules of the contract, as (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
-# The small labelled table: names that a host bears (1: block), each put into the shapes
-# below, and whole URLs.
-NAMES = {
-    1: """casino-online casino-win poker-room big-jackpot sports-bets free-bets betting-odds free-spins slot-machines lottery-claim win-prize adult-video adult-x
-    adult-dating xxx-clips sexy-cams live-cams cheap-pills diet-pills pills-shop free-viagra cheap-meds spam-mail spam-links link-farm spam-farm seo-backlinks
-    cheap-backlinks ads-server ads-track adserver ad-tracker ads-banner banner-track popup-ads clickbait click-fraud phish-login malware-load crack-serial keygen-warez""".split(),
+# The small labelled table: hosts of two stems of the same label (1: block), each put into the
+# shapes below, and whole URLs.  The hosts that a test measures on are not among them.
+STEMS = {
+    1: """casino poker jackpot bets odds spins slots lottery win prize adult xxx sexy cams dating cheap pills viagra meds diet spam mail links farm seo ads adserver
+    track banner popup click phish malware crack warez free money""".split(),
     0: """lantern harbour thunder nation weather motion thread another station garden river history cooking travel museum library theatre school science journal market
     winter summer morning evening mountain forest meadow bridge tower castle village city country music painting poetry reading writing teaching learning building
     farming fishing sailing walking engine wheel paper pencil letter number question answer reason season ocean island desert planet harvest kitchen window
-    orchard battle temple father mother brother sister weaver potter archive gallery concert festival recipe bakery tavern clinic pharmacy adviser address""".split(),
+    other author together weather leather brother either northern southern section fashion mission version thinking nothing everything shelter member number winner
+    address adviser between better cheaper freedom linking painter tracking adultery widow therapy thirteen earth health wealth theory method rhythm athlete""".split(),
 }
-SHAPES = ("http://{}.example.com/en/1", "https://www.{}.example.org/de/2.html", "http://m.{}.example.net/fr/3/", "https://blog.{}.example.com/es/4?page=2", "https://{}.com/")
+APART = (4, 7, 13, 19)
+SHAPES = ("http://{}.com/index.php?p=3", "https://www.{}.org/a/b/page.htm", "http://shop.{}.net/list/en/7", "https://m.{}.co.uk/fr/4", "http://{}.example.edu/node/12")
 LABELLED = {
     1: """http://ads.shop-deals.com/click?id=1 https://track.ads-media.com/pixel.gif http://best-casino.club/jackpot https://poker-win.biz/bonus
     http://xxx-videos.com/adult/12 https://adult-cams.com/live http://win-prize.click/lottery/claim http://phish-login.com/verify/account
@@ -45,13 +46,14 @@ LABELLED = {
     0: """https://en.encyclopedia.org/wiki/Spark https://docs.python.org/3/library/re.html https://news.daily-paper.com/politics/2024/05/01/budget.html
     https://www.university.edu/research/papers/12.pdf https://blog.engineer.com/posts/how-joins-work https://library.city.gov/catalog/item/99
     https://www.recipes.com/en/soup/lentil https://forum.gardeners.org/thread/4411 https://www.hospital.org/patients/visiting https://shop.books.com/en/novels/3
-    https://a.org/ http://b.org/de/ https://c.com/en/ http://d.net/es/9""".split(),
+    http://x.org/ https://y.com/ https://z.net/about https://q.edu/ http://k.org/de/""".split(),
 }
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """(url, label) as a frame of literals."""
-    rows = [(url, label) for label, urls in LABELLED.items() for url in urls] + [(shape.format(name), label) for label, names in NAMES.items() for name in names for shape in SHAPES]
+    hosts = [(f"{a}-{stems[(i + k) % len(stems)]}", label) for label, stems in STEMS.items() for i, a in enumerate(stems) for k in APART]
+    rows = [(url, label) for label, urls in LABELLED.items() for url in urls] + [(shape.format(host), label) for host, label in hosts for shape in SHAPES]
     return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{url}', {label}.0D)" for url, label in rows) + " AS t(url, label)")
 
 
@@ -74,19 +76,22 @@ def ngrams(text: Column, tag: str, sizes: tuple[int, ...] = SIZES) -> Column:
 
 def features(urls: DataFrame, bits: int = BITS) -> DataFrame:
     """Adds ``grams``, hashed to a sparse vector ``features``; host and path must be there."""
-    # Digits say nothing about a host or path: each run becomes one 0.
-    plain = lambda c: F.regexp_replace(F.col(c), "[0-9]+", "0")
+    # Digits say nothing about a host or path: each run becomes one 0.  Parts of a host are
+    # alike whether a dot or a hyphen parts them.
+    plain = lambda c: F.regexp_replace(F.regexp_replace(F.col(c), "[0-9]+", "0"), "[.-]+", ".")
     grams = urls.withColumn("grams", F.concat(ngrams(plain("host"), "h"), ngrams(plain("path"), "p")))
     return HashingTF(numFeatures=1 << bits, binary=True, inputCol="grams", outputCol="features").transform(grams)
 
 
 def train(spark: SparkSession, labelled: DataFrame | None = None, bits: int = BITS) -> LogisticRegressionModel:
-    """Fits on (url, label); the table is small by contract."""
+    """Fits on (url, label), both labels weighing alike; the table is small by contract."""
     rows = labelled if labelled is not None else labelled_urls(spark)
     host, path = host_path(F.col("url"))
-    # A few hundred rows: one partition, so that a step of the fit is one task.
+    # A thousand rows: one partition, so that a step of the fit is one task.
     rows = features(rows.select(host.alias("host"), path.alias("path"), "label").coalesce(1), bits)
-    return LogisticRegression(maxIter=60, regParam=0.0002, standardization=False, featuresCol="features", labelCol="label").fit(rows)
+    share = rows.agg(F.avg("label")).first()[0]
+    rows = rows.withColumn("weight", F.when(F.col("label") > 0, F.lit(0.5 / share)).otherwise(F.lit(0.5 / (1 - share))))
+    return LogisticRegression(maxIter=60, regParam=0.0002, standardization=False, featuresCol="features", labelCol="label", weightCol="weight").fit(rows)
 
 
 def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...] = RULES) -> Column:

@@ -413,6 +413,19 @@ def test_url_model_held_out(spark):
     assert sum(g == (i < 4) for i, g in enumerate(got)) >= 6 and not any(got[4:])
 
 
+def test_url_model_on_the_pages(spark):
+    """Trained on other names and other shapes of URLs, judged on hosts it has never seen."""
+    from pyspark.sql import functions as F
+
+    bad = "casino-win free-bets cheap-pills ads-track spam-farm adult-x".split()
+    shown = [r["url"] for r in urls.labelled_urls(spark).collect()]
+    assert not any(name in x for name in bad for x in shown)
+    judged = urls.judge(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"), urls.train(spark))
+    by = judged.withColumn("bad", F.col("host").rlike("|".join(bad))).groupBy("bad").agg(F.avg((F.col("block_probability") > urls.THRESHOLD).cast("double"))).collect()
+    share = {r[0]: r[1] for r in by}
+    assert share[True] > 0.8 and share[False] < 0.02, share
+
+
 # --- 10 ----------------------------------------------------------------------------------
 
 
