@@ -41,6 +41,7 @@ BLANK = b" \t\n\r\x0b\x0c"
 SEGMENT_LINES = 1 << 20
 RUN_LINES = 1 << 18
 BITS_PER_LINE, PROBES = 16, 4
+SALTS = 32
 
 
 def line_keys(text: bytes) -> list[bytes]:
@@ -178,7 +179,9 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = marked.select(F.col(mark).alias("mark"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     suspected = written(suspected_lines(rows, segment_lines))
     confirmed = suspected.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.min("id").alias("first")).filter(F.col("n_docs") >= min_docs)
-    own = suspected.select("h1", "h2", F.col("mark").alias(mark)).join(confirmed.select("h1", "h2", "first"), ["h1", "h2"])
+    # A line of very many documents meets its verdict in several tasks, one a salt.
+    salted = confirmed.select("h1", "h2", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own = suspected.select("h1", "h2", F.pmod("mark", F.lit(SALTS)).cast("int").alias("salt"), F.col("mark").alias(mark)).join(salted, ["h1", "h2", "salt"])
     own = own.groupBy(mark).agg(F.collect_set(F.struct("h1", "h2", "first")).alias(bad))
     joined = marked.join(own, mark, "left").drop(mark)
     schema = ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in docs.schema) + ", n_lines long, n_dropped long"
