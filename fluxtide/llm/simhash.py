@@ -1,14 +1,17 @@
 """SimHash near-dedup: 64-bit fingerprints, links within a Hamming radius, vantage-point trees.
 
-Fingerprints are made once per text and reduced to distinct values.  Two fingerprints within
-4 bits agree wholly on two of six bit blocks, so each value is sent to the shards of its 15
-pairs of blocks; there every linked pair meets.  A shard's values stand in a vantage-point
-tree: a vantage point and the median distance to it part them, and a query enters a side
-only if the triangle bound lets a value there be within the radius, so queries near the
-boundary enter both.  Shards give a spanning forest of their links, never all pairs; the
-forests' union has the components of the link graph.  (Trees over *all* values are not the
-shards themselves: at radius 4 two thirds of unrelated 64-bit values lie near a median
-boundary, so most would be copied to both sides at every level.)
+Fingerprints are made once per text and reduced to distinct values.  A first cut deals them to
+shards: two values within ``radius`` bits agree wholly on ``t`` of radius + t bit blocks, so each
+value goes to one shard for each choice of t blocks, and every linked pair meets.  t is the
+least, from zero, at which shards of unrelated values hold ``most / 2`` values or fewer: one
+shard for small tables, five a value up to some tens of millions, fifteen up to thousands of
+millions.  Inside a shard a vantage-point tree does the search: a vantage point and the median
+distance to it part the values, and a query enters a side only if the triangle bound lets a
+value there be within the radius, so queries near the boundary enter both.  Shards give a
+spanning forest of their links, never all pairs; the forests' union has the components of the
+link graph.  (A tree over *all* values is not the first cut: at radius 4 two thirds of unrelated
+64-bit values lie near a median boundary and would be copied to both sides at every level; the
+README has figures.)
 
 A shard with more than ``most`` values is cut into chunks, and pairs of chunks are the tasks.
 
@@ -29,13 +32,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._text import slices, utf8, written
+from ._text import slices, unused, utf8, written
 from .graph import components
 
 WORDS, RADIUS, SEED = 4, 4, 42
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 MOST = 8192
-LEAF = 64
+LEAF = 16
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -92,6 +94,7 @@ class VantageTree:
 
     def __init__(self, values: np.ndarray, places: np.ndarray):
         self.values = values
+        self.visits = [0, 0]  # queries times inner nodes entered, and sides that bounds spared
         self.top = self._build(places)
 
     def _build(self, places: np.ndarray):
@@ -122,8 +125,11 @@ class VantageTree:
             return
         vantage, middle, inner, outer = node
         apart = _apart(self.values[queries], self.values[vantage]).astype(np.int64)
-        self.links(queries[apart - radius <= middle], radius, forest, inner)
-        self.links(queries[apart + radius > middle], radius, forest, outer)
+        near, far = queries[apart - radius <= middle], queries[apart + radius > middle]
+        self.visits[0] += len(queries)
+        self.visits[1] += 2 * len(queries) - len(near) - len(far)
+        self.links(near, radius, forest, inner)
+        self.links(far, radius, forest, outer)
 
 
 def shard_forest(values: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -134,14 +140,25 @@ def shard_forest(values: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray,
     return values[own], values[forest.root[own]]
 
 
-def _shards() -> Column:
-    block = lambda i: F.shiftrightunsigned(F.col("fp"), BLOCKS[i][0]).bitwiseAND((1 << BLOCKS[i][1]) - 1)
-    return F.array(*[F.shiftleft(F.lit(k).cast("long"), 32).bitwiseOR(F.shiftleft(block(i), 12)).bitwiseOR(block(j)) for k, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))])
+def blocks_shared(n: int, radius: int = RADIUS, most: int = MOST) -> int:
+    """t: how many of radius + t blocks two values of a shard have in common, for n values."""
+    t = 0
+    while n > (most // 2) << (64 * t // (radius + t)):
+        t += 1
+    return t
+
+
+def _shards(t: int, radius: int) -> Column:
+    """Keys of the shards; keys that collide only make a shard larger."""
+    edges = [64 * i // (radius + t) for i in range(radius + t + 1)]
+    block = lambda i: F.shiftrightunsigned(F.col("fp"), edges[i]).bitwiseAND((1 << (edges[i + 1] - edges[i])) - 1)
+    return F.array(*[F.xxhash64(F.lit(k), *map(block, chosen)) for k, chosen in enumerate(combinations(range(radius + t), t))])
 
 
 def links(values: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
     """Distinct (fp) -> (u, v): edges whose components are those of all links."""
-    rows = values.select("fp", F.explode(_shards()).alias("shard"))
+    t = blocks_shared(values.count(), radius, most)
+    rows = values.select("fp", F.explode(_shards(t, radius)).alias("shard"))
     big = written(rows.groupBy("shard").count().filter(F.col("count") > most).withColumn("chunks", F.ceil(F.col("count") / (most // 2)).cast("int")).select("shard", "chunks"))
     small = big.count() <= 100_000  # else the join is left to the optimiser
     rows = rows.join(F.broadcast(big) if small else big, "shard", "left")
@@ -158,12 +175,12 @@ def links(values: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFram
             sizes = np.diff(edges)
             group = np.repeat(np.arange(len(sizes)), sizes)
             us, vs = [], []
-            for step in range(1, 8):  # groups of up to 8 values, all at once
-                a = np.flatnonzero((group[step:] == group[:-step]) & (sizes[group[step:]] <= 8))
+            for step in range(1, LEAF):  # groups that are a single leaf, all at once
+                a = np.flatnonzero((group[step:] == group[:-step]) & (sizes[group[step:]] <= LEAF))
                 near = a[_apart(fps[a], fps[a + step]) <= radius]
                 us.append(fps[near])
                 vs.append(fps[near + step])
-            for g in np.flatnonzero(sizes > 8):
+            for g in np.flatnonzero(sizes > LEAF):
                 u, v = shard_forest(np.unique(fps[edges[g] : edges[g + 1]]), radius)
                 us.append(u)
                 vs.append(v)
@@ -207,26 +224,25 @@ def grouped(rows: DataFrame, edges: DataFrame, values: DataFrame | None = None)
     return rows.join(placed, "fp")
 
 
-def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The input rows with what orders them in a component as ``_mark``."""
-    mark = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("sum"))
-    return docs.withColumn("_mark", mark)
+def marked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """The input rows with what orders them in a component, and that column's name."""
+    name = unused(docs, "mark")
+    return docs.withColumn(name, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("sum"))), name
 
 
-def keep_first(docs: DataFrame, placed: DataFrame, rows: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, mark: str, placed: DataFrame, rows: DataFrame) -> DataFrame:
     """Of marked rows those that name their component; ``rows`` has the marks as id."""
-    stay = placed.filter("id = component").select(F.col("id").alias("_mark")).distinct()
+    stay = placed.filter("id = component").select(F.col("id.sum").alias("kept_sum"), F.col("id.id").alias("kept_id")).distinct()
     # Joined by the sum, which is never null, and the id, null-safe.
-    kept = stay.select(F.col("_mark.sum").alias("_sum"), F.col("_mark.id").alias("_id"))
-    found = docs.join(kept, (F.col("_mark.sum") == F.col("_sum")) & F.col("_mark.id").eqNullSafe(F.col("_id")), "left_semi")
+    found = docs.join(stay, (docs[mark]["sum"] == stay["kept_sum"]) & docs[mark]["id"].eqNullSafe(stay["kept_id"]), "left_semi")
     # Rows alike in id and text are rare: only a table that has some pays the second exchange.
     alike = rows.groupBy("id").count().filter("count > 1").limit(1).count()
-    return (found.dropDuplicates(["_mark"]) if alike else found).drop("_mark")
+    return (found.dropDuplicates([mark]) if alike else found).drop(mark)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, most: int = MOST) -> DataFrame:
     """The input rows less all but one of each component: the one with the smallest id, then
     the smallest md5 of its text (rows alike in both are one).  Null ids come last."""
-    with_mark = marked(docs, id_col, text_col)
-    rows = written(fingerprints(with_mark, "_mark", text_col))
-    return keep_first(with_mark, _grouped(rows, radius, most), rows)
+    with_mark, mark = marked(docs, id_col, text_col)
+    rows = written(fingerprints(with_mark, mark, text_col))
+    return keep_first(with_mark, mark, _grouped(rows, radius, most), rows)

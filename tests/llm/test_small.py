@@ -160,7 +160,7 @@ def roots_of(values, near):
     return [find(i) for i in range(len(values))]
 
 
-@pytest.mark.parametrize("most", [8192, 4])
+@pytest.mark.parametrize("most", [8192, 64, 4])
 def test_simhash(docs, most):
     fps = [brute_fp(r[1]) for r in ROWS]
     roots = roots_of(fps, lambda a, b: (a ^ b).bit_count() <= 4)
@@ -171,7 +171,9 @@ def test_simhash(docs, most):
     want = Counter((row[0], f"{f:016x}", least.get(r)) for row, f, r in zip(ROWS, fps, roots))
     got = Counter(tuple(r) for r in simhash.near_duplicates(docs, most=most).collect())
     assert got == want
-    kept = [r["doc_id"] for r in simhash.keep_one(docs, most=most).collect()]
+    stay = simhash.keep_one(docs, most=most)
+    assert stay.columns == docs.columns
+    kept = [r["doc_id"] for r in stay.collect()]
     assert Counter(kept) == Counter(least.get(r) for r in set(roots))
 
 
@@ -195,6 +197,20 @@ def test_vantage_forest():
     assert mine == [v[i] for i in full]
 
 
+def test_vantage_trees_search_the_given_table(spark):
+    """On the documents of sf0.01 the tree branches, bounds spare sides, and the components are
+    those of brute force."""
+    rows = simhash.fingerprints(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas()
+    values = np.unique(rows.fp.to_numpy(np.int64).view(np.uint64))
+    tree, forest = simhash.VantageTree(values, np.arange(len(values))), simhash.Forest(len(values))
+    tree.links(np.arange(len(values)), simhash.RADIUS, forest)
+    assert tree.visits[0] > 0 and tree.visits[1] > 0
+    near = np.bitwise_count(values[:, None] ^ values[None]) <= simhash.RADIUS
+    listed = [int(x) for x in values]
+    assert forest.root.tolist() == roots_of_edges(range(len(listed)), zip(*(x.tolist() for x in np.nonzero(near))))
+    assert simhash.blocks_shared(len(values)) == 0 and [simhash.blocks_shared(n) for n in (10**5, 10**7, 10**9, 10**11)] == [1, 1, 2, 3]
+
+
 def roots_of_edges(values, edges):
     root = {x: x for x in values}
 
@@ -539,8 +555,15 @@ def test_pipeline(spark, tmp_path):
     good = {r["doc_id"] for r in repetition.repetition_signals(spark.read.parquet(f"{SF}/documents.parquet")).filter("kept").collect()}
     assert {r["doc_id"] for r in out.select("doc_id").collect()} == good
     assert [r["n_chars"] == len(r["text"]) for r in ids["line dedup"][1].collect()].count(False) == 0
-    stage3 = ids["line dedup"][1]
-    comp = {r["component_id"] for r in simhash.near_duplicates(stage3).collect()}
+    # The stage's rule is five words and similarity 0.8: one of each group of such texts stays.
+    texts = {r["doc_id"]: r["text"] for r in ids["line dedup"][1].collect()}
+    sets = {}
+    for i, t in texts.items():
+        w = lower(t).split()
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    order = sorted(texts)
+    alike = lambda a, b: (not sets[a] and not sets[b]) or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    comp = {order[r] for r in roots_of(order, alike)}
     assert {r["doc_id"] for r in ids["SimHash near-dedup"][1].collect()} == comp
     bad = {r["doc_id"] for r in decontam.contaminated(ids["SimHash near-dedup"][1], spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     kept = {r["doc_id"] for r in ids["benchmark decontamination"][1].collect()}
