@@ -1,16 +1,18 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Document frequencies of the benchmark's words are counted over all documents.
-2. Benchmark passages (windows of 64 words) become TF-IDF rows; a randomised SVD, its
-   products summed over partitions, gives the latent space.  Its rank is that of a block of
-   benchmark passages at most, so no passage of the block is lost in the projection.
+1. One scan counts in how many documents each word of the benchmark stands, over all documents,
+   and takes a sample of windows of the corpus, about ``SAMPLE`` of them at any corpus size.
+2. Benchmark passages (windows of 64 words) and the sampled windows become TF-IDF rows; a
+   randomised SVD of both, its products summed over partitions, gives the latent space.  Its
+   rank is far below the number of rows, so words that keep the same company fall together;
+   passages weigh ``EMPHASIS`` times a window, so that what tells them apart stays.
 3. Every document is cut into windows of 64 words, 32 apart; one whose latent vector has
    the cosine and the share of a passage is a candidate.
 4. A candidate is confirmed by the longest common subsequence of words of the passage and
    the window's surroundings: ``same`` of the passage or more, or ``alike`` of it and its
    answer (the passage's last sentence).
 
-A benchmark is taken in blocks of ``rank`` passages: what is broadcast is bounded by that,
+A benchmark is taken in blocks of ``block`` passages: what is broadcast is bounded by that,
 and a larger benchmark costs more passes, not more memory.
 
 Words are runs outside ``[\\x20\\x09-\\x0D]``, in lower case, without marks at their ends.
@@ -36,7 +38,9 @@ from pyspark.sql import functions as F
 from ._text import slices, utf8
 
 WINDOW, STEP = 64, 32
-RANK, OVERSAMPLE = 256, 10
+BLOCK_PASSAGES, RANK, OVERSAMPLE = 256, 160, 10
+SAMPLE, EMPHASIS = 4096, 4.0
+VOCABULARY = 1_000_000
 COSINE, SHARE = 0.35, 0.3
 SAME, ALIKE = 0.8, 0.6
 COMMON = 0.1
@@ -95,26 +99,43 @@ def _places(texts: list[bytes], known: Known) -> tuple[np.ndarray, np.ndarray]:
     return np.array(flat, np.int64), np.array([*starts, len(flat)], np.int64)
 
 
-def document_frequencies(docs: DataFrame, text_col: str, features: dict[bytes, int]) -> tuple[np.ndarray, int]:
-    """Documents with each feature, and all documents."""
+def document_frequencies(docs: DataFrame, text_col: str, features: dict[bytes, int], every: int = 0) -> tuple[np.ndarray, int, list[list[int]]]:
+    """Documents with each feature, all documents, and, of one document in ``every`` by a hash
+    of its text, the features of a window of words at a place that the hash chooses.  Copies
+    count once in the sample, in a task as in all, so its size is that of distinct texts."""
     shared, n = docs.sparkSession.sparkContext.broadcast(features), len(features)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, found, rows = Known(shared.value), np.zeros(n + 1, np.int64), 0
+        known, found, rows, sampled = Known(shared.value), np.zeros(n + 1, np.int64), 0, {}
         for batch in slices(batches, "text"):
             places, starts = _places(utf8(batch, "text"), known)
             of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
             has = places >= 0
             found[:n] += np.bincount(np.unique(of[has] * n + places[has]) % n if n else [], minlength=n)[:n].astype(np.int64)
             rows += batch.num_rows
+            if every:
+                draw = batch.column("draw").to_numpy().view(np.uint64)
+                for i in np.flatnonzero(draw % np.uint64(every) == 0):
+                    if int(draw[i]) in sampled:  # a copy
+                        continue
+                    own = places[starts[i] : starts[i + 1]]
+                    at = int(draw[i] // np.uint64(every)) % max(1, len(own) - WINDOW + 1)
+                    own = own[at : at + WINDOW]
+                    sampled[int(draw[i])] = own[own >= 0].tolist()
         found[n] = rows
         some = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], names=["feature", "df"])
+        kind = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some]), pa.nulls(len(some), kind)], names=["feature", "df", "window"])
+        if sampled:
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - (x >> 2) for x in sampled], pa.int64()), pa.nulls(len(sampled), pa.int64()), pa.array(list(sampled.values()), kind)], names=["feature", "df", "window"])
 
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).toPandas()
+    rows = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("draw")).mapInArrow(run, "feature long, df long, window array<long>")
+    counted = rows.groupBy("feature").agg(F.sum("df").alias("df"), F.first("window", True).alias("window")).collect()
     found = np.zeros(n + 1, np.int64)
-    found[counted["feature"].to_numpy(np.int64)] = counted["df"].to_numpy(np.int64)
-    return found[:n], int(found[n])
+    for r in counted:
+        if r["feature"] >= 0:
+            found[r["feature"]] = r["df"]
+    return found[:n], int(found[n]), sorted(list(r["window"]) for r in counted if r["window"])
 
 
 def _summed(rows: DataFrame, width: int, product) -> np.ndarray:
@@ -253,24 +274,35 @@ class Index:
         return found
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rank: int = RANK) -> Iterator[Index]:
+def indexes(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rank: int = RANK, block: int = BLOCK_PASSAGES) -> Iterator[Index]:
     """The benchmark's blocks, one after the other.  Items come to the driver a block at a
-    time; what is kept of a block is at most ``rank`` passages of 64 words."""
-    block: list[Passage] = []
-    for row in benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).toLocalIterator():
+    time; what is kept of a block is at most ``block`` passages of 64 words, and of all of them
+    their words' frequencies and the sample."""
+    items = lambda: benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).toLocalIterator()
+    vocabulary = sorted({w for row in items() for w in words_of((row["text"] or "").encode())})
+    if not vocabulary:
+        return
+    every = max(1, docs.count() // SAMPLE)
+    df, windows, n = np.zeros(0, np.int64), [], 0
+    for at in range(0, len(vocabulary), VOCABULARY):  # one scan for a million words
+        part, n, found = document_frequencies(docs, text_col, {w: i for i, w in enumerate(vocabulary[at : at + VOCABULARY])}, 0 if at else every)
+        df, windows = np.concatenate((df, part)), windows or found
+    frequency = dict(zip(vocabulary, df.tolist()))
+    sample = [[vocabulary[i] for i in w] for w in windows]
+    passages: list[Passage] = []
+    for row in items():
         for passage in passages_of(row["item"], (row["text"] or "").encode()):
-            block.append(passage)
-            if len(block) == rank:
-                yield _index(docs, block, text_col, rank)
-                block = []
-    if block:
-        yield _index(docs, block, text_col, rank)
+            passages.append(passage)
+            if len(passages) == block:
+                yield _index(docs, passages, frequency, n, sample, rank)
+                passages = []
+    if passages:
+        yield _index(docs, passages, frequency, n, sample, rank)
 
 
-def _index(docs: DataFrame, block: list[Passage], text_col: str, rank: int) -> Index:
-    spark = docs.sparkSession
+def _index(docs: DataFrame, block: list[Passage], frequency: dict[bytes, int], n: int, sample: list[list[bytes]], rank: int) -> Index:
     features = {w: i for i, w in enumerate(sorted({w for p in block for w in p.words}))}
-    df, n = document_frequencies(docs, text_col, features)
+    df = np.array([frequency[w] for w in features])
     weight = np.log((1.0 + n) / (1.0 + df)) + 1e-3
     # Words of every tenth document (and ten more, for small tables) say little; they stay
     # where a passage has few others.
@@ -278,27 +310,30 @@ def _index(docs: DataFrame, block: list[Passage], text_col: str, rank: int) -> I
     needed = {w for p in block if sum(rare[features[w]] for w in set(p.words)) < 5 for w in p.words}
     weight[[i for w, i in features.items() if not rare[i] and w not in needed]] = 0.0
     used = {w: i for w, i in features.items() if weight[i] > 0}
-    rows = []
-    for p in block:
+
+    def row(words, times: float) -> tuple[list[int], list[float]]:
         own: dict[int, float] = {}
-        for w in p.words:
+        for w in words:
             if w in used:
-                own[used[w]] = own.get(used[w], 0.0) + float(weight[used[w]])
-        rows.append((list(own), list(own.values())))
-    frame = spark.createDataFrame(rows, "features array<int>, weights array<double>").repartition(8)
-    space = latent_space(frame, len(features), len(block), rank)
+                own[used[w]] = own.get(used[w], 0.0) + times * float(weight[used[w]])
+        return list(own), list(own.values())
+
+    rows = [row(p.words, 1.0) for p in block]
+    fitted = [row(p.words, EMPHASIS) for p in block] + [r for w in sample if (r := row(w, 1.0))[0]]
+    frame = docs.sparkSession.createDataFrame(fitted, "features array<int>, weights array<double>").repartition(8)
+    space = latent_space(frame, len(features), len(fitted), rank)
     latent = np.array([np.asarray(w) @ space[f] if f else np.zeros(space.shape[1]) for f, w in rows])
     return Index(block, used, (weight[:, None] * space).astype(np.float32), latent.astype(np.float32))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", rank: int = RANK) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", rank: int = RANK, block: int = BLOCK_PASSAGES) -> DataFrame:
     """One row per document row and item found in it: id, item, cosine, lcs_share, answer."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
     item_type = benchmark.schema[item_col].dataType.simpleString()
     schema = f"id {id_type}, item {item_type}, cosine double, lcs_share double, answer boolean"
     found = docs.sparkSession.createDataFrame([], schema)
-    for index in indexes(docs, benchmark, text_col, item_col, rank=rank):
+    for index in indexes(docs, benchmark, text_col, item_col, rank=rank, block=block):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -315,10 +350,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "cosine", "lcs_share", "answer")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", rank: int = RANK) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", rank: int = RANK, block: int = BLOCK_PASSAGES) -> DataFrame:
     """The input rows in which no item is found, with all their columns."""
     out = docs
-    for index in indexes(docs, benchmark, text_col, item_col, rank=rank):
+    for index in indexes(docs, benchmark, text_col, item_col, rank=rank, block=block):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

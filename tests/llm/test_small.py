@@ -376,14 +376,34 @@ def test_decontamination(spark, empty):
     para = item(9).split()
     rows.append((6, noise(30) + " " + " ".join(w if i % 3 or i > 23 else "changed" for i, w in enumerate(para)) + " " + noise(50)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    found = decontam.contaminated(docs, bench, rank=5)
+    found = decontam.contaminated(docs, bench, block=5)
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(1, 3), (1, 60), (4, 5), (5, 7), (None, 1), (6, 9)}
-    assert sorted(r["doc_id"] for r in decontam.drop_contaminated(docs, bench, rank=5).collect()) == [0, 2, 3]
+    assert sorted(r["doc_id"] for r in decontam.drop_contaminated(docs, bench, block=5).collect()) == [0, 2, 3]
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0
     assert decontam.contaminated(empty, bench).count() == 0
     assert decontam.drop_contaminated(empty, bench).count() == 0
 
 
+def test_a_paraphrase_that_plain_tf_idf_misses(spark):
+    """Twelve words of an item are replaced by words that stand beside them all over the corpus:
+    no weighted word is shared, so the plain cosine is zero, but the latent one is high."""
+    r = random.Random(6)
+    plain = [f"c{i}" for i in range(24)]
+    mixed = lambda letter: [w for i in range(12) for w in (f"{letter}{i}", plain[2 * i], plain[2 * i + 1])]
+    corpus = []
+    for k in range(4000):
+        words = [f"n{r.randrange(4000)}" for _ in range(20)] + r.sample(plain, 6)
+        words += [w for i in r.sample(range(12), 4) for w in (f"x{i}", f"y{i}")] if k < 600 else []
+        corpus.append((k, " ".join(r.sample(words, len(words)))))
+    told = mixed("y")
+    docs = spark.createDataFrame([*corpus, (5000, " ".join(told[:30]) + ". " + " ".join(plain[20:24]))], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(1, " ".join(mixed("x")[:30]) + ". " + " ".join(plain[20:24]) + "."), (2, " ".join(f"y{i}" for i in range(12)) + " other words of its own.")], "item_id long, text string")
+    full = {(x["doc_id"], x["item_id"]) for x in decontam.contaminated(docs, bench, rank=10_000).collect()}
+    low = {(x["doc_id"], x["item_id"]) for x in decontam.contaminated(docs, bench, rank=12).collect()}
+    assert (5000, 1) not in full and (5000, 1) in low
+    assert len(decontam.document_frequencies(docs, "text", {b"x0": 0, b"y0": 1}, 1)[2]) > decontam.RANK
+
+
 def test_latent_space_is_that_of_the_rows(spark):
     r = np.random.default_rng(4)
     a = r.standard_normal((12, 40)) * (r.random((12, 40)) < 0.3)
