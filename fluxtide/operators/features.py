@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stochastic import spread
+
 from .seasons import sessionize
 
 # The eight low-pass coefficients of the db4 wavelet.
@@ -75,7 +77,7 @@ def wavelet_bands(df: DataFrame, key: str, value: str = "flux", time: str = "mjd
         return pd.DataFrame([(pdf[key].iloc[0], len(p), *power, float(-(share * np.log(share + 1e-12)).sum()))], columns=names)
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, time, value).groupBy(key).applyInPandas(one, f"`{key}` {kind}, n long, d1 double, d2 double, d3 double, rest double, entropy double")
+    return spread(df.select(key, time, value), key).groupBy(key).applyInPandas(one, f"`{key}` {kind}, n long, d1 double, d2 double, d3 double, rest double, entropy double")
 
 
 def pelt(y: np.ndarray, penalty: float, least: int = 3) -> list[int]:
@@ -118,7 +120,7 @@ def structural_breaks(df: DataFrame, key: str, value: str = "flux", time: str =
         return pd.DataFrame([(pdf[key].iloc[0], len(y), len(cuts), float(t[cuts[0]]), float(b.mean() - a.mean()), float(f))], columns=names)
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, time, value).groupBy(key).applyInPandas(one, f"`{key}` {kind}, n long, n_breaks int, first_mjd double, size double, f double")
+    return spread(df.select(key, time, value), key).groupBy(key).applyInPandas(one, f"`{key}` {kind}, n long, n_breaks int, first_mjd double, size double, f double")
 
 
 def season_coherence(df: DataFrame, key: str, gap: float, value: str = "flux", time: str = "mjd", least: int = 3, points: int = 20) -> DataFrame:
@@ -142,4 +144,4 @@ def season_coherence(df: DataFrame, key: str, gap: float, value: str = "flux", t
         return pd.DataFrame([(pdf[key].iloc[0], len(rs), np.mean(rs), min(rs), max(rs))] if rs else [], columns=names)
 
     kind = df.schema[key].dataType.simpleString()
-    return s.select(key, "season", time, value).groupBy(key).applyInPandas(one, f"`{key}` {kind}, n long, mean double, low double, high double")
+    return spread(s.select(key, "season", time, value), key).groupBy(key).applyInPandas(one, f"`{key}` {kind}, n long, mean double, low double, high double")

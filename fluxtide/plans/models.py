@@ -20,7 +20,7 @@ def ou_map_fit(spark, sf):
 
 @query()
 def broken_ou(spark, sf):
-    return stochastic.fit_broken_walk(light_curve(spark, sf).filter("flux > 0"), breaks=6)
+    return stochastic.fit_broken_walk(light_curve(spark, sf).filter("flux > 0"))
 
 
 @query()
@@ -66,15 +66,15 @@ def far_sim(spark, sf):
 JACK = "(('0x' || substr(md5('42:' || r || ':' || event_id), 1, 13))::BIGINT::DOUBLE) / 4503599627370496.0 < 0.8"
 
 
-@query(f"""WITH {LC}, j AS (SELECT source_id, r, median(flux) AS s FROM lc, (SELECT unnest(range(10)) AS r) WHERE {JACK} GROUP BY ALL)
+@query(f"""WITH {LC}, j AS (SELECT source_id, r, median(flux) AS s FROM lc, (SELECT unnest(range(100)) AS r) WHERE {JACK} GROUP BY ALL)
 SELECT source_id, count(s) AS n, avg(s) AS mean, stddev_samp(s) AS sd, quantile_cont(s, 0.16) AS p16, quantile_cont(s, 0.84) AS p84 FROM j GROUP BY source_id""", "mean sd p16 p84", 5)
 def jackknife(spark, sf):
-    return stochastic.jackknife(light_curve(spark, sf), "source_id", "event_id", F.median("flux"), 10)
+    return stochastic.jackknife(light_curve(spark, sf), "source_id", "event_id", F.median("flux"), 100)
 
 
 @query()
 def bootstrap_block(spark, sf):
-    return stochastic.block_bootstrap(season_table(spark, sf), "source_id", replicates=30)
+    return stochastic.block_bootstrap(season_table(spark, sf), "source_id", replicates=100)
 
 
 DAYS = f"{LC}, dd AS (SELECT source_id, floor(mjd)::DOUBLE AS mjd, avg(flux) FILTER (band = 'W1') AS a, avg(flux) FILTER (band = 'W2') AS b FROM lc GROUP BY source_id, floor(mjd)), dp AS (SELECT * FROM dd WHERE a IS NOT NULL AND b IS NOT NULL)"
@@ -127,7 +127,7 @@ def pelt_breaks(spark, sf):
 
 def _vectors(spark, sf):
     e = table(spark, sf, "embeddings")
-    names = [f"f{i}" for i in range(8)]
+    names = [f"f{i}" for i in range(64)]
     return e.select("vec_id", (F.col("label") < 3).cast("double").alias("y"), *[F.element_at("embedding", i + 1).cast("double").alias(n) for i, n in enumerate(names)]), names
 
 

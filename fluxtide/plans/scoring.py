@@ -5,58 +5,101 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import lightcurves, models  # noqa: F401  whose queries are joined here
 from ..operators import breaks, sampling, scoring, variability
 from .lightcurves import BREAK, DELTA, LC, SOURCE, light_curve, season_table
-from .registry import query, table
-
-FEATURES = f"""{BREAK}, {DELTA.replace(LC + ', ', '')}, k AS (SELECT source_id, count(*) AS n_points, (max(mjd) - min(mjd)) AS baseline, max(flux) / greatest(min(flux), 1e-3) AS contrast, median(flux) AS med FROM lc GROUP BY source_id),
-ft AS (SELECT k.source_id, n_points, baseline, med, standard.delta_mag, delta_err, delta_bic, pre, post, width, CASE source_id % 5 WHEN 0 THEN 'normal_agn' WHEN 1 THEN 'star' WHEN 2 THEN 'blazar' ELSE 'unknown' END AS class FROM k LEFT JOIN standard USING (source_id) LEFT JOIN cp USING (source_id))"""
-CLIP = "least(greatest(({0}), 0), 1)"
-ND, NC, NS = CLIP.format("coalesce(abs(delta_mag), 0) / 2"), CLIP.format("coalesce(delta_bic, 0) / 20"), CLIP.format("coalesce(abs(delta_mag) / delta_err, 0) / 10")
-SC = f"{FEATURES}, scd AS (SELECT *, (3.0 * {ND} + 3.0 * greatest({NC}, {NS})) / 10.0 AS score FROM ft)"
+from .registry import ORACLE_SQL, QUERIES, query, table
+
+# The evidence beside amplitudes and breaks: registered queries, one row a source each, joined as
+# they are, here and in the SQL.  (query, its column, the feature)
+EVIDENCE = (
+    ("nonstationarity", "sigma_shift", "shift"),
+    ("flux_ratio_rolling", "flux_ratio", "ratio"),
+    ("structure_slope", "excess", "sf_excess"),
+    ("structure_break", "delta_bic", "sf_bic"),
+    ("paired_color", "colour", "colour"),
+    ("bimodality", "bimodality", "bimodality"),
+    ("delta_mag_max_contrast", "delta_mag", "contrast"),
+    ("delta_mag_max_contrast", "delta_err", "contrast_err"),
+    ("flux_ratio_stats", "sd", "spread"),
+    ("optical_ir_ratio", "ratio", "rms_ratio"),
+)
+FLAGS = (("artifact_leave_one_out", "artifact", "artifact"), ("sn_morphology", "sn_like", "supernova_shape"), ("color_reversal", "reversal", "reversal"), ("dust_corr", "dusty", "dust"))
+
+_taken = "".join(f", e{i} AS (SELECT source_id, {c} AS {name} FROM ({ORACLE_SQL[q]}))" for i, (q, c, name) in enumerate(EVIDENCE + FLAGS))
+_met = "".join(f" LEFT JOIN e{i} USING (source_id)" for i in range(len(EVIDENCE + FLAGS)))
+FEATURES = f"""{BREAK}, {DELTA.replace(LC + ', ', '')}, k AS (SELECT source_id, count(*) AS n_points, (max(mjd) - min(mjd)) AS baseline, max(flux) / greatest(min(flux), 1e-3) AS contrast, median(flux) AS med FROM lc GROUP BY source_id){_taken},
+ft AS (SELECT k.source_id, n_points, baseline, med, standard.delta_mag, delta_err, cp.delta_bic, pre, post, width, {', '.join(f'e{i}.{name}' for i, (_, _, name) in enumerate(EVIDENCE + FLAGS))}, CASE source_id % 5 WHEN 0 THEN 'normal_agn' WHEN 1 THEN 'star' WHEN 2 THEN 'blazar' ELSE 'unknown' END AS class FROM k LEFT JOIN standard USING (source_id) LEFT JOIN cp USING (source_id){_met})"""
+CLIP = "coalesce(least(greatest(({0}), 0), 1), 0)"
+ND, NC, NS = CLIP.format("abs(delta_mag) / 2"), CLIP.format("delta_bic / 20"), CLIP.format("shift / 10")
+NR, NB, NK = CLIP.format("CASE WHEN ratio > 0 THEN abs(2.5 * log10(ratio)) / 2 END"), CLIP.format("sf_bic / 20"), CLIP.format("abs(colour) / 0.3")
+NX, NE, NV = CLIP.format("(sf_excess - 1) / 4"), CLIP.format("(spread - 1) / 3"), CLIP.format("rms_ratio")
+NP, NM = CLIP.format("abs(contrast) / contrast_err / 5"), "CASE WHEN bimodality > 0.555 THEN " + CLIP.format("(bimodality - 0.555) / 0.3") + " ELSE 0 END"
+SC = f"{FEATURES}, scd AS (SELECT *, (3.0 * greatest({ND}, {NR}) + 3.0 * greatest({NC}, {NS}, {NB}) + 2.0 * {NK} + 1.5 * greatest({NX}, {NE}) + 0.5 * {NV}) / 10.0 AS score FROM ft)"
 
 
 def features(spark, sf) -> DataFrame:
-    """One row per source: amplitudes, breaks and counts, joined on the source."""
+    """One row per source: amplitudes, breaks, counts and the registered evidence, joined on the
+    source."""
     lc = light_curve(spark, sf)
     k = lc.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_points"), (F.max("mjd") - F.min("mjd")).alias("baseline"), F.median("flux").alias("med"))
     d = variability.delta_standard(season_table(spark, sf), SOURCE).select("source_id", "delta_mag", "delta_err")
     c = breaks.changepoint(lc, SOURCE).select("source_id", "delta_bic", "pre", "post", "width")
+    out = k.join(d, "source_id", "left").join(c, "source_id", "left")
+    by_query: dict[str, list] = {}
+    for q, column, name in EVIDENCE + FLAGS:
+        by_query.setdefault(q, []).append(F.col(column).alias(name))
+    for q, columns in by_query.items():
+        out = out.join(QUERIES[q](spark, sf).select("source_id", *columns), "source_id", "left")
     m = F.col("source_id") % 5
-    klass = F.when(m == 0, "normal_agn").when(m == 1, "star").when(m == 2, "blazar").otherwise("unknown")
-    return k.join(d, "source_id", "left").join(c, "source_id", "left").withColumn("class", klass)
+    return out.withColumn("class", F.when(m == 0, "normal_agn").when(m == 1, "star").when(m == 2, "blazar").otherwise("unknown"))
+
+
+def evidence() -> dict:
+    """The normalised components of the scores."""
+    raw = {
+        "flux_change": F.abs("delta_mag"), "changepoint": F.col("delta_bic"), "nonstationarity": F.col("shift"), "broken": F.col("sf_bic"), "colour": F.col("colour"),
+        "sf_break": F.col("sf_excess"), "sigma_excess": F.col("spread"), "bimodality": F.col("bimodality"), "step_process": F.try_divide(F.abs("contrast"), F.col("contrast_err")),
+    }
+    c = scoring.components(raw)
+    c["ratio"] = scoring.components({"flux_change": F.when(F.col("ratio") > 0, F.abs(2.5 * F.log10("ratio")))})["flux_change"]
+    clipped = F.least(F.greatest(F.col("rms_ratio"), F.lit(0.0)), F.lit(1.0))
+    return c | {"delta_mag": c["flux_change"], "sf": c["sf_break"], "sf_excess": c["sf_break"], "variability_flag": F.coalesce(clipped, F.lit(0.0))}
 
 
 def scored(spark, sf) -> DataFrame:
-    f = features(spark, sf)
-    c = scoring.components({"flux_change": F.abs("delta_mag"), "changepoint": F.col("delta_bic"), "nonstationarity": F.abs("delta_mag") / F.col("delta_err")})
-    zero = F.lit(0.0)
-    v3 = scoring.composite_v3({"delta_mag": c["flux_change"], "ratio": zero, "changepoint": c["changepoint"], "nonstationarity": c["nonstationarity"], "broken": zero, "colour": zero, "sf": zero, "sigma_excess": zero, "variability_flag": zero})
-    return f.withColumn("score", v3)
+    return features(spark, sf).withColumn("score", scoring.composite_v3(evidence()))
 
 
-@query(f"WITH {SC} SELECT source_id, score FROM scd", "score", 5)
+@query(f"WITH {SC} SELECT source_id, score FROM scd", "score", 4)
 def composite_v3(spark, sf):
     return scored(spark, sf).select("source_id", "score")
 
 
-@query(f"WITH {FEATURES} SELECT source_id, (3.0 * {NS} + 2.5 * {ND} + 2.5 * {NC}) / 21.0 AS v2, (3.0 * {NS} + 2.5 * {ND} + 2.5 * {NC}) / 14.0 AS v1 FROM ft", "v1 v2", 5)
+@query(f"""WITH {FEATURES} SELECT source_id, (3.0 * {NS} + 3.0 * {NB} + 2.5 * {NP} + 2.5 * {ND} + 2.5 * {NC} + 2.0 * {NX} + 1.5 * {NK} + 1.5 * {NM} + 1.5 * {NV} + 1.0 * {NE}) / 21.0 AS v2,
+(3.0 * {NS} + 2.5 * {ND} + 2.5 * {NC} + 2.0 * {NX} + 1.5 * {NK} + 1.5 * {NE} + 1.0 * {NV}) / 14.0 AS v1 FROM ft""", "v1 v2", 4)
 def composite_v2(spark, sf):
-    c = scoring.components({"flux_change": F.abs("delta_mag"), "changepoint": F.col("delta_bic"), "nonstationarity": F.abs("delta_mag") / F.col("delta_err")})
-    zero = F.lit(0.0)
-    own = {"nonstationarity": c["nonstationarity"], "delta_mag": c["flux_change"], "changepoint": c["changepoint"]}
-    rest = ["broken", "step_process", "sf_excess", "sf_break", "colour", "bimodality", "variability_flag", "sigma_excess"]
-    every = own | {r: zero for r in rest}
-    return features(spark, sf).select("source_id", scoring.composite_v2(every).alias("v2"), scoring.composite_v1(every).alias("v1"))
+    c = evidence()
+    return features(spark, sf).select("source_id", scoring.composite_v2(c).alias("v2"), scoring.composite_v1(c).alias("v1"))
 
 
-@query(f"""WITH {SC} SELECT source_id, score * CASE WHEN width < 3 THEN 0.7 ELSE 1.0 END * CASE WHEN class = 'star' THEN 0.5 ELSE 1.0 END * CASE WHEN class = 'blazar' THEN 0.3 ELSE 1.0 END AS score,
-concat_ws('; ', CASE WHEN width < 3 THEN 'supernova' END, CASE WHEN class = 'star' THEN 'stellar' END, CASE WHEN class = 'blazar' THEN 'blazar' END) AS reasons FROM scd""", "score", 5)
+PENALTIES = (("supernova", "width < 3", 0.7), ("stellar", "class = 'star'", 0.5), ("blazar", "class = 'blazar'", 0.3), ("artifact", "artifact", 0.3), ("supernova_shape", "supernova_shape", 0.5), ("dust", "dust", 0.7), ("reversal", "reversal", 0.5))
+
+
+@query(f"WITH {SC} SELECT source_id, score{''.join(f' * CASE WHEN {on} THEN {by} ELSE 1.0 END' for _, on, by in PENALTIES)} AS score, concat_ws('; ', {', '.join(f'CASE WHEN {on} THEN {chr(39)}{name}{chr(39)} END' for name, on, _ in PENALTIES)}) AS reasons FROM scd", "score", 4)
 def penalty_chain(spark, sf):
-    s, r = scoring.penalised(F.col("score"), {"supernova": F.col("width") < 3, "stellar": F.col("class") == "star", "blazar": F.col("class") == "blazar"})
+    s, r = scoring.penalised(F.col("score"), {name: F.expr(on) for name, on, _ in PENALTIES})
     return scored(spark, sf).select("source_id", s.alias("score"), r.alias("reasons"))
 
 
+@query(f"""WITH {LC}, n AS (SELECT source_id, count(*) AS n, count(flux) FILTER (flux > 0) AS good FROM lc GROUP BY source_id)
+SELECT c_custkey AS source_id, coalesce(n, 0)::BIGINT AS n_points, CASE WHEN n IS NULL THEN 'NO_DATA' WHEN good = 0 THEN 'ERROR' WHEN good < 6 THEN 'TOO_FEW_POINTS' ELSE 'OK' END AS status FROM customer LEFT JOIN n ON c_custkey = source_id""")
+def source_status(spark, sf):
+    """What a run over the whole catalogue says of each of its sources."""
+    n = light_curve(spark, sf).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("flux") > 0).alias("good"))
+    return scoring.statuses(table(spark, sf, "customer").select(F.col("c_custkey").alias("source_id")), n, "source_id")
+
+
 @query(f"""WITH {FEATURES}, d AS (SELECT source_id, delta_mag AS d, abs(delta_mag) AS a, width, pre, post FROM ft)
 SELECT source_id, CASE WHEN a > 0.75 AND width < 5 THEN 'rapid' WHEN d < -0.5 AND pre > 0 AND post < pre THEN 'off_moderate' WHEN d > 0.5 AND post > pre THEN 'on_moderate' WHEN a BETWEEN 0.3 AND 0.5 THEN 'marginal' ELSE 'ambiguous' END AS label FROM d""")
 def class_label(spark, sf):

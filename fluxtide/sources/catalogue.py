@@ -27,7 +27,7 @@ def rename_aliases(df: DataFrame) -> DataFrame:
 
 def with_id(df: DataFrame) -> DataFrame:
     """An id from the position where there is none."""
-    made = F.concat(F.lit("J"), F.format_number("ra", 5), F.when(F.col("dec") >= 0, "+").otherwise(""), F.format_number("dec", 5))
+    made = F.concat(F.lit("J"), F.format_string("%.4f", F.col("ra")), F.when(F.col("dec") >= 0, "+").otherwise(""), F.format_string("%.4f", F.col("dec")))
     return df.withColumn("source_id", F.coalesce("source_id", made) if "source_id" in df.columns else made)
 
 

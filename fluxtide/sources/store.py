@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir; a temporary folder where the session has none."""
+    """A new path under spark.checkpoint.dir.  Where the session has none, a temporary folder
+    serves a local session; a cluster's executors do not share one, so there it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="fluxtide-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
