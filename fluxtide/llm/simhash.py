@@ -155,17 +155,23 @@ def _shards(t: int, radius: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(k), *map(block, chosen)) for k, chosen in enumerate(combinations(range(radius + t), t))])
 
 
+def meetings(rows: DataFrame, by: str) -> DataFrame:
+    """Rows with ``chunks``, the number of chunks of their group, get ``pair`` instead: a group
+    of one chunk (or null) is one task; of more, chunk c, chosen by the hash of ``by``, meets
+    every chunk, so its rows go to all pairs that hold c."""
+    chunks = F.col("chunks")
+    own = F.pmod(F.xxhash64(by), chunks).cast("int")
+    every = F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.least(own, c) * chunks + F.greatest(own, c))
+    return rows.withColumn("pair", F.explode(F.when(chunks > 1, every).otherwise(F.array(F.lit(0))))).drop("chunks")
+
+
 def links(values: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
     """Distinct (fp) -> (u, v): edges whose components are those of all links."""
     t = blocks_shared(values.count(), radius, most)
     rows = values.select("fp", F.explode(_shards(t, radius)).alias("shard"))
     big = written(rows.groupBy("shard").count().filter(F.col("count") > most).withColumn("chunks", F.ceil(F.col("count") / (most // 2)).cast("int")).select("shard", "chunks"))
     small = big.count() <= 100_000  # else the join is left to the optimiser
-    rows = rows.join(F.broadcast(big) if small else big, "shard", "left")
-    # A cut shard: chunk c meets every chunk, so its values go to all pairs that hold c.
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    pairs = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.least(own, c) * F.col("chunks") + F.greatest(own, c)))
-    rows = rows.select("shard", "fp", F.explode(pairs).alias("pair"))
+    rows = meetings(rows.join(F.broadcast(big) if small else big, "shard", "left"), "fp")
     rows = rows.repartition(F.col("shard"), F.col("pair")).sortWithinPartitions("shard", "pair")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
