@@ -27,7 +27,10 @@ def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+    docs = table(spark, sf_dir, "documents")
+    shared = suffix.shared_runs(docs).withColumnRenamed("doc_id", "of")
+    kept = suffix.remove_repeats(docs, digest=True)
+    return kept.join(shared, kept["doc_id"].eqNullSafe(shared["of"]), "left").drop("of").fillna(0, ["n_shared_runs"])
 
 
 def op5_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

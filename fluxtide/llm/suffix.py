@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -41,6 +42,7 @@ from pyspark.sql import functions as F
 from ._text import slices, utf8, written
 
 LENGTH = 400
+PASSAGE = 51  # words
 SEGMENT = 1 << 20
 HEAD = 32
 SAMPLE = 20_000
@@ -65,14 +67,12 @@ class Anchors:
         parts = [self._segment(text, s) for s in range(0, max(1, len(text) - self.length + 1), SEGMENT)]
         return tuple(np.concatenate(x) for x in zip(*parts))
 
-    def _segment(self, text: bytes, start: int):
-        raw = np.frombuffer(text, np.uint8, min(len(text) - start, SEGMENT + self.length - 1), start)
-        n, w = len(raw), self.gram
-        if n < self.length:
-            none = np.zeros(0, np.int64)
-            return none, none, none, none.astype(np.uint64)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.power[:n])))
-        hashes = (sums[w:] - sums[:-w]) * self.back[: n - w + 1]
+    def least(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By window, where its anchor is; and all grams' hashes.  For ``length`` values or more,
+        ``SEGMENT`` windows at most."""
+        w = self.gram
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.power[: len(raw)])))
+        hashes = (sums[w:] - sums[:-w]) * self.back[: len(raw) - w + 1]
         hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
         hashes ^= hashes >> np.uint64(29)
         least, width = (hashes & ~_POS) | np.arange(len(hashes), dtype=np.uint64), 1
@@ -82,7 +82,14 @@ class Anchors:
             width *= 2
         if width < span:
             least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
-        at = (least & _POS).astype(np.int64)
+        return (least & _POS).astype(np.int64), hashes
+
+    def _segment(self, text: bytes, start: int):
+        raw = np.frombuffer(text, np.uint8, min(len(text) - start, SEGMENT + self.length - 1), start)
+        if len(raw) < self.length:
+            none = np.zeros(0, np.int64)
+            return none, none, none, none.astype(np.uint64)
+        at, hashes = self.least(raw)
         first = np.flatnonzero(np.diff(at, prepend=-1))
         last = np.append(first[1:], len(at)) - 1
         return at[first] + start, first + start, last + start, hashes[at[first]]
@@ -375,3 +382,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rest = rows.select("r1", "r2", "id", F.octet_length(plain).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), (F.sha2(plain, 256) if digest else plain).alias("kept"))
     rest = rest.join(suspected.select("r1", "r2").distinct(), ["r1", "r2"], "left_anti").drop("r1", "r2")
     return done.unionByName(rest).withColumnsRenamed({"id": id_col, "kept": "kept_sha256" if digest else "kept"})
+
+
+def shared_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = PASSAGE) -> DataFrame:
+    """(id, n_shared_runs) for the ids of documents that hold text of another: anchors of windows
+    of ``words`` words, that is runs of half as many, found in two rows or more.
+
+    Every passage of ``words`` words that two rows share has such an anchor, however short it is
+    in bytes; a shared run shorter than that counts only where it is an anchor.  A-Z count as
+    lower case, blanks between words as one.  A null or empty text, or one of fewer words, has
+    none; equal rows share all theirs, and rows of one id are added up; a null id is an id.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors = Anchors(words)
+
+        def own(text: bytes) -> np.ndarray:
+            each = np.array([xxhash.xxh64_intdigest(w) for w in text.lower().split()], np.uint64)
+            found = [np.zeros(0, np.uint64)]
+            for start in range(0, len(each) - words + 1, SEGMENT):
+                at, hashes = anchors.least(each[start : start + SEGMENT + words - 1])
+                found.append(hashes[at])
+            return np.unique(np.concatenate(found))
+
+        for batch in slices(batches, "text"):
+            found = [own(t) for t in utf8(batch, "text")]
+            of = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(of), pa.array(np.concatenate(found).view(np.int64))], names=["id", "h"])
+
+    every = written(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, h long"))
+    twice = every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    return every.join(twice, "h").groupBy("id").agg(F.count(F.lit(1)).alias("n_shared_runs")).withColumnRenamed("id", id_col)
