@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, pareto, pii, pst, repetition, simhash, suffix, tokens, urls
+from . import decontam, exact, lines, merkle, pareto, pii, pst, repetition, simhash, suffix, tokens, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,17 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto.mix(table(spark, sf_dir, "documents")).drop("copies", "chance")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    proved = merkle.manifest(docs, tampered={"text": merkle.lower_ascii(F.col("text"))}, where=third)
+    return merkle.verify(proved).select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.duplicate_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_tree_score": op1_suffix_tree_score,
     "op2_crf_pii": op2_crf_pii,
@@ -70,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_repetition_coverage": op9_repetition_coverage,
     "op10_pareto_mix": op10_pareto_mix,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_exact_groups": op13_exact_groups,
 }
 
 _BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -145,7 +158,58 @@ SELECT j.doc_id, j.source, j.size, j.source_size, j.target,
 FROM joined j LEFT JOIN extra e ON j.doc_id = e.doc_id
 """
 
+# Unsigned CRC-32 of a decimal id: the bits fold in a list of bytes and, after each, eight steps.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length({x}) + 1),
+    lambda i: list_concat([ord(substr({x}, i::INT, 1))::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"""
+
+
+def _merkle_sql(deep: int = 8) -> str:
+    """Levels written out, for up to 8^deep documents a language and languages."""
+    part = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    third = f"CASE WHEN doc_id IS NULL THEN false ELSE {_CRC.format(x='doc_id::VARCHAR')} % 3 = 0 END"
+
+    def levels(name: str, start: str) -> str:
+        out = [f"{name}0 AS MATERIALIZED ({start})"]
+        for k in range(deep):
+            out.append(f"{name}{k}r AS MATERIALIZED (SELECT tree, pos // 8 AS pos, count(*) AS here, string_agg(d, '' ORDER BY pos) AS run FROM {name}{k} GROUP BY tree, pos // 8)")
+            out.append(f"{name}{k}n AS MATERIALIZED (SELECT tree, count(*) AS n FROM {name}{k} GROUP BY tree)")
+            out.append(f"{name}{k + 1} AS MATERIALIZED (SELECT r.tree, r.pos, CASE WHEN n > 1 THEN sha256(run) ELSE run END AS d FROM {name}{k}r r JOIN {name}{k}n c USING (tree))")
+        return ", ".join(out)
+
+    def climb(name: str, of: str, prefix: str) -> str:
+        out = []
+        for k in range(deep):
+            own = f"(p.pos // {8**k}) % 8"
+            left, right = f"substr(run, 1, 64 * ({own}))", f"substr(run, 64 * ({own} + 1) + 1)"
+            out.append(f"{prefix}{k} AS (SELECT p.* REPLACE (CASE WHEN n > 1 THEN proof || {left} || {right} ELSE proof END AS proof, CASE WHEN n > 1 THEN sha256({left} || folded || {right}) ELSE folded END AS folded) FROM {of} p JOIN {name}{k}r r ON r.tree = p.tree AND r.pos = p.pos // {8 ** (k + 1)} JOIN {name}{k}n c ON c.tree = p.tree)")
+            of = f"{prefix}{k}"
+        return ", ".join(out)
+
+    return f"""WITH base AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {leaf('text')} AS leaf, CASE WHEN {third} THEN {leaf(low)} END AS tampered FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM base),
+{levels('a', 'SELECT tree, pos, leaf AS d FROM placed')},
+{levels('b', f"SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, d FROM a{deep}")},
+start AS (SELECT *, '' AS proof, coalesce(tampered, leaf) AS folded FROM placed), {climb('a', 'start', 'up')},
+tops AS (SELECT tree, d AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place FROM a{deep}),
+higher AS (SELECT u.doc_id, u.leaf, u.proof, u.folded, t.subroot, t.place AS pos, '' AS tree FROM up{deep - 1} u JOIN tops t USING (tree)), {climb('b', 'higher', 'top')}
+SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = d AS verified FROM top{deep - 1}, (SELECT d FROM b{deep})"""
+
+
+OP11_SQL = _merkle_sql()
+
+OP13_SQL = r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM n
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op6_bloom_lines": OP6_SQL,
     "op10_pareto_mix": OP10_SQL,
+    "op11_merkle_manifest": OP11_SQL,
+    "op13_exact_groups": OP13_SQL,
 }
