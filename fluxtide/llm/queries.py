@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, lines, merkle, pareto, pii, pst, repetition, simhash, suffix, tokens, urls
+from . import decontam, exact, lines, merkle, pareto, periods, pii, pst, repetition, simhash, suffix, tokens, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(proved).select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_recompression_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_digests(table(spark, sf_dir, "documents"), change=periods.planted)
+
+
 def op13_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repetition_coverage": op9_repetition_coverage,
     "op10_pareto_mix": op10_pareto_mix,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_recompression_runs": op12_recompression_runs,
     "op13_exact_groups": op13_exact_groups,
 }
 
