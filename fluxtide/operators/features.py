@@ -85,15 +85,16 @@ def pelt(y: np.ndarray, penalty: float, least: int = 3) -> list[int]:
     n = len(y)
     s, q = np.concatenate(([0.0], np.cumsum(y))), np.concatenate(([0.0], np.cumsum(y * y)))
     best, last, open_ = np.full(n + 1, math.inf), np.zeros(n + 1, int), np.array([0])
-    best[0] = -penalty
+    best[0], until = -penalty, np.full(n + 1, n + 1)
     for end in range(least, n + 1):
         ok = open_[end - open_ >= least]
         cost = best[ok] + (q[end] - q[ok]) - (s[end] - s[ok]) ** 2 / (end - ok) + penalty
-        if len(ok):
-            i = int(np.argmin(cost))
-            best[end], last[end] = cost[i], ok[i]
-            open_ = np.concatenate((ok[cost - penalty <= best[end]], open_[end - open_ < least]))
-        open_ = np.append(open_, end)
+        i = int(np.argmin(cost))
+        best[end], last[end] = cost[i], ok[i]
+        # A beaten start goes once segments from this end are long enough.
+        beaten = ok[cost - penalty > best[end]]
+        until[beaten] = np.minimum(until[beaten], end + least)
+        open_ = np.append(open_[until[open_] > end + 1], end)
     cuts, at = [], n
     while last[at] > 0:
         at = last[at]
