@@ -53,3 +53,27 @@ def quasar_support(probability: Column) -> Column:
 def variability_score(probability: Column, variable: Column) -> Column:
     own = F.coalesce(F.when(probability > 0, probability), F.lit(0.0))
     return clip(F.greatest(own, F.when(F.coalesce(F.upper(variable) == "VARIABLE", F.lit(False)), 0.3).otherwise(0.0)), 0.0, 1.0)
+
+
+def astrometric_variability(noise: Column, noise_sig: Column, ruwe: Column, pmra: Column, pmra_err: Column, pmdec: Column, pmdec_err: Column, parallax: Column, parallax_err: Column, quasar: Column) -> dict[str, Column]:
+    """Excess noise of the astrometric solution as a sign of variability, unless any rule says
+    star: parallax or either proper motion above 3 sigma, a bad solution, or a quasar
+    probability below 0.1.  Zero and missing values read as the defaults of a quiet source."""
+    given = lambda c, d: F.coalesce(F.nullif(c, F.lit(0.0)), F.lit(d))
+    sig = lambda v, e, least: F.abs(given(v, 0.0)) / F.greatest(given(e, 1.0), F.lit(least))
+    pm = F.greatest(sig(pmra, pmra_err, 1e-6), sig(pmdec, pmdec_err, 1e-6))
+    plx = F.when(parallax.isNotNull() & parallax_err.isNotNull(), sig(parallax, parallax_err, 1e-10)).otherwise(0.0)
+    reasons = F.array_compact(F.array(F.when(plx > 3.0, "parallax"), F.when(pm > 3.0, "proper_motion"), F.when(given(ruwe, 1.0) > 1.4, "ruwe"), F.when(quasar < 0.1, "quasar_probability")))
+    star = F.size(reasons) > 0
+    varies = (given(noise, 0.0) > 0.5) & (given(noise_sig, 0.0) > 2.0)
+    score = F.when(varies & ~star, F.least(F.lit(1.0), given(noise_sig, 0.0) / 10.0)).otherwise(0.0)
+    return {"pm_sig": pm, "parallax_sig": plx, "is_variable": varies, "is_star": star, "star_reasons": F.concat_ws("; ", reasons), "score": score}
+
+
+def colour_variability(bp: Column, rp: Column, bp_rp: Column, flag: Column, quasar: Column) -> dict[str, Column]:
+    """Colour (given, else from the two bands), its class, the catalogue's flag of variability
+    and whether it is a likely quasar; zero magnitudes are missing ones."""
+    given = lambda c: F.nullif(c, F.lit(0.0))
+    colour = F.coalesce(given(bp_rp), given(bp) - given(rp))
+    kind = F.when(colour < 0.5, "blue").when(colour > 1.5, "red").when(colour.isNotNull(), "intermediate").otherwise("unknown")
+    return {"bp_rp": colour, "color_class": kind, "is_variable": F.coalesce(F.upper(flag).contains("VARIABLE"), F.lit(False)), "quasar_prob": F.coalesce(quasar, F.lit(0.0)), "is_quasar": F.coalesce(quasar > 0.5, F.lit(False))}

@@ -140,13 +140,13 @@ def quality_summary(spark, sf):
     return a.select(F.expr("stack(4, 'rows', rows, 'positives', positives, 'toxic_rate', toxic_rate, 'score_median', score_median) AS (metric, value)"))
 
 
-@query(f"""WITH {EV}, u AS (SELECT doc_id, score, y, r, (('0x' || substr(md5('42:' || r || ':' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM ev, (SELECT unnest(range(20)) AS r)),
+@query(f"""WITH {EV}, u AS (SELECT doc_id, score, y, r, (('0x' || substr(md5('42:' || r || ':' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM ev, (SELECT unnest(range(200)) AS r)),
 w AS (SELECT r, y, score, (u > 0.36787944117144233)::INT + (u > 0.36787944117144233 * 2)::INT + (u > 0.36787944117144233 * 2.5)::INT + (u > 0.36787944117144233 * (2.5 + 1 / 6.0))::INT + (u > 0.36787944117144233 * (2.5 + 1 / 6.0 + 1 / 24.0))::INT + (u > 0.36787944117144233 * (2.5 + 1 / 6.0 + 1 / 24.0 + 1 / 120.0))::INT AS w FROM u),
 m AS (SELECT r, sum(w * y)::DOUBLE / sum(w) AS rate FROM w WHERE score >= 0.2 GROUP BY r) SELECT quantile_cont(rate, 0.025) AS low, quantile_cont(rate, 0.975) AS high FROM m""", "low high", 4)
 def bootstrap_precision(spark, sf):
     from ..operators.sampling import bootstrap_weights
 
-    b = bootstrap_weights(evaluated(spark, sf).filter("score >= 0.2"), "doc_id", 20)
+    b = bootstrap_weights(evaluated(spark, sf).filter("score >= 0.2"), "doc_id", 200)
     m = b.groupBy("replicate").agg((F.sum(F.col("weight") * F.col("y")) / F.sum("weight")).alias("rate"))
     return m.agg(F.percentile("rate", F.lit(0.025)).alias("low"), F.percentile("rate", F.lit(0.975)).alias("high"))
 

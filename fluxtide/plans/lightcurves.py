@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import photometry as ph
 from ..operators import breaks, quality, seasons, structure, variability
+from ..sources.store import materialise
 from .registry import query, table
 
 GAP = 1.0
@@ -44,15 +47,35 @@ standard AS (SELECT source_id, n_seasons, f_early, f_late,
   CASE WHEN n_seasons >= 4 THEN 2.5 / ln(10) * sqrt(power(s_early / f_early, 2) + power(s_late / f_late, 2)) END AS delta_stat_err FROM ivw)"""
 
 
+_held: dict[str, tuple[DataFrame, DataFrame]] = {}
+
+
+@contextmanager
+def written_once(spark: SparkSession, sf_dir: str):
+    """Within it, plans over this folder read one written table of light curves and one of
+    seasons, which a join of many features would otherwise each derive from the events."""
+    if sf_dir in _held:
+        yield
+        return
+    lc = materialise(light_curve(spark, sf_dir))
+    _held[sf_dir] = lc, materialise(seasons.season_fluxes(lc, SOURCE, GAP))
+    try:
+        yield
+    finally:
+        del _held[sf_dir]
+
+
 def light_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, source_id, mjd, band, flux, err, flag)."""
+    if sf_dir in _held:
+        return _held[sf_dir][0]
     e = table(spark, sf_dir, "events")
     band = F.when(F.col("event_type") == "view", "W1").when(F.col("event_type") == "click", "W2").otherwise(F.col("event_type"))
     return e.select("event_id", F.col("user_id").alias("source_id"), ph.mjd_of(F.col("ts")).alias("mjd"), band.alias("band"), F.col("value").alias("flux"), (0.05 * F.col("value") + 0.01).alias("err"), F.get_json_object("props", "$.k").try_cast("int").alias("flag"))
 
 
 def season_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seasons.season_fluxes(light_curve(spark, sf_dir), SOURCE, GAP)
+    return _held[sf_dir][1] if sf_dir in _held else seasons.season_fluxes(light_curve(spark, sf_dir), SOURCE, GAP)
 
 
 # --- quality -----------------------------------------------------------------------------

@@ -40,4 +40,4 @@ def query(sql: str | None = None, doubles: str = "", places: int = 6):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import benchmark, catalogues, evaluation, lightcurves, models, scoring, studies  # noqa: F401
+    from . import benchmark, catalogues, checks, evaluation, lightcurves, models, runs, scoring, studies  # noqa: F401

@@ -12,9 +12,9 @@ from ..functions.sky import in_range
 # Names under which catalogues give positions, redshifts and ids.
 ALIASES = {
     "ra": ("ra", "raj2000", "ra_j2000", "ra_deg", "radeg", "_raj2000", "alpha"),
-    "dec": ("dec", "dej2000", "decj2000", "dec_j2000", "dec_deg", "dedeg", "_dej2000", "delta"),
+    "dec": ("dec", "dej2000", "decj2000", "dec_j2000", "dec_deg", "dedeg", "_dej2000", "delta", "de"),
     "redshift": ("redshift", "z", "z_spec", "zspec", "z_best", "z_vi"),
-    "source_id": ("source_id", "name", "objid", "object", "id", "designation"),
+    "source_id": ("source_id", "name", "objid", "object", "id", "designation", "sdss_name", "source_name"),
 }
 
 
