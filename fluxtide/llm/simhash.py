@@ -2,16 +2,17 @@
 
 Fingerprints are made once per text and reduced to distinct values.  A first cut deals them to
 shards: two values within ``radius`` bits agree wholly on ``t`` of radius + t bit blocks, so each
-value goes to one shard for each choice of t blocks, and every linked pair meets.  t is the
-least, from zero, at which shards of unrelated values hold ``most / 2`` values or fewer: one
-shard for small tables, five a value up to some tens of millions, fifteen up to thousands of
-millions.  Inside a shard a vantage-point tree does the search: a vantage point and the median
-distance to it part the values, and a query enters a side only if the triangle bound lets a
-value there be within the radius, so queries near the boundary enter both.  Shards give a
-spanning forest of their links, never all pairs; the forests' union has the components of the
-link graph.  (A tree over *all* values is not the first cut: at radius 4 two thirds of unrelated
-64-bit values lie near a median boundary and would be copied to both sides at every level; the
-README has figures.)
+value goes to one shard for each choice of t blocks, by a hash of those blocks, and every linked
+pair meets.  There are so many shards for a choice that one holds some ``FILL`` values, whatever
+the table's size; t is the least at which blocks have values enough for that: one shard for
+small tables, five copies a value up to some tens of millions, fifteen up to thousands of
+millions.  A shard then is far larger than what shares its blocks, and a vantage-point tree does
+the search in it: a vantage point and the median distance to it part the values, and a query
+enters a side only if the triangle bound lets a value there be within the radius, so queries
+near the boundary enter both.  Shards give a spanning forest of their links, never all pairs;
+the forests' union has the components of the link graph.  (A tree over *all* values is not the
+first cut: at radius 4 two thirds of unrelated 64-bit values lie near a median boundary and
+would be copied to both sides at every level; the README has figures.)
 
 A shard with more than ``most`` values is cut into chunks, and pairs of chunks are the tasks.
 
@@ -37,6 +38,7 @@ from .graph import components
 
 WORDS, RADIUS, SEED = 4, 4, 42
 MOST = 8192
+FILL = 2048
 LEAF = 16
 
 
@@ -132,10 +134,14 @@ class VantageTree:
         self.links(far, radius, forest, outer)
 
 
-def shard_forest(values: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (value, root value) that span the links among distinct values."""
+def shard_forest(values: np.ndarray, radius: int = RADIUS, visits=None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (value, root value) that span the links among distinct values; ``visits``, an
+    accumulator, gets the tree's."""
     forest, places = Forest(len(values)), np.arange(len(values))
-    VantageTree(values, places).links(places, radius, forest)
+    tree = VantageTree(values, places)
+    tree.links(places, radius, forest)
+    if visits is not None:
+        visits.add(tree.visits[0])
     own = np.flatnonzero(forest.root != places)
     return values[own], values[forest.root[own]]
 
@@ -148,11 +154,13 @@ def blocks_shared(n: int, radius: int = RADIUS, most: int = MOST) -> int:
     return t
 
 
-def _shards(t: int, radius: int) -> Column:
-    """Keys of the shards; keys that collide only make a shard larger."""
+def _shards(t: int, radius: int, many: int) -> Column:
+    """A value's shards, ``many`` for each choice of t blocks: equal blocks share one."""
+    if not t:
+        return F.array(F.lit(0).cast("long"))
     edges = [64 * i // (radius + t) for i in range(radius + t + 1)]
     block = lambda i: F.shiftrightunsigned(F.col("fp"), edges[i]).bitwiseAND((1 << (edges[i + 1] - edges[i])) - 1)
-    return F.array(*[F.xxhash64(F.lit(k), *map(block, chosen)) for k, chosen in enumerate(combinations(range(radius + t), t))])
+    return F.array(*[F.lit(k * many) + F.pmod(F.xxhash64(*map(block, chosen)), F.lit(many)) for k, chosen in enumerate(combinations(range(radius + t), t))])
 
 
 def meetings(rows: DataFrame, by: str) -> DataFrame:
@@ -165,10 +173,11 @@ def meetings(rows: DataFrame, by: str) -> DataFrame:
     return rows.withColumn("pair", F.explode(F.when(chunks > 1, every).otherwise(F.array(F.lit(0))))).drop("chunks")
 
 
-def links(values: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
+def links(values: DataFrame, radius: int = RADIUS, most: int = MOST, visits=None) -> DataFrame:
     """Distinct (fp) -> (u, v): edges whose components are those of all links."""
-    t = blocks_shared(values.count(), radius, most)
-    rows = values.select("fp", F.explode(_shards(t, radius)).alias("shard"))
+    n = values.count()
+    t = blocks_shared(n, radius, most)
+    rows = values.select("fp", F.explode(_shards(t, radius, max(1, -(-n // min(FILL, most // 4 or 1))))).alias("shard"))
     big = written(rows.groupBy("shard").count().filter(F.col("count") > most).withColumn("chunks", F.ceil(F.col("count") / (most // 2)).cast("int")).select("shard", "chunks"))
     small = big.count() <= 100_000  # else the join is left to the optimiser
     rows = meetings(rows.join(F.broadcast(big) if small else big, "shard", "left"), "fp")
@@ -187,7 +196,7 @@ def links(values: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFram
                 us.append(fps[near])
                 vs.append(fps[near + step])
             for g in np.flatnonzero(sizes > LEAF):
-                u, v = shard_forest(np.unique(fps[edges[g] : edges[g + 1]]), radius)
+                u, v = shard_forest(np.unique(fps[edges[g] : edges[g + 1]]), radius, visits)
                 us.append(u)
                 vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (us, vs)], names=["u", "v"])
@@ -216,18 +225,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _grouped(rows: DataFrame, radius: int, most: int) -> DataFrame:
-    values = written(rows.groupBy("fp").agg(F.min("id").alias("first")))
+    values = _values(rows)
     return grouped(rows, links(values.select("fp"), radius, most), values)
 
 
+def _values(rows: DataFrame) -> DataFrame:
+    return written(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")))
+
+
+HOT = 1000
+
+
 def grouped(rows: DataFrame, edges: DataFrame, values: DataFrame | None = None) -> DataFrame:
-    """(id, fp) with the component: the smallest id among the values that edges connect."""
-    values = written(rows.groupBy("fp").agg(F.min("id").alias("first"))) if values is None else values
+    """(id, fp) with the component: the smallest id among the values that edges connect.
+
+    Values with more than a thousandth of all rows are fewer than ``HOT``; they are broadcast to
+    their rows, so that no task gets all rows of a value, and the other rows are joined."""
+    values = _values(rows) if values is None else values
     roots = components(edges)
-    placed = values.join(roots, values["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    placed = values.join(roots, values["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component"))
-    placed = placed.join(least, "root").select("fp", "component")
-    return rows.join(placed, "fp")
+    placed = written(placed.join(least, "root").select("fp", "component", "n"))
+    total = placed.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT > total
+    often = F.broadcast(placed.filter(hot).select("fp", "component"))
+    rest = rows.join(often.select("fp"), "fp", "left_anti").join(placed.filter(~hot).select("fp", "component"), "fp")
+    return rows.join(often, "fp").unionByName(rest)
 
 
 def marked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:

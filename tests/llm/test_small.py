@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from fluxtide.llm import decontam, lines, pareto, pii, pst, queries, repetition, simhash, suffix, tokens, urls
 
@@ -211,6 +212,34 @@ def test_vantage_trees_search_the_given_table(spark):
     assert simhash.blocks_shared(len(values)) == 0 and [simhash.blocks_shared(n) for n in (10**5, 10**7, 10**9, 10**11)] == [1, 1, 2, 3]
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_shards_are_searched_by_trees_at_every_size(spark, sf):
+    """In the query's own path: trees are entered, a value has as many copies as there are choices
+    of blocks, shards hold thousands, and the components are those of brute force."""
+    from fluxtide.llm._text import written
+
+    values = written(simhash.fingerprints(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).select("fp").distinct())
+    n, visits = values.count(), spark.sparkContext.accumulator(0)
+    edges = [tuple(r) for r in simhash.links(values, visits=visits).collect()]
+    assert visits.value > 10 * n
+    t = simhash.blocks_shared(n)
+    shards = values.select(F.explode(simhash._shards(t, simhash.RADIUS, -(-n // simhash.FILL))).alias("s")).groupBy("s").count().toPandas()["count"]
+    assert shards.sum() == n * math.comb(simhash.RADIUS + t, t) and shards.median() > 500 and shards.max() <= simhash.MOST
+    fps = np.sort(values.toPandas()["fp"].to_numpy(np.int64).view(np.uint64))
+    near = [(i, j) for i in range(len(fps)) for j in (np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= simhash.RADIUS) + i + 1).tolist()]
+    place = {int(x.astype(np.int64)): i for i, x in enumerate(fps)}
+    mine = roots_of_edges(range(len(fps)), [(place[u], place[v]) for u, v in edges])
+    assert mine == roots_of_edges(range(len(fps)), near)
+
+
+def test_a_value_of_most_rows_is_broadcast(spark):
+    """Two thirds of the rows have one fingerprint; rows and components are all there."""
+    rows = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 > 0, F.lit(5)).otherwise(F.col("id") * 1000).cast("long").alias("fp"))
+    edges = spark.createDataFrame([(5, 3000)], "u long, v long")
+    got = {r["id"]: r["component"] for r in simhash.grouped(rows, edges).collect()}
+    assert len(got) == 3000 and all(got[i] == (1 if i % 3 or i == 3 else i) for i in range(3000))
+
+
 def roots_of_edges(values, edges):
     root = {x: x for x in values}
 
