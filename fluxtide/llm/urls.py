@@ -19,30 +19,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BITS = 16
-THRESHOLD = 0.5  # both labels weigh alike in the fit
-SIZES = (3, 4, 5, 6)
+THRESHOLD = 0.5
+BAD_SHARE = 0.2  # what the labels to block weigh in the fit: an unknown host is more likely a good one
+SIZES = (3, 4, 5)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # The rules of the contract, as (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
-# The small labelled table: hosts of two stems of the same label (1: block), each put into the
-# shapes below, and whole URLs.  The hosts that a test measures on are not among them.
+# The small labelled table: hosts of two stems of the same label (1: block), or of a stem and a
+# neutral word, each put into the shapes below, and whole URLs.  Words were chosen by subject
+# (betting, adult, pharmacy, malware, advertising, link selling; and public bodies, trades, nature,
+# study), not from any pages.  A model knows the words it was given: a user with other subjects
+# trains on a table of theirs.
 STEMS = {
-    1: """casino poker jackpot bets odds spins slots lottery win prize adult xxx sexy cams dating cheap pills viagra meds diet spam mail links farm seo ads adserver
-    track banner popup click phish malware crack warez free money""".split(),
-    0: """lantern harbour thunder nation weather motion thread another station garden river history cooking travel museum library theatre school science journal market
-    winter summer morning evening mountain forest meadow bridge tower castle village city country music painting poetry reading writing teaching learning building
-    farming fishing sailing walking engine wheel paper pencil letter number question answer reason season ocean island desert planet harvest kitchen window
-    other author together weather leather brother either northern southern section fashion mission version thinking nothing everything shelter member number winner
-    address adviser between better cheaper freedom linking painter tracking adultery widow therapy thirteen earth health wealth theory method rhythm athlete""".split(),
+    1: """poker jackpot roulette blackjack betting wager odds spins slots lottery bingo bookmaker xxx porn sexy cams escort nude hookup viagra meds pharma slimming steroid
+    banner popup doubleclick affiliate clickbait phish malware crack warez keygen torrent ransom bulkmail backlink linkseller seo payday loan forex hack fake""".split(),
+    0: """library museum school college hospital council parish embassy ministry archive theatre orchestra gallery bakery carpenter plumber gardener optician dentist architect
+    river forest mountain valley island meadow harbour lighthouse weather climate geology botany astronomy history grammar philosophy algebra chemistry physics
+    recipe kitchen cycling hiking sailing football chess painting pottery knitting newspaper journal bulletin timetable railway airport""".split(),
 }
-APART = (4, 7, 13, 19)
+APART = (4, 13)
+NEUTRAL = "my best world online group plus info home first city".split()  # beside words of either label
 SHAPES = ("http://{}.com/index.php?p=3", "https://www.{}.org/a/b/page.htm", "http://shop.{}.net/list/en/7", "https://m.{}.co.uk/fr/4", "http://{}.example.edu/node/12")
 LABELLED = {
-    1: """http://ads.shop-deals.com/click?id=1 https://track.ads-media.com/pixel.gif http://best-casino.club/jackpot https://poker-win.biz/bonus
-    http://xxx-videos.com/adult/12 https://adult-cams.com/live http://win-prize.click/lottery/claim http://phish-login.com/verify/account
-    http://malware-download.com/crack.exe https://cheap-backlinks.com/seo/buy http://doubleclick.adnet.com/ad/iframe http://banner-track.com/adview.php""".split(),
+    1: """http://banner.shop-deals.com/click?id=1 https://pixel.affiliate-media.com/pixel.gif http://best-poker.club/jackpot https://roulette-bonus.biz/bonus
+    http://xxx-videos.com/porn/12 https://sexy-cams.com/live http://lottery-prize.click/claim http://phish-login.com/verify/account
+    http://malware-download.com/crack.exe https://backlink-seo.com/buy http://doubleclick.popup.net/iframe http://keygen-warez.com/torrent""".split(),
     0: """https://en.encyclopedia.org/wiki/Spark https://docs.python.org/3/library/re.html https://news.daily-paper.com/politics/2024/05/01/budget.html
     https://www.university.edu/research/papers/12.pdf https://blog.engineer.com/posts/how-joins-work https://library.city.gov/catalog/item/99
     https://www.recipes.com/en/soup/lentil https://forum.gardeners.org/thread/4411 https://www.hospital.org/patients/visiting https://shop.books.com/en/novels/3
@@ -50,10 +53,16 @@ LABELLED = {
 }
 
 
+def urls_of(words: list[str]) -> list[str]:
+    """URLs whose hosts are made of the words, two together or one beside a neutral word."""
+    beside = lambda i: NEUTRAL[i % len(NEUTRAL)]
+    hosts = [f"{a}-{b}" for i, a in enumerate(words) for b in (*[words[(i + k) % len(words)] for k in APART], beside(i))]
+    return [shape.format(host) for host in hosts + [f"{beside(i + 3)}-{a}" for i, a in enumerate(words)] for shape in SHAPES]
+
+
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """(url, label) as a frame of literals."""
-    hosts = [(f"{a}-{stems[(i + k) % len(stems)]}", label) for label, stems in STEMS.items() for i, a in enumerate(stems) for k in APART]
-    rows = [(url, label) for label, urls in LABELLED.items() for url in urls] + [(shape.format(host), label) for host, label in hosts for shape in SHAPES]
+    rows = [(url, label) for label in (1, 0) for url in LABELLED[label] + urls_of(STEMS[label])]
     return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{url}', {label}.0D)" for url, label in rows) + " AS t(url, label)")
 
 
@@ -84,13 +93,14 @@ def features(urls: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def train(spark: SparkSession, labelled: DataFrame | None = None, bits: int = BITS) -> LogisticRegressionModel:
-    """Fits on (url, label), both labels weighing alike; the table is small by contract."""
+    """Fits on (url, label); the labels weigh ``BAD_SHARE`` and the rest, however many rows
+    each has.  The table is small by contract."""
     rows = labelled if labelled is not None else labelled_urls(spark)
     host, path = host_path(F.col("url"))
     # A thousand rows: one partition, so that a step of the fit is one task.
     rows = features(rows.select(host.alias("host"), path.alias("path"), "label").coalesce(1), bits)
     share = rows.agg(F.avg("label")).first()[0]
-    rows = rows.withColumn("weight", F.when(F.col("label") > 0, F.lit(0.5 / share)).otherwise(F.lit(0.5 / (1 - share))))
+    rows = rows.withColumn("weight", F.when(F.col("label") > 0, F.lit(BAD_SHARE / share)).otherwise(F.lit((1 - BAD_SHARE) / (1 - share))))
     return LogisticRegression(maxIter=60, regParam=0.0002, standardization=False, featuresCol="features", labelCol="label", weightCol="weight").fit(rows)
 
 
