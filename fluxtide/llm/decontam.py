@@ -35,10 +35,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import slices, utf8
+from ._text import slices, utf8, written
 
 WINDOW, STEP = 64, 32
 BLOCK_PASSAGES, RANK, OVERSAMPLE = 256, 160, 10
+TOGETHER = 8  # blocks that a pass searches: some fifty MB of indexes
 SAMPLE, EMPHASIS = 4096, 4.0
 VOCABULARY = 1_000_000
 COSINE, SHARE = 0.35, 0.3
@@ -326,6 +327,18 @@ def _index(docs: DataFrame, block: list[Passage], frequency: dict[bytes, int], n
     return Index(block, used, (weight[:, None] * space).astype(np.float32), latent.astype(np.float32))
 
 
+def together(found: Iterator[Index], most: int = TOGETHER) -> Iterator[list[Index]]:
+    """Indexes of several blocks, which one pass over the documents searches."""
+    group: list[Index] = []
+    for index in found:
+        group.append(index)
+        if len(group) == most:
+            yield group
+            group = []
+    if group:
+        yield group
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", rank: int = RANK, block: int = BLOCK_PASSAGES) -> DataFrame:
     """One row per document row and item found in it: id, item, cosine, lcs_share, answer."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -333,14 +346,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     item_type = benchmark.schema[item_col].dataType.simpleString()
     schema = f"id {id_type}, item {item_type}, cosine double, lcs_share double, answer boolean"
     found = docs.sparkSession.createDataFrame([], schema)
-    for index in indexes(docs, benchmark, text_col, item_col, rank=rank, block=block):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for group in together(indexes(docs, benchmark, text_col, item_col, rank=rank, block=block)):
+        shared = docs.sparkSession.sparkContext.broadcast(group)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known = Known(shared.value.features)
+            known = [Known(index.features) for index in shared.value]
             for batch in slices(batches, "text"):
-                hits = list(shared.value.matches(utf8(batch, "text"), known).items())
-                if hits:
+                texts = utf8(batch, "text")
+                for index, words in zip(shared.value, known):
+                    hits = list(index.matches(texts, words).items())
+                    if not hits:
+                        continue
                     columns = [batch.column("id").take(pa.array([t for (t, _), _ in hits])), pa.array([i for (_, i), _ in hits]), *(pa.array(list(x)) for x in zip(*(v for _, v in hits)))]
                     yield pa.RecordBatch.from_arrays(columns, names=["id", "item", "cosine", "lcs_share", "answer"])
 
@@ -352,15 +368,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", rank: int = RANK, block: int = BLOCK_PASSAGES) -> DataFrame:
     """The input rows in which no item is found, with all their columns."""
-    out = docs
-    for index in indexes(docs, benchmark, text_col, item_col, rank=rank, block=block):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    out = None
+    for group in together(indexes(docs, benchmark, text_col, item_col, rank=rank, block=block)):
+        shared = docs.sparkSession.sparkContext.broadcast(group)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known = Known(shared.value.features)
+            known = [Known(index.features) for index in shared.value]
             for batch in slices(batches, text_col):
-                hit = {t for t, _ in shared.value.matches(utf8(batch, text_col), known)}
+                texts = utf8(batch, text_col)
+                hit = {t for index, words in zip(shared.value, known) for t, _ in index.matches(texts, words)}
                 yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)]))
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+        # Groups are passes of their own: a task never has more than one group's indexes.
+        out = (docs if out is None else written(out)).mapInArrow(run, docs.schema)
+    return docs if out is None else out
