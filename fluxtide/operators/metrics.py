@@ -6,6 +6,9 @@ score, and over the ranges."""
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,17 +109,33 @@ def quantile_bins(df: DataFrame, value: str, bins: int, out: str = "bin") -> Dat
     return df.crossJoin(F.broadcast(edges)).withColumn(out, F.when(F.col(value).isNotNull(), F.least(number, F.size(inner) - 1))).drop("_edges")
 
 
-def spearman(df: DataFrame, x: str, y: str, keys: list[str] = ()) -> DataFrame:
-    """Rank correlation, mean ranks for ties, of three rows or more."""
-    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+def mid_ranks(counts: DataFrame, group: str, value: str, weight: str, buckets: int = 1024) -> DataFrame:
+    """(group, value, rank, total): the mean rank of each distinct value of (group, value, weight)
+    rows.  Values are dealt to buckets between approximate quantiles; sizes of lower buckets are
+    added to ranks within a bucket, so that no group is sorted in one task."""
+    edges = counts.agg(F.percentile_approx(F.col(value).cast("double"), [i / buckets for i in range(1, buckets)], 10_000)).first()[0]
+    cut = Bucketizer(splits=[-math.inf, *sorted(set(edges or [0.0])), math.inf], inputCol="_v", outputCol="_b")
+    each = cut.transform(counts.groupBy(group, value).agg(F.sum(weight).alias("_m")).withColumn("_v", F.col(value).cast("double")))
+    sizes = each.groupBy(group, "_b").agg(F.sum("_m").alias("_here"))
+    upto, whole = Window.partitionBy(group).orderBy("_b"), Window.partitionBy(group)  # as many rows as buckets
+    sizes = sizes.select(group, "_b", (F.sum("_here").over(upto) - F.col("_here")).alias("_before"), F.sum("_here").over(whole).alias("total"))
+    inside = F.sum("_m").over(Window.partitionBy(group, "_b").orderBy(value))
+    rank = F.col("_before") + inside - F.col("_m") + (F.col("_m") + 1) / 2.0
+    return each.join(sizes, [group, "_b"]).select(group, value, rank.alias("rank"), "total")
 
-    def ranks(c: str) -> Column:
-        first = F.rank().over(Window.partitionBy(*keys).orderBy(c))
-        return first + (F.count(F.lit(1)).over(Window.partitionBy(*keys, c)) - 1) / 2.0
 
-    r = both.withColumn("_rx", ranks(x)).withColumn("_ry", ranks(y))
-    g = (r.groupBy(*keys) if keys else r).agg(F.count(F.lit(1)).alias("n"), correlation(F.col("_rx"), F.col("_ry")).alias("rho"))
-    return g.filter("n >= 3")
+def spearman(df: DataFrame, x: str, y: str, keys: list[str] = ()) -> DataFrame:
+    """Rank correlation, mean ranks for ties, of three rows or more; over all rows or per key.
+    Rows are summed by distinct pair first."""
+    group = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0))
+    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(group.alias("_g"), F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_w"))
+    rx = mid_ranks(pairs, "_g", "_x", "_w").withColumnRenamed("rank", "_rx")
+    ry = mid_ranks(pairs, "_g", "_y", "_w").select("_g", "_y", F.col("rank").alias("_ry"))
+    j = pairs.join(rx, ["_g", "_x"]).join(ry, ["_g", "_y"])
+    a, b = F.col("_rx") - (F.col("total") + 1) / 2.0, F.col("_ry") - (F.col("total") + 1) / 2.0
+    g = j.groupBy("_g").agg(F.max("total").alias("n"), F.sum(F.col("_w") * a * b).alias("_ab"), F.sum(F.col("_w") * a * a).alias("_aa"), F.sum(F.col("_w") * b * b).alias("_bb"))
+    rho = F.when((F.col("_aa") > 0) & (F.col("_bb") > 0), F.col("_ab") / F.sqrt(F.col("_aa") * F.col("_bb")))
+    return g.filter("n >= 3").select(*[F.col("_g")[k].alias(k) for k in keys], "n", rho.alias("rho"))
 
 
 def ks_two_sample(df: DataFrame, value: str, group: Column) -> DataFrame:

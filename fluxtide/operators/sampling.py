@@ -28,23 +28,33 @@ def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(draw(F.col(key), seed), key).limit(n)
 
 
+def placed(df: DataFrame, key: str, stratum: str, seed: int = 42) -> DataFrame:
+    """Adds ``_place`` (from 1, in random order) and ``_n`` within the stratum.  The order is that
+    of hexadecimal draws, so rows are numbered within (stratum, first three digits) and the
+    sizes of earlier digits are added: no stratum is sorted in one task."""
+    d = df.withColumn("_draw", draw(F.col(key), seed)).withColumn("_head", F.substring("_draw", 1, 3))
+    sizes = d.groupBy(F.col(stratum).alias("_s"), F.col("_head").alias("_h")).agg(F.count(F.lit(1)).alias("_here"))
+    upto, whole = Window.partitionBy("_s").orderBy("_h"), Window.partitionBy("_s")  # 4096 rows a stratum at most
+    sizes = sizes.select("_s", "_h", (F.sum("_here").over(upto) - F.col("_here")).alias("_before"), F.sum("_here").over(whole).alias("_n"))
+    met = d.join(sizes, d[stratum].eqNullSafe(sizes["_s"]) & (d["_head"] == sizes["_h"]))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_s", "_h").orderBy("_draw", key))
+    return met.withColumn("_place", place).select(*df.columns, "_place", "_n")
+
+
 def stratified(df: DataFrame, key: str, stratum: str, allocation: DataFrame, seed: int = 42) -> DataFrame:
     """The allocated number of rows of each stratum, in random order."""
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(draw(F.col(key), seed), key))
-    return df.join(allocation.select(stratum, "allocated"), stratum).withColumn("_place", place).filter("_place <= allocated").drop("_place", "allocated")
+    return placed(df, key, stratum, seed).join(allocation.select(stratum, "allocated"), stratum).filter("_place <= allocated").drop("_place", "_n", "allocated")
 
 
 def split(df: DataFrame, key: str, stratum: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
     """Adds ``split``: within each stratum, random order cut at the rounded-up shares."""
-    w = Window.partitionBy(stratum)
-    p = (F.row_number().over(w.orderBy(draw(F.col(key), seed), key)) - 1) / F.count(F.lit(1)).over(w)
-    marked, bound, out = df.withColumn("_p", p), 0.0, None
+    marked, bound, out = placed(df, key, stratum, seed).withColumn("_p", (F.col("_place") - 1) / F.col("_n")), 0.0, None
     names = list(shares)
     for name in names[:-1]:
         bound += shares[name]
         cond = F.col("_p") < round(bound, 9)
         out = F.when(cond, name) if out is None else out.when(cond, name)
-    return marked.withColumn("split", F.lit(names[-1]) if out is None else out.otherwise(names[-1])).drop("_p")
+    return marked.withColumn("split", F.lit(names[-1]) if out is None else out.otherwise(names[-1])).drop("_p", "_place", "_n")
 
 
 def top_n(df: DataFrame, score: str, key: list[str], n: int) -> DataFrame:

@@ -280,7 +280,7 @@ def earlier_neighbour_dedup(spark, sf):
 SELECT g.id, g.root, (SELECT string_agg(h.id::VARCHAR, '|' ORDER BY h.id) FROM g h WHERE h.root = g.root) AS members FROM g""")
 def components_dedup(spark, sf):
     s = positions(spark, sf, "supplier", "s_suppkey", "id")
-    return dedup.component_groups(s, 8.0, "id", ["id"]).select("id", "root", "members")
+    return dedup.member_lists(dedup.component_groups(s, 8.0, "id", ["id"]), "id").select("id", "root", "members")
 
 
 @query()

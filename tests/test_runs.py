@@ -168,3 +168,34 @@ def test_average_precision_of_settings(spark):
         assert got[k] == pytest.approx(want)
     v = sensitivity.settings(spark).toPandas()
     assert len(v) == 17 and ((v[list(sensitivity.USUAL)] != sensitivity.USUAL).sum(axis=1) <= 1).all()
+
+
+def test_ranks_and_places_without_a_whole_sort(spark):
+    """Rank correlation and random places equal those of one sorted array, with and without keys,
+    with ties, nulls and one value that most rows have."""
+    from fluxtide.operators import metrics, sampling
+
+    rng = np.random.default_rng(5)
+    rows = [(i, "k" if i % 3 else None, float(round(rng.normal(), 1)) if i % 4 else 2.5, int(rng.integers(0, 3)) if i % 11 else None) for i in range(900)]
+    d = spark.createDataFrame(rows, "id long, g string, x double, y int")
+
+    def rho(part):
+        a, b = (np.array([r[i] for r in part], float) for i in (2, 3))
+        mid = lambda v: (np.searchsorted(np.sort(v), v, "left") + np.searchsorted(np.sort(v), v, "right") + 1) / 2
+        return float(np.corrcoef(mid(a), mid(b))[0, 1])
+
+    full = [r for r in rows if r[3] is not None]
+    one = metrics.spearman(d, "x", "y").first()
+    assert one["n"] == len(full) and one["rho"] == pytest.approx(rho(full))
+    got = {r["g"]: (r["n"], r["rho"]) for r in metrics.spearman(d, "x", "y", ["g"]).collect()}
+    for g in ("k", None):
+        part = [r for r in full if r[1] == g]
+        assert got[g] == (len(part), pytest.approx(rho(part)))
+    assert metrics.spearman(d.withColumn("x", F.lit(1.0)), "x", "y").first()["rho"] is None
+    assert metrics.spearman(d.filter("id < 0"), "x", "y").collect() == []
+    import hashlib
+
+    p = {r["id"]: (r["_place"], r["_n"]) for r in sampling.placed(d, "id", "g", 7).collect()}
+    for g in ("k", None):
+        order = sorted((r[0] for r in rows if r[1] == g), key=lambda i: hashlib.md5(f"7:{i}".encode()).hexdigest())
+        assert [p[i] for i in order] == [(n, len(order)) for n in range(1, len(order) + 1)]

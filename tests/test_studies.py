@@ -355,3 +355,92 @@ def test_ablation_has_a_row_a_set(spark, labelled):
 def test_study_has_a_row_a_long_source(spark, name):
     rows = getattr(studies, name)(spark, SF).collect()
     assert rows and len({r["source_id"] for r in rows}) == len(rows)
+
+
+# --- models whose queries have no SQL ------------------------------------------------------
+
+
+def test_sampler_recovers_the_walk(spark):
+    rng = np.random.default_rng(21)
+    t = np.sort(rng.uniform(0, 4000, 80))
+    r = stochastic.sample_walk(curve_frame(spark, {1: (t, simulated(rng, t, 1.5, 120.0), np.full(80, 0.1))}), walkers=16, steps=500, burn=200).first()
+    assert r["sigma16"] < 1.5 * 1.4 and r["sigma84"] > 1.5 / 1.4 and r["tau16"] < 120 * 1.8 and r["tau84"] > 120 / 1.8 and r["rhat"] < 1.2
+
+
+def test_profiled_step_finds_a_step(spark):
+    rng = np.random.default_rng(22)
+    t = np.sort(rng.uniform(0, 1000, 100))
+    flat = simulated(rng, t, 0.3, 20.0)
+    found = {r["source_id"]: r for r in stochastic.fit_step(curve_frame(spark, {1: (t, flat + 4.0 * (t > 500), np.full(100, 0.1)), 2: (t, flat, np.full(100, 0.1))})).collect()}
+    assert abs(found[1]["step_mjd"] - 500) < 80 and found[1]["height"] > 2 and found[1]["delta_bic"] > 10 > found[2]["delta_bic"]
+
+
+def test_false_alarms_and_null_threshold_agree(spark):
+    """Of the same simulated curves the share above the calibrated shift is the asked rate."""
+    t = np.arange(0.0, 30.0, 0.5)
+    d = curve_frame(spark, {k: (t, t * 0 + 1, t * 0 + 1) for k in range(150)})
+    far = {r["threshold"]: r["rate"] for r in stochastic.false_alarm(d, "source_id", 20.0, 5.0, [0.0, 0.5, 1.0, 9.0]).collect()}
+    assert far[0.0] == 1.0 and far[9.0] == 0.0 and far[0.5] > far[1.0]
+    limit = stochastic.null_threshold(d, "source_id", 20.0, 5.0, 0.05, 4).first()
+    assert limit["n"] == 600
+    rate = stochastic.false_alarm(d, "source_id", 20.0, 5.0, [limit["threshold"]]).first()["rate"]
+    assert rate == pytest.approx(0.05, abs=0.05)
+    # A memory much shorter than a half leaves their medians closer together.
+    assert stochastic.null_threshold(d, "source_id", 20.0, 0.5).first()["threshold"] < limit["threshold"]
+
+
+def test_block_bootstrap_of_equal_and_unequal_seasons(spark):
+    rows = [(1, s, 5.0) for s in range(8)] + [(2, s, 5.0 + s) for s in range(8)] + [(3, 0, 5.0)]
+    out = {r["source_id"]: r for r in stochastic.block_bootstrap(spark.createDataFrame(rows, "source_id long, season int, med double"), "source_id", replicates=60).collect()}
+    assert out[1]["sd"] == pytest.approx(0) and 0.05 < out[2]["sd"] < 0.6 and 3 not in out
+
+
+def test_season_coherence_of_copies_and_mirrors(spark):
+    t = np.concatenate([k * 100.0 + np.arange(10) for k in range(4)])
+    wave = np.sin(np.arange(10) / 2)
+    same, mirror = np.tile(wave, 4), np.concatenate([wave, -wave, wave, -wave])
+    out = {r["source_id"]: r for r in features.season_coherence(curve_frame(spark, {1: (t, same, t * 0 + 1), 2: (t, mirror, t * 0 + 1)}), "source_id", 50.0).collect()}
+    assert out[1]["n"] == 3 and out[1]["low"] == pytest.approx(1.0) and out[2]["high"] == pytest.approx(-1.0)
+
+
+def test_injection_threshold_is_the_first_that_reaches(spark):
+    g = spark.createDataFrame([(0.2, "step", 0.3), (0.5, "step", 0.95), (1.0, "step", 1.0), (0.2, "ramp", 1.0)], "amplitude double, shape string, completeness double")
+    assert stochastic.completeness_threshold(g, 0.9).first()["amplitude"] == 0.5 and stochastic.completeness_threshold(g, 1.1).first()["amplitude"] is None
+
+
+def test_boosted_trees_beat_the_base_rate(spark, labelled):
+    from fluxtide.operators import classifier
+
+    model = classifier.fit_trees(labelled.filter("id % 5 <> 0"), NAMES, "y", rounds=10)
+    p = classifier.predict(model, labelled.filter("id % 5 = 0")).select("id", "y", "p").toPandas()
+    assert len(p) == 100 and cascade.measures(p["y"].to_numpy(), p["p"].to_numpy())["auc"] > 0.75
+
+
+@pytest.mark.parametrize("stack", [0, 500])
+def test_positional_dedup_equals_brute_force(spark, stack):
+    """Greedy, earlier-neighbour and component dedup over points, some of them at one place."""
+    from fluxtide.operators import dedup
+
+    rng = np.random.default_rng(23)
+    pts = [(float(a), float(b)) for a, b in zip(rng.uniform(10, 20, 120), rng.uniform(-5, 5, 120))] + [(15.0, 0.0)] * stack
+    order = rng.permutation(len(pts)).tolist()
+    rows = [(k, *pts[i]) for k, i in enumerate(order)] + [(9999, None, 1.0)]
+    df = spark.createDataFrame(rows, "id long, ra double, dec double")
+    ra, dec = np.radians([r[1] for r in rows[:-1]]), np.radians([r[2] for r in rows[:-1]])
+    h = np.sin((dec[:, None] - dec) / 2) ** 2 + np.cos(dec[:, None]) * np.cos(dec) * np.sin((ra[:, None] - ra) / 2) ** 2
+    near = np.degrees(2 * np.arcsin(np.sqrt(np.minimum(h, 1)))) <= 0.8
+    kept = []
+    for i in range(len(near)):
+        if not any(near[i, j] for j in kept):
+            kept.append(i)
+    assert sorted(r["id"] for r in dedup.greedy_keep_first(df, 0.8, "id").collect()) == [*kept, 9999]
+    assert sorted(r["id"] for r in dedup.drop_later_neighbours(df, 0.8, "id").collect()) == [i for i in range(len(near)) if not near[i, :i].any()] + [9999]
+    root = np.arange(len(near))
+    while True:
+        new = np.array([root[near[i]].min() for i in range(len(near))])
+        if (new == root).all():
+            break
+        root = new
+    got = {r["id"]: (r["root"], r["survivor"]) for r in dedup.component_groups(df, 0.8, "id", [F.col("id").desc()]).collect()}
+    last = {r: max(np.flatnonzero(root == r).tolist()) for r in set(root.tolist())}
+    assert got == {i: (int(r), last[int(r)]) for i, r in enumerate(root.tolist())} | {9999: (9999, 9999)}
