@@ -72,13 +72,13 @@ def scored(spark, sf) -> DataFrame:
     return features(spark, sf).withColumn("score", scoring.composite_v3(evidence()))
 
 
-@query(f"WITH {SC} SELECT source_id, score FROM scd", "score", 4)
+@query(f"WITH {SC} SELECT source_id, score FROM scd", "score", 6)
 def composite_v3(spark, sf):
     return scored(spark, sf).select("source_id", "score")
 
 
 @query(f"""WITH {FEATURES} SELECT source_id, (3.0 * {NS} + 3.0 * {NB} + 2.5 * {NP} + 2.5 * {ND} + 2.5 * {NC} + 2.0 * {NX} + 1.5 * {NK} + 1.5 * {NM} + 1.5 * {NV} + 1.0 * {NE}) / 21.0 AS v2,
-(3.0 * {NS} + 2.5 * {ND} + 2.5 * {NC} + 2.0 * {NX} + 1.5 * {NK} + 1.5 * {NE} + 1.0 * {NV}) / 14.0 AS v1 FROM ft""", "v1 v2", 4)
+(3.0 * {NS} + 2.5 * {ND} + 2.5 * {NC} + 2.0 * {NX} + 1.5 * {NK} + 1.5 * {NE} + 1.0 * {NV}) / 14.0 AS v1 FROM ft""", "v1 v2", 6)
 def composite_v2(spark, sf):
     c = evidence()
     return features(spark, sf).select("source_id", scoring.composite_v2(c).alias("v2"), scoring.composite_v1(c).alias("v1"))
@@ -87,7 +87,7 @@ def composite_v2(spark, sf):
 PENALTIES = (("supernova", "width < 3", 0.7), ("stellar", "class = 'star'", 0.5), ("blazar", "class = 'blazar'", 0.3), ("artifact", "artifact", 0.3), ("supernova_shape", "supernova_shape", 0.5), ("dust", "dust", 0.7), ("reversal", "reversal", 0.5))
 
 
-@query(f"WITH {SC} SELECT source_id, score{''.join(f' * CASE WHEN {on} THEN {by} ELSE 1.0 END' for _, on, by in PENALTIES)} AS score, concat_ws('; ', {', '.join(f'CASE WHEN {on} THEN {chr(39)}{name}{chr(39)} END' for name, on, _ in PENALTIES)}) AS reasons FROM scd", "score", 4)
+@query(f"WITH {SC} SELECT source_id, score{''.join(f' * CASE WHEN {on} THEN {by} ELSE 1.0 END' for _, on, by in PENALTIES)} AS score, concat_ws('; ', {', '.join(f'CASE WHEN {on} THEN {chr(39)}{name}{chr(39)} END' for name, on, _ in PENALTIES)}) AS reasons FROM scd", "score", 6)
 def penalty_chain(spark, sf):
     s, r = scoring.penalised(F.col("score"), {name: F.expr(on) for name, on, _ in PENALTIES})
     return scored(spark, sf).select("source_id", s.alias("score"), r.alias("reasons"))
