@@ -47,18 +47,19 @@ standard AS (SELECT source_id, n_seasons, f_early, f_late,
   CASE WHEN n_seasons >= 4 THEN 2.5 / ln(10) * sqrt(power(s_early / f_early, 2) + power(s_late / f_late, 2)) END AS delta_stat_err FROM ivw)"""
 
 
-_held: dict[str, tuple[DataFrame, DataFrame]] = {}
+_held: dict[str, dict[str, DataFrame]] = {}
 
 
 @contextmanager
 def written_once(spark: SparkSession, sf_dir: str):
-    """Within it, plans over this folder read one written table of light curves and one of
-    seasons, which a join of many features would otherwise each derive from the events."""
+    """Within it, plans over this folder read one written table of light curves, one of seasons
+    and one of structure functions, which a join of many features would otherwise each derive from
+    the events."""
     if sf_dir in _held:
         yield
         return
     lc = materialise(light_curve(spark, sf_dir))
-    _held[sf_dir] = lc, materialise(seasons.season_fluxes(lc, SOURCE, GAP))
+    _held[sf_dir] = {"curves": lc, "seasons": materialise(seasons.season_fluxes(lc, SOURCE, GAP))}
     try:
         yield
     finally:
@@ -68,14 +69,14 @@ def written_once(spark: SparkSession, sf_dir: str):
 def light_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, source_id, mjd, band, flux, err, flag)."""
     if sf_dir in _held:
-        return _held[sf_dir][0]
+        return _held[sf_dir]["curves"]
     e = table(spark, sf_dir, "events")
     band = F.when(F.col("event_type") == "view", "W1").when(F.col("event_type") == "click", "W2").otherwise(F.col("event_type"))
     return e.select("event_id", F.col("user_id").alias("source_id"), ph.mjd_of(F.col("ts")).alias("mjd"), band.alias("band"), F.col("value").alias("flux"), (0.05 * F.col("value") + 0.01).alias("err"), F.get_json_object("props", "$.k").try_cast("int").alias("flag"))
 
 
 def season_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _held[sf_dir][1] if sf_dir in _held else seasons.season_fluxes(light_curve(spark, sf_dir), SOURCE, GAP)
+    return _held[sf_dir]["seasons"] if sf_dir in _held else seasons.season_fluxes(light_curve(spark, sf_dir), SOURCE, GAP)
 
 
 # --- quality -----------------------------------------------------------------------------
@@ -414,6 +415,15 @@ sfn AS (SELECT source_id, bin, any_value(low) * exp((bin + 0.5) * any_value(step
 
 
 def _structure(spark, sf) -> DataFrame:
+    held = _held.get(sf)
+    if held is None:
+        return _structure_of(spark, sf)
+    if "structure" not in held:
+        held["structure"] = materialise(_structure_of(spark, sf))
+    return held["structure"]
+
+
+def _structure_of(spark, sf) -> DataFrame:
     lc = light_curve(spark, sf).filter("flux > 0 AND band = 'W1'")
     m = lc.select("event_id", "source_id", "mjd", ph.flux_to_mag(F.col("flux")).alias("mag"), ph.flux_error_to_mag_error(F.col("flux"), F.col("err")).alias("err"))
     return structure.structure_function(m, SOURCE, bins=10, shortest=0.1)
