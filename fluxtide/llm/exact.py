@@ -227,7 +227,8 @@ def _answers(docs: DataFrame, id_col: str, text_col: str, fan: int) -> DataFrame
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan: int = FAN) -> DataFrame:
-    """(id, keep_id, group_size, kept, text_sha256), one row per row of the frame."""
+    """(id, keep_id, group_size, kept, text_sha256), one row per row of the frame.  Ids are
+    whole numbers."""
     found = _answers(docs, id_col, text_col, fan)
     return found.select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("place") == F.col("keep_place")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
