@@ -11,18 +11,19 @@ nats or more.  These levels are broadcast; as their frequencies are relative, th
 proven bound at any corpus size: 1/p_symbol symbols, 1/p_context contexts and 1/p_emit entries a
 level, 1/p_word words in the dictionary.
 
-*Long contexts.*  Contexts of ``deep`` words are kept in tables that grow with the corpus: all that
-occur ``deep_least`` times or more, an absolute number, and pass the same divergence test against
-the short levels.  A hash of the words chooses one context in ``deep_share`` as a state, the same
-in every text, so that counting and scoring shuffle that share of the tokens.  A sequence that
-only a few of very many documents have is learned this way at any size.
+*Long contexts.*  Contexts of ``deep`` words: all that occur ``deep_least`` times or more, an
+absolute number, and pass the same divergence test against the short levels are states, so what
+is learned grows with the corpus, and a sequence that only a few of very many documents have is
+learned at any size.  Every place of every text goes to the segment of its context's hash,
+packed by blocks of texts; a segment counts its contexts, tests them and sends each text what
+its states gain.
 
 Distributions are discounted, what is taken or was rarer than ``p_emit`` goes to the suffix's
 distribution, so each sums to one.  A text's score walks it with the longest suffix state known
-at each place: short states from the broadcast levels, long ones by joins on the context.
+at each place: short states from the broadcast levels, long ones from the segments.
 
 Texts are read twice: to count words, and to write each as numbers of dictionary words, with
-its long contexts and its words outside the dictionary.  All later passes read the numbers.
+its words outside the dictionary.  All later passes read the numbers.
 
 Defined cases: a null or empty text is one end; a null id counts as the empty string in the
 split; repeated rows are learned and scored each; without training texts every token is
@@ -39,8 +40,9 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._text import slices, utf8, written
@@ -56,7 +58,7 @@ class Settings:
     discount: float = 0.5
     order: int = 3
     deep: int = 6
-    deep_share: int = 16
+    deep_share: int = 1  # one context in so many; 1: all
     deep_least: int = 2
 
 
@@ -115,7 +117,7 @@ class Tree:
         return self.n + 3
 
     def symbols_of(self, places: np.ndarray) -> np.ndarray:
-        """Of dictionary places (-1: none, -2: the end)."""
+        """Of dictionary places (-2: the end, other negatives: none)."""
         symbols = np.where(places >= 0, self.symbol[places] if len(self.symbol) else self.n, self.n)
         symbols[places == -2] = self.n + 1
         return symbols
@@ -173,13 +175,12 @@ def long_contexts(each: np.ndarray, begun: np.ndarray, settings: Settings) -> tu
     return at + settings.deep, found[at]
 
 
-CODED = "held_out boolean, n_tokens long, places binary, at binary, ctx binary, rare array<struct<word:binary,n:long>>"
+CODED = "held_out boolean, n_tokens long, places binary, rare array<struct<word:binary,n:long>>"
 
 
-def encoded(rows: DataFrame, tree: Tree, settings: Settings) -> DataFrame:
-    """(id, text, held_out) -> each text as dictionary places and an end, its chosen long
-    contexts (place in the text and hash), and its words outside the dictionary with their
-    counts."""
+def encoded(rows: DataFrame, tree: Tree) -> DataFrame:
+    """(id, text, held_out) -> each text as dictionary places and an end, and its words outside
+    the dictionary with their counts; the k-th of them has the place -3 - k."""
     shared = rows.sparkSession.sparkContext.broadcast(tree)
     kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
@@ -187,27 +188,26 @@ def encoded(rows: DataFrame, tree: Tree, settings: Settings) -> DataFrame:
         tree = shared.value
         get = tree.words.get
         for batch in slices(batches, "text"):
-            flat, spelt, starts = [], [], []
+            flat, starts, rare = [], [], []
             for text in utf8(batch, "text"):
-                words = text.lower().split()
                 starts.append(len(flat))
-                flat += [get(w, -1) for w in words]
+                own: dict[bytes, int] = {}  # words outside the dictionary
+                counts: list[int] = []
+                for word in text.lower().split():
+                    place = get(word, -1)
+                    if place < 0:
+                        k = own.setdefault(word, len(own))
+                        if k == len(counts):
+                            counts.append(0)
+                        counts[k] += 1
+                        place = -3 - k
+                    flat.append(place)
                 flat.append(-2)
-                spelt += words
-                spelt.append(b"")
-            places, starts = np.array(flat, np.int32), np.array(starts, np.int64)
-            edges = np.append(starts, len(places))
-            lengths = np.diff(edges)
-            each = np.where(places >= 0, tree.hashes[places] if len(tree.hashes) else np.uint64(0), np.uint64(1))
-            missing = np.flatnonzero(places == -1)
-            each[missing] = [xxhash.xxh64_intdigest(spelt[i]) for i in missing.tolist()]
-            begun = np.arange(len(places)) - np.repeat(starts, lengths)
-            at, ctx = long_contexts(each, begun, settings)
-            cut, lost = np.searchsorted(at, edges), np.searchsorted(missing, edges)
-            at, ctx = begun[at].astype(np.int32), ctx.view(np.int64)
-            rare = [[{"word": w, "n": n} for w, n in Counter(spelt[i] for i in missing[a:b].tolist()).items()] for a, b in zip(lost, lost[1:])]
-            pieces = lambda x, e: pa.array([x[a:b].tobytes() for a, b in zip(e, e[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(lengths), pieces(places, edges), pieces(at, cut), pieces(ctx, cut), pa.array(rare, kind)], names=["id", *[x.split()[0] for x in CODED.split(", ")]])
+                rare.append([{"word": w, "n": n} for w, n in zip(own, counts)])
+            edges = np.array([*starts, len(flat)], np.int64)
+            places = np.array(flat, np.int32)
+            pieces = pa.array([places[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(np.diff(edges)), pieces, pa.array(rare, kind)], names=["id", *[x.split()[0] for x in CODED.split(", ")]])
 
     return rows.select("id", "text", "held_out").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {CODED}")
 
@@ -285,7 +285,7 @@ def dictionary(rows: DataFrame, counts: DataFrame, settings: Settings = Settings
 def learn(rows: DataFrame, counts: DataFrame, settings: Settings = Settings()) -> Tree:
     """The tree with its short levels."""
     tree = dictionary(rows, counts, settings)
-    return grown(tree, written(encoded(rows.withColumn("id", F.lit(0)), tree, settings)), settings)
+    return grown(tree, written(encoded(rows.withColumn("id", F.lit(0)), tree)), settings)
 
 
 def grown(tree: Tree, coded: DataFrame, settings: Settings) -> Tree:
@@ -348,25 +348,118 @@ def _suffix_of(tree: Tree, contexts: np.ndarray, length: int) -> np.ndarray:
     return _place(tree.levels[length - 2].keys, _suffix_of(tree, pair // tree.size, length - 1) * tree.size + last)
 
 
-def deep_states(events: DataFrame, settings: Settings) -> DataFrame:
-    """(ctx, s, share, rest): the retained long contexts with their discounted entries and what
-    they leave to the short levels.  events: (ctx, s, p) of the training texts, p the short
-    levels' chance.  A context has as many entries as symbols follow it, so its window has a
-    bound; what only adds up is summed before it is shuffled."""
-    w = Window.partitionBy("ctx")
-    g = events.groupBy("ctx", "s").agg(F.count(F.lit(1)).alias("c"), F.min("p").alias("p"))
-    g = g.withColumns({"total": F.sum("c").over(w), "kinds": F.count(F.lit(1)).over(w), "below": F.sum("p").over(w)}).filter(F.col("total") >= settings.deep_least)
-    g = g.withColumns({"share": (F.col("c") - settings.discount) / F.col("total"), "rest": settings.discount * F.col("kinds") / F.col("total")})
-    own = F.col("share") + F.col("rest") * F.col("p")
-    left = F.col("rest") * F.log("rest") * F.greatest(1.0 - F.col("below"), F.lit(0.0))
-    return g.withColumn("far", F.sum(own * F.log(own / F.col("p"))).over(w) + left).filter(F.col("far") >= settings.divergence).select("ctx", "s", "share", "rest")
+SEGMENT, SEGMENTS, LARGEST = 1 << 16, 4096, 1 << 21  # places of a segment, about; segments before they grow, and how far
+LOGS = float(1 << 27)  # steps of a chance's logarithm
+
+
+def _consecutive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices whose rows have consecutive numbers."""
+    for batch in slices(batches, "places"):
+        cuts = np.flatnonzero(np.diff(batch.column("row").to_numpy()) != 1) + 1
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            yield batch.slice(low, high - low)
 
 
-def deep_gains(events: DataFrame, states: DataFrame) -> DataFrame:
-    """(row, gain): by how much long contexts raise each text's log10 probability."""
-    met = events.join(states.select("ctx", "rest").distinct(), "ctx").join(states.select("ctx", "s", "share"), ["ctx", "s"], "left")
-    own = F.coalesce("share", F.lit(0.0)) + F.col("rest") * F.col("p")
-    return met.groupBy("row").agg(F.sum(F.log10(own / F.col("p"))).alias("gain"), F.count(F.lit(1)).alias("n_deep"))
+def deep_places(coded: DataFrame, tree: Tree, settings: Settings) -> DataFrame:
+    """(segment, block, ctx, s, p, at): all places that have a long context, by segments of its
+    hash.  A row holds the places of one block of texts, as packed numbers: six bytes of the
+    hash (the segment has the others), twice the symbol (and one in training texts), the
+    logarithm of the short levels' chance, and the text's number in its block."""
+    shared = coded.sparkSession.sparkContext.broadcast(replace(tree, words={}))
+    many = max(1, min(-(-tree.tokens // SEGMENT), SEGMENTS), tree.tokens // LARGEST)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = shared.value
+        small = np.uint16 if 2 * tree.size <= 1 << 16 else np.uint32
+        for batch in _consecutive(batches):
+            places, edges = _unpacked(batch, "places", np.int32)
+            starts, lengths, symbols = edges[:-1], np.diff(edges), tree.symbols_of(places)
+            text = np.repeat(np.arange(len(starts)), lengths)
+            each = np.where(places >= 0, tree.hashes[places] if len(tree.hashes) else np.uint64(0), np.uint64(1))
+            rare = batch.column("rare")
+            first = np.concatenate(([0], np.cumsum(pc.list_value_length(rare).to_numpy(zero_copy_only=False))))
+            spelt = np.array([xxhash.xxh64_intdigest(w) for w in rare.flatten().field("word").to_pylist()], np.uint64)
+            missing = np.flatnonzero(places < -2)
+            each[missing] = spelt[first[text[missing]] - 3 - places[missing]]
+            at, ctx = long_contexts(each, np.arange(len(places)) - starts[text], settings)
+            segment = (ctx >> np.uint64(32)) * np.uint64(many) >> np.uint64(32)
+            order = np.argsort(segment, kind="stable")
+            at, ctx, segment = at[order], ctx[order], segment[order].astype(np.int32)
+            trained = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            chance = tree.chances(symbols, starts)[at]
+            columns = [
+                ctx.view(np.uint8).reshape(-1, 8)[:, :6],
+                (2 * symbols[at] + trained[text[at]]).astype(small),
+                np.round(np.minimum(-np.log10(chance) * LOGS, 2.0**32 - 1)).astype(np.uint32),
+                text[at].astype(np.uint16 if len(starts) <= 1 << 16 else np.uint32),
+            ]
+            cuts = np.append(np.flatnonzero(np.diff(segment, prepend=-1)), len(at))
+            packed = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()) for x in columns]
+            block = np.full(len(cuts) - 1, batch.column("row")[0].as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(segment[cuts[:-1]]), pa.array(block), *packed], names=["segment", "block", "ctx", "s", "p", "at"])
+
+    return coded.select("row", "held_out", "places", "rare").mapInArrow(run, "segment int, block long, ctx binary, s binary, p binary, at binary")
+
+
+def _gained(key: np.ndarray, s: np.ndarray, p: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Of all places of some contexts: which stand in a retained context, and by how much it
+    raises their log10 probability.  s: twice the symbol, and one in training texts."""
+    order = np.lexsort((s, key))
+    key, trained, symbol, p = key[order], (s[order] & 1).astype(np.int64), s[order] >> 1, 10.0 ** -(p[order] / LOGS)
+    context = np.concatenate(([True], key[1:] != key[:-1]))
+    entry = context | np.concatenate(([True], symbol[1:] != symbol[:-1]))
+    begun = np.flatnonzero(entry)
+    c, p, of = np.add.reduceat(trained, begun), p[begun], np.cumsum(context)[begun] - 1
+    seen = c > 0
+    total, kinds, below = (np.bincount(of, x) for x in (c, seen, p * seen))
+    rest = settings.discount * kinds / np.maximum(total, 1)
+    own = np.where(seen, (c - settings.discount) / np.maximum(total, 1)[of], 0.0) + rest[of] * p
+    gain = np.log(np.where(own > 0, own, p) / p)
+    far = np.bincount(of, own * gain * seen) + rest * np.log(np.where(rest > 0, rest, 1.0)) * np.maximum(1.0 - below, 0.0)
+    retained = (total >= settings.deep_least) & (far >= settings.divergence)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(entry) - 1
+    return retained[of][back], gain[back] / np.log(10.0)
+
+
+def deep_gains(coded: DataFrame, tree: Tree, settings: Settings) -> DataFrame:
+    """(row, gain, n_deep): by how much long contexts raise each text's log10 probability, and at
+    how many places.  A segment sends a block of texts one row."""
+
+    def gains(group: list[tuple]) -> pa.RecordBatch:
+        sizes = np.array([len(g[1]) // 6 for g in group])
+        key = np.zeros((int(sizes.sum()), 8), np.uint8)
+        key[:, :6] = np.frombuffer(b"".join(g[1] for g in group), np.uint8).reshape(-1, 6)
+        number = lambda i: np.concatenate([np.frombuffer(g[i], f"u{len(g[i]) // n}").astype(np.int64) for g, n in zip(group, sizes)])
+        held, gain = _gained(key.view(np.uint64).ravel(), number(2), number(3), settings)
+        texts, of = np.unique((np.repeat(np.arange(len(group)), sizes) << 32 | number(4))[held], return_inverse=True)
+        sums, places = np.bincount(of, gain[held], len(texts)), np.bincount(of, minlength=len(texts)).astype(np.uint32)
+        cuts = np.searchsorted(texts >> 32, np.arange(len(group) + 1))
+        some = np.flatnonzero(np.diff(cuts))
+        packed = [pa.array([x[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary()) for x in ((texts & 0xFFFFFFFF).astype(np.uint32), sums, places)]
+        return pa.RecordBatch.from_arrays([pa.array([group[i][0] for i in some], pa.int64()), *packed], names=["block", "at", "gain", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, group = None, []
+        for batch in batches:
+            for segment, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                if segment != last and group:
+                    yield gains(group)
+                    group = []
+                last = segment
+                group.append(rest)
+        if group:
+            yield gains(group)
+
+    def add(table: pa.Table) -> pa.Table:
+        at, gain, n = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("at", np.uint32), ("gain", np.float64), ("n", np.uint32)))
+        some = np.unique(at)
+        row = some.astype(np.int64) + table.column("block")[0].as_py()
+        return pa.table({"row": row, "gain": np.bincount(at, gain)[some], "n_deep": np.bincount(at, n)[some].astype(np.int64)})
+
+    dealt = deep_places(coded, tree, settings).repartition("segment").sortWithinPartitions("segment")
+    sent = dealt.mapInArrow(run, "block long, at binary, gain binary, n binary")
+    return sent.groupBy("block").applyInArrow(add, "row long, gain double, n_deep long")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings(), split: Column | None = None) -> DataFrame:
@@ -378,7 +471,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setti
     id_type = rows.schema["id"].dataType.simpleString()
     counts = written(word_counts(rows))
     tree = dictionary(rows, counts, settings)
-    coded = written(encoded(rows, tree, settings).withColumn("row", F.monotonically_increasing_id()))
+    coded = written(encoded(rows, tree).withColumn("row", F.monotonically_increasing_id()))
     tree = grown(tree, coded, settings)
     shared = docs.sparkSession.sparkContext.broadcast(replace(tree, words={}, hashes=np.zeros(0, np.uint64)))
 
@@ -392,19 +485,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setti
             base = found + np.where(places == -2, math.log10(tree.ends + 1.0), 0.0)
             logs = np.log10(chances) + np.where(symbols == tree.n, found, 0.0)
             sums = [np.add.reduceat(x, starts) for x in (base, logs, (places >= 0).astype(np.int64), (symbols == tree.n).astype(np.int64))]
-            at, cut = _unpacked(batch, "at", np.int32)
-            ctx, _ = _unpacked(batch, "ctx", np.int64)
-            flat = at + np.repeat(starts, np.diff(cut))
-            deep = pa.StructArray.from_arrays([pa.array(ctx), pa.array(symbols[flat].astype(np.int32)), pa.array(chances[flat])], names=["ctx", "s", "p"])
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "held_out", "row", "n_tokens")], *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), deep)], names=["id", "held_out", "row", "n_tokens", "base", "logs", "known", "other", "deep"])
-
-    schema = f"id {id_type}, held_out boolean, row long, n_tokens long, base double, logs double, known long, other long, deep array<struct<ctx:long,s:int,p:double>>"
-    walked = written(coded.select("id", "held_out", "row", "n_tokens", "places", "at", "ctx").mapInArrow(run, schema))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "held_out", "row", "n_tokens")], *map(pa.array, sums)], names=["id", "held_out", "row", "n_tokens", "base", "logs", "known", "other"])
+
+    schema = f"id {id_type}, held_out boolean, row long, n_tokens long, base double, logs double, known long, other long"
+    walked = coded.select("id", "held_out", "row", "n_tokens", "places").mapInArrow(run, schema)
     tail = coded.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n").join(counts, "word")
     tail = tail.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + F.lit(1.0))).alias("tail"), F.sum("n").alias("tail_known"))
-    events = walked.select("row", "held_out", F.inline("deep"))
-    states = written(deep_states(events.filter("not held_out").select("ctx", "s", "p"), settings))
-    out = walked.drop("deep").join(tail, "row", "left").join(deep_gains(events.drop("held_out"), states), "row", "left")
+    out = walked.join(tail, "row", "left")
+    if tree.tokens:
+        out = out.join(deep_gains(coded, tree, settings), "row", "left")
+    else:
+        out = out.withColumns({"gain": F.lit(0.0), "n_deep": F.lit(0)})
     out = out.withColumns({"tail": F.coalesce("tail", F.lit(0.0)), "gain": F.coalesce("gain", F.lit(0.0))})
     base = F.col("base") + F.col("tail") - F.col("n_tokens") * math.log10(tree.tokens + tree.kinds + 1.0)
     own = F.col("logs") + F.col("tail") + F.col("gain") - F.col("other") * math.log10(tree.other_total) if tree.tokens else base

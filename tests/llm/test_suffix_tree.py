@@ -143,3 +143,16 @@ def test_what_is_learned_grows_with_the_corpus(spark):
         each = (got["score"] - got["base_score"]) / got["n_tokens"]
         assert each[: 2 * n].mean() > each[2 * n :].mean() + 0.2
     assert 1.7 < made[80] / made[40] < 2.3
+
+
+def test_every_repeated_long_context_is_a_state(spark, monkeypatch):
+    """By default no long context is left out: in texts that occur twice every place after the
+    first six words is scored from one, in however many segments and blocks."""
+    monkeypatch.setattr(pst, "SEGMENT", 50)
+    r = random.Random(5)
+    fresh = lambda: " ".join(f"v{r.randrange(20_000)}" for _ in range(40))
+    twice = [fresh() for _ in range(30)]
+    rows = [*twice, *twice, *[fresh() for _ in range(90)]]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: x["n_deep"] for x in pst.score(d, settings=pst.Settings(p_context=1e-2, p_emit=1e-2), split=F.lit(False)).collect()}
+    assert [got[i] for i in range(60)] == [35] * 60 and all(got[i] == 0 for i in range(60, 150))
