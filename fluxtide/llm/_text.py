@@ -15,8 +15,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ..sources.store import materialise as written
+from ..sources.store import materialise_by as written_by
 
-__all__ = ["SPACE", "slices", "unused", "utf8", "word_bounds", "written"]
+__all__ = ["SPACE", "slices", "unused", "utf8", "word_bounds", "written", "written_by"]
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True

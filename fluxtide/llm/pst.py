@@ -14,9 +14,12 @@ level, 1/p_word words in the dictionary.
 *Long contexts.*  Contexts of ``deep`` words: all that occur ``deep_least`` times or more, an
 absolute number, and pass the same divergence test against the short levels are states, so what
 is learned grows with the corpus, and a sequence that only a few of very many documents have is
-learned at any size.  Every place of every text goes to the segment of its context's hash,
-packed by blocks of texts; a segment counts its contexts, tests them and sends each text what
-its states gain.
+learned at any size.  Most contexts occur once, and those need not move whole: blocks of texts
+first send each segment of the hashes the leading bits of their contexts' hashes, some two bytes
+a place, and get back a bit for each that may occur often enough.  Equal contexts have equal
+bits, so none is lost, and a bit set in vain costs a few bytes.  The marked places go to the
+segment of their context's hash, which counts contexts, tests them and sends each text what its
+states gain.  Texts are stored in buckets of blocks, so that blocks meet their bits in place.
 
 Distributions are discounted, what is taken or was rarer than ``p_emit`` goes to the suffix's
 distribution, so each sums to one.  A text's score walks it with the longest suffix state known
@@ -35,8 +38,9 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._text import slices, utf8, written
+from ._text import slices, utf8, written, written_by
 
 
 @dataclass(frozen=True)
@@ -136,6 +140,21 @@ class Tree:
             now = _place(level.keys, key)
             yield now
 
+    def chances_at(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """As ``chances``, at places that have as many symbols of their text before them as there are levels."""
+        chance = self.root[symbols[at]]
+        for length, level in enumerate(self.levels, 1):
+            now = symbols[at - length]
+            for k in range(1, length):
+                now = np.where(now >= 0, now * self.size + symbols[at - length + k], -1)
+                now = _place(self.levels[k].keys, now)
+            known = np.flatnonzero(now >= 0)
+            known = known[level.rest[now[known]] < 1.0]
+            found = _place(level.entries, now[known] * self.size + symbols[at[known]])
+            own = np.where(found >= 0, level.share[found] if len(level.share) else 0.0, 0.0)
+            chance[known] = own + level.rest[now[known]] * chance[known]
+        return chance
+
     def chances(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
         chance = self.root[symbols]
         if not self.levels:
@@ -150,13 +169,41 @@ class Tree:
 
 
 def _place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places of the wanted in sorted keys, -1 if missing."""
+    """Places of the wanted in sorted keys (none negative), -1 if missing."""
     if not len(keys):
         return np.full(len(wanted), -1, np.int64)
+    if len(wanted) > 2 * len(keys):
+        return _hashed_place(keys, wanted)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     return np.where(keys[at] == wanted, at, -1)
 
 
+def _hashed_place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The same for many wanted: a slot that is taken sends a key to the next."""
+    bits = (4 * len(keys)).bit_length()
+    slot_of = lambda x: ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+    slots, at = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
+    left, slot = np.arange(len(keys)), slot_of(keys)
+    while len(left):
+        free = slots[slot] < 0
+        slots[slot[free]], at[slot[free]] = keys[left[free]], left[free]
+        moves = slots[slot] != keys[left]
+        left, slot = left[moves], (slot[moves] + 1) % len(slots)
+    slot = slot_of(wanted)
+    found = slots[slot]
+    out = np.where(found == wanted, at[slot], -1)
+    left = np.flatnonzero((found != wanted) & (found >= 0) & (wanted >= 0))
+    slot = slot[left]
+    while len(left):
+        slot = (slot + 1) % len(slots)
+        found = slots[slot]
+        hit = found == wanted[left]
+        out[left[hit]] = at[slot[hit]]
+        goes = ~hit & (found >= 0)
+        left, slot = left[goes], slot[goes]
+    return out
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -175,39 +222,37 @@ def long_contexts(each: np.ndarray, begun: np.ndarray, settings: Settings) -> tu
     return at + settings.deep, found[at]
 
 
-CODED = "held_out boolean, n_tokens long, places binary, rare array<struct<word:binary,n:long>>"
+CODED = "held_out boolean, n_tokens long, places binary, rare array<struct<word:binary,n:long>>, nth long"
 
 
 def encoded(rows: DataFrame, tree: Tree) -> DataFrame:
     """(id, text, held_out) -> each text as dictionary places and an end, and its words outside
-    the dictionary with their counts; the k-th of them has the place -3 - k."""
+    the dictionary with their counts; the k-th of them has the place -3 - k.  nth is a text's
+    number in its block of some megabytes."""
     shared = rows.sparkSession.sparkContext.broadcast(tree)
-    kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
         get = tree.words.get
         for batch in slices(batches, "text"):
-            flat, starts, rare = [], [], []
+            pieces, lengths, spelt, counts, kinds = [], [], [], [], [0]
             for text in utf8(batch, "text"):
-                starts.append(len(flat))
+                words = text.lower().split()
+                places = np.full(len(words) + 1, -2, np.int32)
+                places[:-1] = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
+                missing = np.flatnonzero(places == -1)
                 own: dict[bytes, int] = {}  # words outside the dictionary
-                counts: list[int] = []
-                for word in text.lower().split():
-                    place = get(word, -1)
-                    if place < 0:
-                        k = own.setdefault(word, len(own))
-                        if k == len(counts):
-                            counts.append(0)
-                        counts[k] += 1
-                        place = -3 - k
-                    flat.append(place)
-                flat.append(-2)
-                rare.append([{"word": w, "n": n} for w, n in zip(own, counts)])
-            edges = np.array([*starts, len(flat)], np.int64)
-            places = np.array(flat, np.int32)
-            pieces = pa.array([places[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(np.diff(edges)), pieces, pa.array(rare, kind)], names=["id", *[x.split()[0] for x in CODED.split(", ")]])
+                kth = [own.setdefault(words[i], len(own)) for i in missing.tolist()]
+                places[missing] = -3 - np.array(kth, np.int32)
+                pieces.append(places.tobytes())
+                lengths.append(len(places))
+                spelt += own
+                counts.append(np.bincount(kth) if kth else np.zeros(0, np.int64))
+                kinds.append(len(spelt))
+            rare = pa.StructArray.from_arrays([pa.array(spelt, pa.binary()), pa.array(np.concatenate(counts), pa.int64())], names=["word", "n"])
+            rare = pa.ListArray.from_arrays(pa.array(kinds, pa.int32()), rare)
+            columns = [batch.column("id"), batch.column("held_out"), pa.array(lengths, pa.int64()), pa.array(pieces, pa.binary()), rare, pa.array(np.arange(len(pieces)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", *[x.split()[0] for x in CODED.split(", ")]])
 
     return rows.select("id", "text", "held_out").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {CODED}")
 
@@ -278,7 +323,7 @@ def dictionary(rows: DataFrame, counts: DataFrame, settings: Settings = Settings
     totals = np.concatenate((c[often], [other, ends, 0])).astype(float)
     root = (totals + 1.0) / (tokens + n + 2)
     root[n + 2] = 0.0  # the beginning is never next
-    hashes = np.array([xxhash.xxh64_intdigest(w) for w, _ in listed], np.uint64)
+    hashes = np.array([xxhash.xxh64_intdigest(w, seed=42) for w, _ in listed], np.uint64)
     return Tree({w: i for i, (w, _) in enumerate(listed)}, symbol, np.log10(c + 1.0), root, [], n, tokens, kinds, other + (kinds - n - (ends > 0)) + 1, ends, hashes)
 
 
@@ -352,53 +397,159 @@ SEGMENT, SEGMENTS, LARGEST = 1 << 16, 4096, 1 << 21  # places of a segment, abou
 LOGS = float(1 << 27)  # steps of a chance's logarithm
 
 
-def _consecutive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices whose rows have consecutive numbers."""
-    for batch in slices(batches, "places"):
-        cuts = np.flatnonzero(np.diff(batch.column("row").to_numpy()) != 1) + 1
-        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-            yield batch.slice(low, high - low)
+def _segments(tree: Tree) -> int:
+    return max(1, min(-(-tree.tokens // SEGMENT), SEGMENTS), tree.tokens // LARGEST)
+
 
+def varints(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unsigned numbers in groups of seven bits, low ones first, and where each begins (and the end)."""
+    sizes = np.ones(len(numbers), np.int64)
+    for k in range(1, 10):
+        sizes += numbers >= np.uint64(1 << 7 * k)
+    begun = np.concatenate(([0], np.cumsum(sizes)))
+    out = np.zeros(begun[-1], np.uint8)
+    for k in range(int(sizes.max(initial=0))):
+        some = np.flatnonzero(sizes > k)
+        out[begun[some] + k] = (numbers[some] >> np.uint64(7 * k) & np.uint64(127)) | np.where(sizes[some] > k + 1, np.uint64(128), np.uint64(0))
+    return out, begun
 
-def deep_places(coded: DataFrame, tree: Tree, settings: Settings) -> DataFrame:
-    """(segment, block, ctx, s, p, at): all places that have a long context, by segments of its
-    hash.  A row holds the places of one block of texts, as packed numbers: six bytes of the
-    hash (the segment has the others), twice the symbol (and one in training texts), the
-    logarithm of the short levels' chance, and the text's number in its block."""
+
+def numbers_of(packed: np.ndarray) -> np.ndarray:
+    """The numbers that ``varints`` packed."""
+    if not len(packed):
+        return np.zeros(0, np.uint64)
+    begun = np.concatenate(([0], np.flatnonzero(packed[:-1] < 128) + 1))
+    nth = np.arange(len(packed)) - np.repeat(begun, np.diff(begun, append=len(packed)))
+    return np.add.reduceat((packed & 127).astype(np.uint64) << (7 * nth).astype(np.uint64), begun)
+
+
+@dataclass
+class Block:
+    """A block's texts, and its places that have a long context, by the contexts' hashes."""
+
+    starts: np.ndarray  # of the texts
+    symbols: np.ndarray
+    at: np.ndarray
+    ctx: np.ndarray  # sorted
+    text: np.ndarray  # the text's number in the block
+    trained: np.ndarray  # whether it is a training text
+    segment: np.ndarray
+    cuts: np.ndarray  # where segments begin, and the end
+
+
+def _block(texts: pa.Table, tree: Tree, settings: Settings) -> Block:
+    batch = texts.take(pc.sort_indices(texts["row"])).combine_chunks()
+    places, edges = _unpacked(batch, "places", np.int32)
+    starts, lengths = edges[:-1], np.diff(edges)
+    text = np.repeat(np.arange(len(starts)), lengths)
+    each = np.where(places >= 0, tree.hashes[places] if len(tree.hashes) else np.uint64(0), np.uint64(1))
+    rare = pa.concat_arrays(batch["rare"].chunks)
+    first = np.concatenate(([0], np.cumsum(pc.list_value_length(rare).to_numpy(zero_copy_only=False))))
+    spelt = rare.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    missing = np.flatnonzero(places < -2)
+    each[missing] = spelt[first[text[missing]] - 3 - places[missing]]
+    at, ctx = long_contexts(each, np.arange(len(places)) - starts[text], settings)
+    order = np.argsort(ctx)
+    at, ctx = at[order], ctx[order]
+    segment = ((ctx >> np.uint64(32)) * np.uint64(_segments(tree)) >> np.uint64(32)).astype(np.int32)
+    trained = ~batch["held_out"].to_numpy().astype(bool)
+    cuts = np.append(np.flatnonzero(np.diff(segment, prepend=-1)), len(at))
+    return Block(starts, tree.symbols_of(places), at, ctx, text[at], trained[text[at]], segment[cuts[:-1]], cuts)
+
+
+def _by_segment(run: Callable[[int, list[tuple]], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Calls ``run`` for each segment of rows that are sorted by it."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, group = None, []
+        for batch in batches:
+            for segment, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                if segment != last and group:
+                    yield run(last, group)
+                    group = []
+                last = segment
+                group.append(rest)
+        if group:
+            yield run(last, group)
+
+    return over
+
+
+def hashed(coded: DataFrame) -> DataFrame:
+    """What blocks read: of the words outside the dictionary their hashes (XXH64, seed 42, as the dictionary's)."""
+    return coded.select("block", "row", "held_out", "places", F.transform("rare", lambda r: F.xxhash64(r["word"])).alias("rare"))
+
+
+def marked_places(coded: DataFrame, tree: Tree, settings: Settings) -> DataFrame:
+    """(block, segment, marks): a bit for each place of a block whose context is in the segment,
+    in the order of the hashes.  It is set if the training texts have the leading bits of the
+    hash ``deep_least`` times or more; there are at least 32 values of them for each token."""
+    shared = coded.sparkSession.sparkContext.broadcast(replace(tree, words={}, levels=[]))
+    shift = np.uint64(max(0, 64 - (32 * tree.tokens).bit_length()))
+
+    def send(texts: pa.Table) -> pa.Table:
+        b = _block(texts, shared.value, settings)
+        seen = b.ctx >> shift
+        steps = np.diff(seen, prepend=np.uint64(0))
+        steps[b.cuts[:-1]] = seen[b.cuts[:-1]]
+        packed, begun = varints(steps)
+        cells = [pa.array([x.tobytes() for x in made], pa.binary()) for made in ((packed[begun[i] : begun[j]] for i, j in zip(b.cuts, b.cuts[1:])), (np.packbits(b.trained[i:j]) for i, j in zip(b.cuts, b.cuts[1:])))]
+        block = np.full(len(b.segment), texts["block"][0].as_py(), np.int64)
+        return pa.table([pa.array(b.segment), pa.array(block), *cells], names=["segment", "block", "seen", "trained"])
+
+    def mark(segment: int, group: list[tuple]) -> pa.RecordBatch:
+        packed = [np.frombuffer(g[1], np.uint8) for g in group]
+        sizes = np.array([np.count_nonzero(x < 128) for x in packed])
+        begun = np.concatenate(([0], np.cumsum(sizes)))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(numbers_of(np.concatenate(packed)))))
+        seen = total[1:] - np.repeat(total[begun[:-1]], sizes)
+        trained = np.concatenate([np.unpackbits(np.frombuffer(g[2], np.uint8), count=n) for g, n in zip(group, sizes)])
+        order = np.argsort(seen, kind="stable")
+        first = np.concatenate(([True], np.diff(seen[order]) != 0))
+        enough = np.add.reduceat(trained[order].astype(np.int64), np.flatnonzero(first)) >= settings.deep_least
+        marks = np.empty(len(seen), bool)
+        marks[order] = enough[np.cumsum(first) - 1]
+        some = [i for i, (a, z) in enumerate(zip(begun, begun[1:])) if marks[a:z].any()]
+        cells = pa.array([np.packbits(marks[begun[i] : begun[i + 1]]).tobytes() for i in some], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([group[i][0] for i in some], pa.int64()), pa.array([segment] * len(some), pa.int32()), cells], names=["block", "segment", "marks"])
+
+    sent = coded.groupBy("block").applyInArrow(send, "segment int, block long, seen binary, trained binary")
+    return sent.repartition("segment").sortWithinPartitions("segment").mapInArrow(_by_segment(mark), "block long, segment int, marks binary")
+
+
+def deep_places(coded: DataFrame, marked: DataFrame, tree: Tree, settings: Settings) -> DataFrame:
+    """(segment, block, ctx, s, p, at): the marked places, by segments of their context's hash.  A
+    row holds the places of one block of texts, as packed numbers: six bytes of the hash (the
+    segment has the others), twice the symbol (and one in training texts), the logarithm of the
+    short levels' chance, and the text's number in its block."""
     shared = coded.sparkSession.sparkContext.broadcast(replace(tree, words={}))
-    many = max(1, min(-(-tree.tokens // SEGMENT), SEGMENTS), tree.tokens // LARGEST)
+    schema = pa.schema([("segment", pa.int32()), ("block", pa.int64()), *((x, pa.binary()) for x in ("ctx", "s", "p", "at"))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: pa.Table, marked: pa.Table) -> pa.Table:
+        if not (texts.num_rows and marked.num_rows):
+            return schema.empty_table()
         tree = shared.value
-        small = np.uint16 if 2 * tree.size <= 1 << 16 else np.uint32
-        for batch in _consecutive(batches):
-            places, edges = _unpacked(batch, "places", np.int32)
-            starts, lengths, symbols = edges[:-1], np.diff(edges), tree.symbols_of(places)
-            text = np.repeat(np.arange(len(starts)), lengths)
-            each = np.where(places >= 0, tree.hashes[places] if len(tree.hashes) else np.uint64(0), np.uint64(1))
-            rare = batch.column("rare")
-            first = np.concatenate(([0], np.cumsum(pc.list_value_length(rare).to_numpy(zero_copy_only=False))))
-            spelt = np.array([xxhash.xxh64_intdigest(w) for w in rare.flatten().field("word").to_pylist()], np.uint64)
-            missing = np.flatnonzero(places < -2)
-            each[missing] = spelt[first[text[missing]] - 3 - places[missing]]
-            at, ctx = long_contexts(each, np.arange(len(places)) - starts[text], settings)
-            segment = (ctx >> np.uint64(32)) * np.uint64(many) >> np.uint64(32)
-            order = np.argsort(segment, kind="stable")
-            at, ctx, segment = at[order], ctx[order], segment[order].astype(np.int32)
-            trained = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-            chance = tree.chances(symbols, starts)[at]
-            columns = [
-                ctx.view(np.uint8).reshape(-1, 8)[:, :6],
-                (2 * symbols[at] + trained[text[at]]).astype(small),
-                np.round(np.minimum(-np.log10(chance) * LOGS, 2.0**32 - 1)).astype(np.uint32),
-                text[at].astype(np.uint16 if len(starts) <= 1 << 16 else np.uint32),
-            ]
-            cuts = np.append(np.flatnonzero(np.diff(segment, prepend=-1)), len(at))
-            packed = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()) for x in columns]
-            block = np.full(len(cuts) - 1, batch.column("row")[0].as_py(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(segment[cuts[:-1]]), pa.array(block), *packed], names=["segment", "block", "ctx", "s", "p", "at"])
-
-    return coded.select("row", "held_out", "places", "rare").mapInArrow(run, "segment int, block long, ctx binary, s binary, p binary, at binary")
+        b = _block(texts, tree, settings)
+        kept = np.zeros(len(b.at), bool)
+        spans = dict(zip(b.segment.tolist(), zip(b.cuts.tolist(), b.cuts[1:].tolist())))
+        for segment, bits in zip(marked["segment"].to_pylist(), marked["marks"].to_pylist()):
+            low, high = spans[segment]
+            kept[low:high] = np.unpackbits(np.frombuffer(bits, np.uint8), count=high - low)
+        at, ctx, text = b.at[kept], b.ctx[kept], b.text[kept]
+        chance = tree.chances_at(b.symbols, at) if settings.deep >= len(tree.levels) else tree.chances(b.symbols, b.starts)[at]
+        columns = [
+            ctx.view(np.uint8).reshape(-1, 8)[:, :6],
+            (2 * b.symbols[at] + b.trained[kept]).astype(np.uint16 if 2 * tree.size <= 1 << 16 else np.uint32),
+            np.round(np.minimum(-np.log10(chance) * LOGS, 2.0**32 - 1)).astype(np.uint32),
+            text.astype(np.uint16 if len(b.starts) <= 1 << 16 else np.uint32),
+        ]
+        segment = np.repeat(b.segment, np.diff(b.cuts))[kept]
+        cuts = np.append(np.flatnonzero(np.diff(segment, prepend=-1)), len(at))
+        packed = [pa.array([x[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()) for x in columns]
+        block = np.full(len(cuts) - 1, texts["block"][0].as_py(), np.int64)
+        return pa.table([pa.array(segment[cuts[:-1]]), pa.array(block), *packed], schema=schema)
+
+    return coded.groupBy("block").cogroup(marked.groupBy("block")).applyInArrow(run, "segment int, block long, ctx binary, s binary, p binary, at binary")
 
 
 def _gained(key: np.ndarray, s: np.ndarray, p: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -426,7 +577,7 @@ def deep_gains(coded: DataFrame, tree: Tree, settings: Settings) -> DataFrame:
     """(row, gain, n_deep): by how much long contexts raise each text's log10 probability, and at
     how many places.  A segment sends a block of texts one row."""
 
-    def gains(group: list[tuple]) -> pa.RecordBatch:
+    def gains(segment: int, group: list[tuple]) -> pa.RecordBatch:
         sizes = np.array([len(g[1]) // 6 for g in group])
         key = np.zeros((int(sizes.sum()), 8), np.uint8)
         key[:, :6] = np.frombuffer(b"".join(g[1] for g in group), np.uint8).reshape(-1, 6)
@@ -439,26 +590,16 @@ def deep_gains(coded: DataFrame, tree: Tree, settings: Settings) -> DataFrame:
         packed = [pa.array([x[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary()) for x in ((texts & 0xFFFFFFFF).astype(np.uint32), sums, places)]
         return pa.RecordBatch.from_arrays([pa.array([group[i][0] for i in some], pa.int64()), *packed], names=["block", "at", "gain", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, group = None, []
-        for batch in batches:
-            for segment, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-                if segment != last and group:
-                    yield gains(group)
-                    group = []
-                last = segment
-                group.append(rest)
-        if group:
-            yield gains(group)
-
     def add(table: pa.Table) -> pa.Table:
         at, gain, n = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("at", np.uint32), ("gain", np.float64), ("n", np.uint32)))
         some = np.unique(at)
         row = some.astype(np.int64) + table.column("block")[0].as_py()
         return pa.table({"row": row, "gain": np.bincount(at, gain)[some], "n_deep": np.bincount(at, n)[some].astype(np.int64)})
 
-    dealt = deep_places(coded, tree, settings).repartition("segment").sortWithinPartitions("segment")
-    sent = dealt.mapInArrow(run, "block long, at binary, gain binary, n binary")
+    texts = hashed(coded)
+    marked = written(marked_places(texts, tree, settings))
+    dealt = deep_places(texts, marked, tree, settings).repartition("segment").sortWithinPartitions("segment")
+    sent = dealt.mapInArrow(_by_segment(gains), "block long, at binary, gain binary, n binary")
     return sent.groupBy("block").applyInArrow(add, "row long, gain double, n_deep long")
 
 
@@ -471,7 +612,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setti
     id_type = rows.schema["id"].dataType.simpleString()
     counts = written(word_counts(rows))
     tree = dictionary(rows, counts, settings)
-    coded = written(encoded(rows, tree).withColumn("row", F.monotonically_increasing_id()))
+    coded = encoded(rows, tree).withColumn("row", F.monotonically_increasing_id())
+    coded = written_by(coded.withColumn("block", F.col("row") - F.col("nth")).drop("nth"), "block")
     tree = grown(tree, coded, settings)
     shared = docs.sparkSession.sparkContext.broadcast(replace(tree, words={}, hashes=np.zeros(0, np.uint64)))
 

@@ -156,3 +156,44 @@ def test_every_repeated_long_context_is_a_state(spark, monkeypatch):
     d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
     got = {x["doc_id"]: x["n_deep"] for x in pst.score(d, settings=pst.Settings(p_context=1e-2, p_emit=1e-2), split=F.lit(False)).collect()}
     assert [got[i] for i in range(60)] == [35] * 60 and all(got[i] == 0 for i in range(60, 150))
+
+
+def test_only_contexts_that_may_repeat_move_whole(spark):
+    """Texts that occur twice move all their places with a long context, the others next to none;
+    stored texts are not shuffled for it."""
+    r = random.Random(7)
+    fresh = lambda: " ".join(f"v{r.randrange(20_000)}" for _ in range(40))
+    twice = [fresh() for _ in range(30)]
+    rows = [*twice, *twice, *[fresh() for _ in range(240)]]
+    d = spark.createDataFrame([(t, i % 90 == 89) for i, t in enumerate(rows)], "text string, held_out boolean").repartition(4)
+    s = pst.Settings(p_context=1e-2, p_emit=1e-2)
+    tree = pst.dictionary(d, pst.written(pst.word_counts(d)), s)
+    coded = pst.encoded(d.withColumn("id", F.lit(0)), tree).withColumn("row", F.monotonically_increasing_id())
+    coded = pst.written_by(coded.withColumn("block", F.col("row") - F.col("nth")), "block")
+    coded = pst.hashed(coded)
+    marked = pst.marked_places(coded, tree, s)
+    assert marked._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    sent = pst.deep_places(coded, pst.written(marked), tree, s).select(F.sum(F.length("ctx")) / 6).first()[0]
+    assert 60 * 35 <= sent <= 60 * 35 + 0.1 * 240 * 35
+
+
+def test_packed_numbers():
+    import numpy as np
+
+    numbers = np.array([0, 1, 127, 128, 300, 16383, 16384, 2**32, 2**63 - 1, 2**63, 2**64 - 1, 5], np.uint64)
+    packed, begun = pst.varints(numbers)
+    assert pst.numbers_of(packed).tolist() == numbers.tolist()
+    assert np.diff(begun).tolist() == [1, 1, 1, 2, 2, 2, 3, 5, 9, 10, 10, 1]
+    assert pst.numbers_of(packed[begun[3] : begun[7]]).tolist() == numbers[3:7].tolist()
+    assert len(pst.numbers_of(pst.varints(numbers[:0])[0])) == 0
+
+
+def test_places_of_keys():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 3000):
+        keys = np.unique(rng.integers(0, 1 << 40, n))
+        wanted = np.concatenate([rng.choice(keys, 5 * n), rng.integers(-1, 1 << 40, 5 * n), keys + 1, [-1, 0]])
+        at = {k: i for i, k in enumerate(keys.tolist())}
+        assert pst._place(keys, wanted).tolist() == [at.get(x, -1) for x in wanted.tolist()]
