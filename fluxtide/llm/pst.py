@@ -37,10 +37,8 @@ empty table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._text import slices, utf8, written, written_by
+from ._text import slices, written, written_by
 
 
 @dataclass(frozen=True)
@@ -70,22 +68,23 @@ def held_out(id_col: Column, folds: int = 7, fold: int = 2) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def word_counts(rows: DataFrame, most: int = 400_000) -> DataFrame:
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The texts' words, one text after the other, and where each text's begin (and the end)."""
+    listed = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = listed.flatten().cast(pa.binary() if pa.types.is_string(texts.type) else pa.large_binary())
+    some = pc.binary_length(words).to_numpy() > 0  # blanks at a text's ends leave empty ones
+    edges = np.concatenate(([0], np.cumsum(pc.list_value_length(listed).to_numpy())))
+    return words if some.all() else words.filter(pa.array(some)), np.concatenate(([0], np.cumsum(some)))[edges]
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
     """(word, c) over the training rows; tasks add up before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "c"])
-
-        found: Counter[bytes] = Counter()
-        for batch in slices(batches, "text"):
-            for text in utf8(batch, "text"):
-                found.update(text.lower().split())
-            if len(found) >= most:
-                yield out()
-                found.clear()
-        if found:
-            yield out()
+        for batch in slices(batches, "text", 32 << 20):
+            words, _ = _words(batch.column("text"))
+            found = words.value_counts()
+            yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.binary()), found.field("counts")], names=["word", "c"])
 
     return rows.filter("not held_out").select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -232,23 +231,27 @@ def encoded(rows: DataFrame, tree: Tree) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
-        get = tree.words.get
+        known = pa.array(list(shared.value.words), pa.binary())
         for batch in slices(batches, "text"):
-            pieces, lengths, spelt, counts, kinds = [], [], [], [], [0]
-            for text in utf8(batch, "text"):
-                words = text.lower().split()
-                places = np.full(len(words) + 1, -2, np.int32)
-                places[:-1] = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
-                missing = np.flatnonzero(places == -1)
+            words, edges = _words(batch.column("text"))
+            words = words.cast(pa.binary())
+            found = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy()
+            missing = np.flatnonzero(found == -1)
+            unknown = words.take(pa.array(missing)).to_pylist()
+            kth, spelt, counts, kinds = [], [], [], [0]
+            between = np.searchsorted(missing, edges).tolist()
+            for low, high in zip(between, between[1:]):
                 own: dict[bytes, int] = {}  # words outside the dictionary
-                kth = [own.setdefault(words[i], len(own)) for i in missing.tolist()]
-                places[missing] = -3 - np.array(kth, np.int32)
-                pieces.append(places.tobytes())
-                lengths.append(len(places))
+                mine = [own.setdefault(w, len(own)) for w in unknown[low:high]]
+                kth += mine
                 spelt += own
-                counts.append(np.bincount(kth) if kth else np.zeros(0, np.int64))
+                counts.append(np.bincount(mine) if mine else np.zeros(0, np.int64))
                 kinds.append(len(spelt))
+            places = found.astype(np.int32)
+            places[missing] = -3 - np.array(kth, np.int32)
+            ended = np.array([-2], np.int32).tobytes()
+            pieces = [places[a:b].tobytes() + ended for a, b in zip(edges, edges[1:])]
+            lengths = np.diff(edges) + 1
             rare = pa.StructArray.from_arrays([pa.array(spelt, pa.binary()), pa.array(np.concatenate(counts), pa.int64())], names=["word", "n"])
             rare = pa.ListArray.from_arrays(pa.array(kinds, pa.int32()), rare)
             columns = [batch.column("id"), batch.column("held_out"), pa.array(lengths, pa.int64()), pa.array(pieces, pa.binary()), rare, pa.array(np.arange(len(pieces)))]
@@ -608,7 +611,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setti
     score, n_deep (places scored from long contexts).  ``split`` says which rows are held out (by
     default the fold of the contract)."""
     split = held_out(F.col(id_col)) if split is None else split
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), split.alias("held_out"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), split.alias("held_out"))
     id_type = rows.schema["id"].dataType.simpleString()
     counts = written(word_counts(rows))
     tree = dictionary(rows, counts, settings)

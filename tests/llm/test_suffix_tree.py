@@ -197,3 +197,13 @@ def test_places_of_keys():
         wanted = np.concatenate([rng.choice(keys, 5 * n), rng.integers(-1, 1 << 40, 5 * n), keys + 1, [-1, 0]])
         at = {k: i for i, k in enumerate(keys.tolist())}
         assert pst._place(keys, wanted).tolist() == [at.get(x, -1) for x in wanted.tolist()]
+
+
+def test_words_of_texts_with_blanks_at_their_ends():
+    import pyarrow as pa
+
+    texts = ["", "  a B\tc  ", None, "\x0b\x0cÄx\x1c \x85 É z\r\n", " ", "a", "q\x1fr"]
+    for kind in (pa.string(), pa.large_string()):
+        got, edges = pst._words(pa.array(["zz", *texts, "yy"], kind).slice(1, len(texts)))
+        got = got.to_pylist()
+        assert [got[i:j] for i, j in zip(edges, edges[1:])] == [(t or "").encode().lower().split() for t in texts]
