@@ -158,6 +158,16 @@ def test_visits_with_faint_exposures(spark):
     assert (got[0]["n_exp"], got[0]["flux"], got[1]["n_exp"], got[1]["flux"]) == (1, 50.0, 0, None)
 
 
+@pytest.mark.parametrize("name", ["cell_partition_join"])
+def test_positional_joins_broadcast_no_cells(spark, name):
+    """Nine cells a row are many more bytes than the planner takes them for."""
+    from fluxtide.plans import registry
+
+    registry.load()
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_aliases_and_validity(spark):
     c = spark.createDataFrame([("n1", "10", "5", "0.5"), ("n2", "400", "5", "0.5"), ("n3", "10", "5", "0.001"), ("n4", "10", "5", "NaN")], "Name string, RAJ2000 string, DEJ2000 string, z string")
     assert [r["source_id"] for r in catalogue.validate(catalogue.rename_aliases(c)).collect()] == ["n1"]
