@@ -158,7 +158,7 @@ def test_visits_with_faint_exposures(spark):
     assert (got[0]["n_exp"], got[0]["flux"], got[1]["n_exp"], got[1]["flux"]) == (1, 50.0, 0, None)
 
 
-@pytest.mark.parametrize("name", ["cell_partition_join"])
+@pytest.mark.parametrize("name", ["cell_partition_join", "known_recovery"])
 def test_positional_joins_broadcast_no_cells(spark, name):
     """Nine cells a row are many more bytes than the planner takes them for."""
     from fluxtide.plans import registry
