@@ -168,6 +168,28 @@ def test_positional_joins_broadcast_no_cells(spark, name):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+def test_common_tokens_meet_once(spark):
+    """A token of many catalogue rows gives each left row its smallest one, not all of them."""
+    from fluxtide.operators import resolve
+
+    left = spark.range(300).select(F.col("id").alias("k"), F.when(F.col("id") % 3 > 0, "hot").otherwise("none").alias("a"), F.lit("HOT ").alias("b"))
+    tokens = spark.range(7, 407).select(F.col("id").alias("idx"), F.lit("HOT").alias("token"), F.lit("name").alias("field"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = resolve.token_match(left, "k", ["a", "b"], tokens, "idx")
+        rows = found.collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(rows) == 300 and {(r["idx"], r["token"], r["field"]) for r in rows} == {(7, "HOT", "name")}
+
+    def joined(node) -> int:
+        at = node.children()
+        own = node.metrics().get("numOutputRows").get().value() if "Join" in node.nodeName() else 0
+        return max([own, *(joined(at.apply(i)) for i in range(at.size()))])
+
+    assert joined(found._jdf.queryExecution().executedPlan()) <= 600
+
+
 def test_aliases_and_validity(spark):
     c = spark.createDataFrame([("n1", "10", "5", "0.5"), ("n2", "400", "5", "0.5"), ("n3", "10", "5", "0.001"), ("n4", "10", "5", "NaN")], "Name string, RAJ2000 string, DEJ2000 string, z string")
     assert [r["source_id"] for r in catalogue.validate(catalogue.rename_aliases(c)).collect()] == ["n1"]
