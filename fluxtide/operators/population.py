@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import cumulative
-from .resampling import uniform
+from .resampling import drawn_medians
 
 # Edges of the redshift bins.
 Z_EDGES = (0.0, 0.1, 0.3, 0.5, 1.0, 2.0, 5.0)
@@ -98,24 +100,26 @@ def fraction_by(df: DataFrame, value: str, chosen: str, edges: tuple = Z_EDGES)
 def bootstrap_median(df: DataFrame, value: str, keys: list[str], row_key: str, replicates: int = 1000, inside: float = 0.68, seed: int = 42) -> DataFrame:
     """(keys, n, median, lo, hi) of the value's median: rows are drawn with replacement n times a
     replicate.  Draw k of replicate r takes the row whose place, in the order of the row key, is
-    floor(u n); values then are counted, and the weighted median is read from cumulative
-    counts, so a replicate is never sorted whole.  For groups of thousands of rows, such as
-    candidates."""
-    w = Window.partitionBy(*keys)
-    d = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), row_key)
-    d = d.withColumn("_i", F.row_number().over(w.orderBy(row_key)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    rounds = d.select(*keys, "_n", F.col("_i").alias("_k"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_r"))
-    drawn = rounds.select(*keys, "_r", "_n", F.floor(uniform(seed, F.col("_r"), *[F.col(k) for k in keys], F.col("_k")) * F.col("_n")).alias("_i"))
-    counts = drawn.groupBy(*keys, "_r", "_i").agg(F.count(F.lit(1)).alias("_m"), F.max("_n").alias("_n")).join(d.select(*keys, "_i", "_v"), [*keys, "_i"])
-    upto = F.sum("_m").over(Window.partitionBy(*keys, "_r").orderBy("_v", "_i"))
-    c = counts.withColumn("_upto", upto)
-    # The middle places (one or two) of the n drawn values, from 1.
-    lower, upper = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
-    pick = lambda place: F.min(F.when(F.col("_upto") >= place, F.col("_v")))
-    m = c.groupBy(*keys, "_r").agg(((pick(lower) + pick(upper)) / 2.0).alias("_b"))
+    floor(u n).  Draws are never rows: a task has a group's values as one array and draws twenty
+    replicates.  A group has a thousand times as many draws as values, so its draws outgrow the
+    time of any run long before its values outgrow a task."""
+    d = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), row_key).dropna(subset=keys)
+    name = F.concat_ws(":", *[F.col(k).cast("string") for k in keys])
+    g = d.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(row_key, "_v"))), lambda x: x["_v"]).alias("_values"), F.count(F.lit(1)).alias("n"), F.median("_v").alias("median"))
+    blocks = g.select(*keys, name.alias("_name"), "_values", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(20))).alias("_low"))
+    blocks = blocks.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_low")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                low = b.column("_low")[i].as_py()
+                found = drawn_medians(b.column("_values")[i].values.to_numpy(zero_copy_only=False), b.column("_name")[i].as_py(), low, min(low + 20, replicates), seed)
+                yield pa.RecordBatch.from_arrays([*[b.column(k).take(pa.array([i] * len(found))) for k in keys], pa.array(found)], names=[*keys, "_b"])
+
+    m = blocks.mapInArrow(run, blocks.select(*keys).schema.add("_b", "double"))
     tail = (1.0 - inside) / 2.0
     spread = m.groupBy(*keys).agg(F.percentile("_b", F.lit(tail)).alias("lo"), F.percentile("_b", F.lit(1.0 - tail)).alias("hi"))
-    return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.median("_v").alias("median")).join(spread, keys)
+    return g.select(*keys, "n", "median").join(spread, keys)
 
 
 def summary(df: DataFrame, value: str, chosen: str) -> DataFrame:

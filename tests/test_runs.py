@@ -199,3 +199,22 @@ def test_ranks_and_places_without_a_whole_sort(spark):
     for g in ("k", None):
         order = sorted((r[0] for r in rows if r[1] == g), key=lambda i: hashlib.md5(f"7:{i}".encode()).hexdigest())
         assert [p[i] for i in order] == [(n, len(order)) for n in range(1, len(order) + 1)]
+
+
+def test_drawn_medians_draw_as_sql_does():
+    """Digests of rows of equal length, over one block and two; medians of replicates whose
+    numbers have one to three digits, by hashlib."""
+    import hashlib
+
+    from fluxtide.operators import resampling
+
+    start = lambda text: int(hashlib.md5(text).hexdigest()[:13], 16)
+    rng = np.random.default_rng(1)
+    for size in (0, 1, 54, 55, 56, 63, 64, 119, 120, 200):
+        rows = rng.integers(0, 256, (7, size), np.uint8)
+        assert resampling.md5_start(rows).tolist() == [start(r.tobytes()) for r in rows]
+    for n, name in ((1, "a"), (12, "\u00e9" * 40), (1234, "x:y")):
+        values = np.round(rng.normal(size=n), 1)
+        got = resampling.drawn_medians(values, name, 8, 103, 5)
+        want = [np.median([values[math.floor(start(f"5:{r}:{name}:{k}".encode()) / 2**52 * n)] for k in range(n)]) for r in range(8, 103)]
+        assert got == pytest.approx(want, abs=1e-12)
