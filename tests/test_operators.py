@@ -96,6 +96,19 @@ def test_kalman_equals_full_covariance():
     assert math.isclose(stochastic.ou_likelihood(np.array([0.7]), np.array([12.0]), t, y, e)[0], full, rel_tol=1e-6)
 
 
+def test_walks_of_many_sources_equal_each_alone():
+    """Stacked curves of unlike length take the steps that each takes by itself."""
+    rng = np.random.default_rng(3)
+    curves = [(np.sort(rng.uniform(0, 400, n)), rng.normal(20, 3, n), rng.uniform(0.1, 1, n)) for n in (12, 3, 31, 1, 12, 20)]
+    found = stochastic.fit_ous(curves, 4)
+    assert [tuple(float(x[i]) for x in found) for i in range(6)] == [stochastic.fit_ou(*c) for c in curves]
+    sigma, tau = np.exp(np.array([-1.0, 0.5, 2.0])), np.exp(np.array([2.0, 4.0, 7.0]))
+    for which, t, y, e, alive in stochastic.stacked(curves, 4):
+        least = stochastic.least_running_costs(t, y, e, alive, sigma, tau)
+        for k, w in enumerate(which):
+            assert np.array_equal(least[: len(curves[w][0]), k], stochastic.running_costs(*curves[w], sigma, tau).min(1))
+
+
 def test_pelt_is_exact():
     r = np.random.default_rng(2)
     y = np.concatenate((r.normal(0, 0.3, 12), r.normal(3, 0.3, 10), r.normal(1, 0.3, 9)))
