@@ -2,26 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stochastic import spread
 
 
 def structure_function(df: DataFrame, keys: list[str], value: str = "mag", err: str = "err", time: str = "mjd", tie: str = "event_id", bins: int = 20, least_pairs: int = 5, least_rows: int = 10, shortest: float = 1.0) -> DataFrame:
     """Per key and log-spaced lag bin [lo, hi): mean squared difference less the noise,
     centre and number of pairs.  Bins run from the 5th percentile of positive lags (or
-    ``shortest``) to the longest lag."""
-    rows = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter(F.col("_n") >= least_rows)
-    e = rows.select(*keys, F.col(time).alias("_t"), F.col(value).alias("_v"), F.col(err).alias("_e"), F.col(tie).alias("_k"))
-    a = e.withColumnsRenamed({"_t": "t1", "_v": "v1", "_e": "e1", "_k": "k1"})
-    b = e.withColumnsRenamed({"_t": "t2", "_v": "v2", "_e": "e2", "_k": "k2"})
-    p = a.join(b, keys).filter((F.col("t1") < F.col("t2")) & F.col("v1").isNotNull() & F.col("v2").isNotNull()).withColumn("lag", F.col("t2") - F.col("t1"))
-    span = p.groupBy(*keys).agg(F.greatest(F.percentile("lag", F.lit(0.05)), F.lit(shortest)).alias("low"), F.max("lag").alias("high")).filter("high > low")
-    p = p.join(span, keys).filter("lag >= low AND lag < high")
-    step = F.log(F.col("high") / F.col("low")) / bins
-    p = p.withColumn("bin", F.least(F.floor(F.round(F.log(F.col("lag") / F.col("low")) / step, 9)), F.lit(bins - 1)).cast("int")).withColumn("step", step)
-    g = p.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("pairs"), F.greatest(F.avg(F.pow(F.col("v1") - F.col("v2"), 2.0)) - F.avg(F.col("e1") * F.col("e1") + F.col("e2") * F.col("e2")), F.lit(0.0)).alias("sf"), F.first("low").alias("low"), F.first("step").alias("step"))
-    return g.filter(F.col("pairs") >= least_pairs).select(*keys, "bin", (F.col("low") * F.exp((F.col("bin") + 0.5) * F.col("step"))).alias("lag"), "pairs", "sf")
+    ``shortest``) to the longest lag.  A key's rows are one array and its pairs arrays of one
+    task, never rows."""
+    number = F.transform(F.array_sort(F.collect_list(F.struct(F.col(time).cast("double").alias("t"), F.col(tie).alias("k"), F.col(value).cast("double").alias("v"), F.col(err).cast("double").alias("e")))), lambda x: F.struct(*[F.coalesce(x[n], F.lit(float("nan"))).alias(n) for n in "tve"]))
+    g = spread(df.select(*keys, *dict.fromkeys((time, value, err, tie))).dropna(subset=keys), *keys).groupBy(*keys).agg(number.alias("_x")).filter(F.size("_x") >= least_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("_x")
+            ends = lists.offsets.to_numpy()
+            t, v, e = (lists.values.field(n).to_numpy(zero_copy_only=False) for n in "tve")
+            found = [binned_pairs(t[i:j], v[i:j], e[i:j], bins, least_pairs, shortest) for i, j in zip(ends, ends[1:])]
+            at = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+            columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0)] * 4
+            kinds = pa.int32(), pa.float64(), pa.int64(), pa.float64()
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(pa.array(at)) for k in keys], *[pa.array(c).cast(x) for c, x in zip(columns, kinds)]], names=[*keys, "bin", "lag", "pairs", "sf"])
+
+    schema = g.select(*keys).schema.add("bin", "integer").add("lag", "double").add("pairs", "long").add("sf", "double")
+    return g.mapInArrow(run, schema)
+
+
+def binned_pairs(t: np.ndarray, v: np.ndarray, e: np.ndarray, bins: int, least: int, shortest: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bin, lag, pairs, sf) of one curve in order of time; a NaN in ``e`` is a missing error, in
+    ``t`` or ``v`` a row without pairs."""
+    ok = np.isfinite(t) & ~np.isnan(v)
+    t, v, e = t[ok], v[ok], e[ok]
+    i, j = np.triu_indices(len(t), 1)
+    lag = t[j] - t[i]
+    i, j, lag = i[lag > 0], j[lag > 0], lag[lag > 0]
+    none = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0)
+    if not len(lag):
+        return none
+    at = 0.05 * (len(lag) - 1)
+    k = int(at)
+    near = np.partition(lag, sorted({k, min(k + 1, len(lag) - 1)}))
+    low = max((k + 1 - at) * near[k] + (at - k) * near[min(k + 1, len(lag) - 1)] if at > k else near[k], shortest)
+    high = float(lag.max())
+    if not high > low:
+        return none
+    inside = (lag >= low) & (lag < high)
+    i, j, lag = i[inside], j[inside], lag[inside]
+    step = np.log(high / low) / bins
+    place = np.minimum(np.floor(np.round(np.log(lag / low) / step, 9)), bins - 1).astype(np.int64)
+    noise = e[i] * e[i] + e[j] * e[j]
+    known = ~np.isnan(noise)
+    pairs, errors = np.bincount(place, minlength=bins), np.bincount(place[known], minlength=bins)
+    square = np.bincount(place, (v[i] - v[j]) ** 2, bins) / np.maximum(pairs, 1)
+    noise = np.bincount(place[known], noise[known], bins) / np.maximum(errors, 1)
+    sf = np.where(errors > 0, np.maximum(square - noise, 0.0), 0.0)
+    full = np.flatnonzero(pairs >= least)
+    return full, low * np.exp((full + 0.5) * step), pairs[full], sf[full]
 
 
 def slope_and_plateau(sf: DataFrame, keys: list[str]) -> DataFrame:

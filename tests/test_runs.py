@@ -42,6 +42,13 @@ def test_run_joins_its_parts(spark):
     assert some
 
 
+def test_run_meets_written_parts(spark):
+    """The last plan only joins tables that were written part by part, and broadcasts none of them
+    (the catalogue's status may be): parts of one plan would be in memory together."""
+    plan = runs.source_run(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") <= 1 and "InArrow" not in plan and "InPandas" not in plan and "Window" not in plan
+
+
 def test_fitted_scores_weigh_the_models(spark):
     """Stronger evidence of a model never lowers a score, and moves the second one by its weight."""
     from fluxtide.operators import scoring
