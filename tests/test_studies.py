@@ -444,3 +444,20 @@ def test_positional_dedup_equals_brute_force(spark, stack):
     got = {r["id"]: (r["root"], r["survivor"]) for r in dedup.component_groups(df, 0.8, "id", [F.col("id").desc()]).collect()}
     last = {r: max(np.flatnonzero(root == r).tolist()) for r in set(root.tolist())}
     assert got == {i: (int(r), last[int(r)]) for i, r in enumerate(root.tolist())} | {9999: (9999, 9999)}
+
+
+def test_a_fold_is_a_task_of_its_own(spark):
+    """Two trials of three folds are six tasks, whose means are the trials' values."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, cascade.BINS, (120, 3)).astype(np.uint8)
+    data = cascade.Binned(x, (x[:, 0] > 30).astype(int), np.arange(120), ["a", "b", "c"], np.zeros((3, 63)), np.zeros(3))
+    spark.sparkContext.setJobGroup("folds", "two trials")
+    try:
+        done = cascade.search(spark, data, np.arange(120), 2, rounds=20, folds=3)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("folds")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    assert [tracker.getStageInfo(s).numTasks for j in jobs for s in tracker.getJobInfo(j).stageIds] == [6]
+    for d in done:
+        assert d["value"] == cascade.objective(data, np.arange(120), {n: d[n] for n in cascade.RANGES}, 20, 40, 3, 42)
