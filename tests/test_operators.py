@@ -65,6 +65,33 @@ def test_positions_against_all_pairs(spark, radius):
     assert sorted(r["id"] for r in dedup.greedy_keep_first(df, radius, "id").collect()) == [*kept, 999]
 
 
+@pytest.mark.parametrize("radius", [0.5, 4.0, 20.0])
+def test_linked_positions_against_all_pairs(spark, radius):
+    """Components without their pairs: thin and dense parts, poles, the seam at 360 degrees; and
+    no more edges are kept than patches have neighbours."""
+    rng = random.Random(int(radius * 10))
+    dense = [((rng.gauss(359.9, 2.0)) % 360, rng.gauss(dec, 2.0)) for dec in (-40.0, -30.0) for _ in range(60)]
+    thin = [(rng.uniform(0, 360), math.degrees(math.asin(rng.uniform(-1, 1)))) for _ in range(120)]
+    poles = [(rng.uniform(0, 360), s * rng.uniform(88, 90)) for s in (-1, 1) for _ in range(20)]
+    rows = [(k, *p) for k, p in enumerate(dense + thin + poles)]
+    rng.shuffle(rows)
+    root = {k: k for k, _, _ in rows}
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, ra, da in rows:
+        for b, rb, db in rows:
+            h = math.sin(math.radians(db - da) / 2) ** 2 + math.cos(math.radians(da)) * math.cos(math.radians(db)) * math.sin(math.radians(rb - ra) / 2) ** 2
+            if a < b and math.degrees(2 * math.asin(min(1.0, math.sqrt(h)))) <= radius:
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    found = dedup.linked(spark.createDataFrame(rows, "id long, ra double, dec double"), radius, "id")
+    assert {r["id"]: r["root"] for r in found.collect()} == {k: top(k) for k in root}
+
+
 def test_healpix(spark):
     n = 20000
     r = np.random.default_rng(0)
